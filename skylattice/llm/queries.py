@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, sentence_pieces, token_counts, url_filter, warc
+from . import fingerprint, html_text, language, mixing, ngram_join, sentence_pieces, token_counts, topk, url_filter, warc
 
-_MODULES = (sentence_pieces, token_counts, url_filter, warc, mixing, fingerprint)
+_MODULES = (html_text, sentence_pieces, token_counts, ngram_join, language, url_filter, warc, mixing, fingerprint, topk)
 
 
 def queries() -> dict:
