@@ -1,22 +1,44 @@
-"""Corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""Corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+1. language: documents without a language (no text, or no letter) go.
+2. near_copies: of documents that link by word shingles, that of the smallest id stays.
+3. mixing: documents repeat as often as the mix of their source takes them.
+4. sentence_pieces: (doc_id, token_ids, n_tokens, restored) of each row.
+
+All but the last return the columns of their input.  A trained classifier, a
+transitive closure and seeded sampling are beyond SQL: ``ORACLE_SQL`` is None.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import mixing, sentence_pieces
+from skylattice.llm import language, mixing, ngram_join, sentence_pieces
 from skylattice.llm.common import stored
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.identified(docs)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def sentence_pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(docs)
 
 
-STAGES = [("mixing", mixed), ("sentence_pieces", encoded)]
+STAGES = [
+    ("language", language_stage),
+    ("near_copies", near_copies_stage),
+    ("mixing", mixing_stage),
+    ("sentence_pieces", sentence_pieces_stage),
+]
 ORACLE_SQL = None
 
 
