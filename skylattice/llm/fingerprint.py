@@ -96,7 +96,9 @@ def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = stored(rows.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "fingerprint-ids")
     links = stored(next_ids(sizes.select("key", "n")), "fingerprint-links")
     wanted = links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    heads = rows.join(wanted, "key").select(F.col("for_key").alias("key"), F.left("text", F.col("need")).alias("head"))
+    # The row number is asked for, too, so that this side's shuffle is the one of ``rows`` below.
+    need = F.when(F.col("row") >= 0, F.col("need"))
+    heads = rows.join(wanted, "key").select(F.col("for_key").alias("key"), F.left("text", need).alias("head"))
     if sizes.where("rows > 1").limit(1).count():
         heads = heads.groupBy("key").agg(F.min("head").alias("head"))
     n = F.length("text")
@@ -109,15 +111,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     pairs, links = edited_pairs(docs)
     sides = pairs.select("key", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
     prints = fingerprints(sides.select("key", "row", "x.side", "x.body"), ["key", "row", "side"], "body")
-    both = stored(
-        prints.groupBy("key", "row").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint")),
-        "fingerprints",
-    )
-    facts = pairs.select("key", "row", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
+    # Facts of the texts go with the fingerprints, so that the texts are shuffled for one job only.
+    facts = pairs.select("key", "row", F.lit(2).alias("side"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("value"), F.length("text").cast("long").alias("n_chars"))
+    rows = prints.select("key", "row", "side", F.col("fingerprint").alias("value"), F.lit(None).cast("long").alias("n_chars")).union(facts)
+    value = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
+    both = stored(rows.groupBy("key", "row").agg(value(0).alias("fingerprint"), value(1).alias("edited_fingerprint"), value(2).alias("edited_sha256"), F.max("n_chars").alias("n_chars")), "fingerprints")
     of_next = both.groupBy("key").agg(F.min("fingerprint").alias("next_print")).join(links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key")), "key").select(F.col("for_key").alias("key"), "next_print")
     return (
-        both.join(facts, ["key", "row"])
-        .join(of_next, "key")
+        both.join(of_next, "key")
         .select(
             F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
             "n_chars",
