@@ -19,6 +19,7 @@ def wrap(x: str, period: str = "360.0") -> str:
 
 def sun_steps(unix_s: str, lat: float, lon: float) -> list[tuple[str, str]]:
     """(name, expression) steps ending with altitude, azimuth and declination."""
+    unix_s = f"CAST({unix_s} AS DOUBLE)"
     day_minutes = wrap(f"({unix_s}) / 60.0", "1440.0")
     return [
         ("jc", f"(({unix_s}) / 86400.0 + 2440587.5 - 2451545.0) / 36525.0"),

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import surface, thermal, walls
+
+QUERIES: dict = surface.QUERIES | thermal.QUERIES | walls.QUERIES
+ORACLE: dict[str, str] = surface.ORACLE | thermal.ORACLE | walls.ORACLE
