@@ -49,7 +49,8 @@ def with_sun(df: DataFrame, unix_s: str, lat: float, lon: float) -> DataFrame:
     out = df
     for name, step in sun_steps(unix_s, lat, lon):
         out = out.withColumn(name, F.expr(step))
-    return out.select(*df.columns, "altitude", "azimuth", "declination")
+    # A generator of one row: filters on the result stay above it, so no step is computed twice.
+    return out.select(*df.columns, F.inline(F.array(F.struct("altitude", "azimuth", "declination"))))
 
 
 def clear_sky_dni(altitude: Column) -> Column:
