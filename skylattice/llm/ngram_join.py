@@ -4,16 +4,20 @@ Documents are sets of word shingles (hashes of 64 bits).  Two link when their
 Jaccard similarity reaches the threshold.  The join is exact:
 
 1. Equal sets are one set, with a count of documents.
-2. Tokens are put in one order, rare ones first, by a table of counts of fixed
-   size.  Two sets that link share a token among the first
-   ``n - ceil(t n) + 1`` of each, so only tokens that two sets have among these
-   are kept; sets without any have no link and end here.
-3. Sets with such tokens are partitioned into groups of similar sets: those
-   whose kept tokens lead to the same smallest set, split by hash beyond
-   ``GROUP`` sets.  The matrix of tokens and groups gives the pairs of groups
-   that share a kept token; a pair of sets that link is in one group or in such
-   a pair of groups.
-4. A group's token union bounds the overlap of a query set with any member.  A
+2. A set that links shares at least ``ceil(t n)`` of its ``n`` tokens with one
+   other set, so it has at most ``n - ceil(t n)`` tokens of its own.  Tokens are
+   counted over all sets in the part of the hash range below ``REGION`` (at
+   least the first ``n - ceil(t n) + 1`` of a set): sets with more tokens of
+   their own there than they may have at all end here.  What is left is counted
+   again over the whole range.
+3. For the rest the number of sets of each token is known.  With tokens in one
+   order, rare ones first, two sets that link share one of the first
+   ``s - ceil(t n) + 1`` of their ``s`` shared tokens: their *keys*.
+4. Sets are partitioned into groups of similar sets, by their smallest shared
+   token, split by hash beyond ``GROUP_TOKENS``.  The matrix of keys and groups
+   gives the pairs of groups that share a key; sets that link are in one group
+   or in such a pair of groups.
+5. A group's token union bounds the overlap of a query set with any member.  A
    group is opened for the query sets that reach the bound, and overlaps are
    counted exactly, all at once, by a product of token-set matrices.
 
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import if_small, stored, table
@@ -43,52 +47,27 @@ from .components import components
 from .shingles import shingle_sets
 
 THRESHOLD = 75  # per cent
-GROUP = 64
-SKETCH_BITS, SLICES = 18, 64
-#: Tokens a bucket of the prefix index should hold, and the least number of buckets.
+REGION = 0.4  # of the range of hashes
+GROUP_TOKENS = 100_000
+#: Tokens a bucket should hold, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 1024
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """For each of 2^18 buckets of tokens, how many documents have one: a bounded table over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist())
-            if sets:
-                found += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(found))
-        if found.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(found, SLICES)], pa.binary())], ["slice", "counts"])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in part.column("counts"))
-        return pa.table({"slice": part.column("slice")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    table_ = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for r in rows:
-        table_[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return table_.ravel()
-
-
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    return (counts >> max(0, int(counts.max()).bit_length() - 16)).astype(np.uint64)
+def own_tokens(n: int, threshold: int) -> int:
+    """How many tokens a set of ``n`` that links can have for itself."""
+    return n - (threshold * n + 99) // 100
 
 
-def prefix(tokens: np.ndarray, ranks: np.ndarray, threshold: int) -> np.ndarray:
-    """The first tokens of a sorted set in the order (rank of the token's bucket, token)."""
-    n = len(tokens)
-    size = n - (threshold * n + 99) // 100 + 1
-    order = ranks[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(48) | tokens >> np.uint64(16)
-    return tokens[np.argsort(order, kind="stable")[:size]]
+def in_region(tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
+    """The smallest tokens of a sorted set, and how many of them must be shared if it links."""
+    inside = int(np.searchsorted(tokens, np.uint64(int(REGION * 2**64))))
+    own = own_tokens(len(tokens), threshold)
+    return tokens[: max(inside, own + 1)], max(1, inside - own)
 
 
-def _described(docs: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, prefix) of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_ranks(counts))
+def _described(docs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, need) of every document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,16 +77,16 @@ def _described(docs: DataFrame, counts: np.ndarray, threshold: int) -> DataFrame
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([prefix(s, shared.value, threshold).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([in_region(s, threshold)[1] for s in sets], pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "digest", "prefix"],
+                ["doc_id", "n_shingles", "digest", "need"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n_shingles long, digest binary, prefix binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, "doc_id long, n_shingles long, digest binary, need long")
 
 
-def _shared_tokens(sets: DataFrame, buckets: int) -> DataFrame:
-    """(token, rid, head) for each token that is among the first of two or more ``sets`` (rid, prefix); head is its smallest set."""
+def _dealt(texts: DataFrame, buckets: int, threshold: int, whole: bool) -> DataFrame:
+    """(bucket, tokens, rids): tokens of ``texts`` (rid, text), whole sets or their regions, packed and dealt by token."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
@@ -120,49 +99,99 @@ def _shared_tokens(sets: DataFrame, buckets: int) -> DataFrame:
             t, r, bucket = t[order], r[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket)) + 1
             names = bucket[np.concatenate([[0], cut])]
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(t, cut)], pa.binary()), pa.array([x.tobytes() for x in np.split(r, cut)], pa.binary())], ["bucket", "tokens", "rids"])
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(t, cut)], pa.binary()), pa.array([packed(x) for x in np.split(r, cut)], pa.binary())], ["bucket", "tokens", "rids"])
 
         size = 0
         for batch in batches:
-            for rid, blob in zip(batch.column("rid").to_pylist(), batch.column("prefix").to_pylist(), strict=True):
-                t = np.frombuffer(blob, np.uint64)
-                tokens.append(t)
-                rids.append(np.full(len(t), rid, np.int64))
-                size += len(t)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                for rid, t in zip(part.column("rid").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
+                    if not whole:
+                        t = in_region(t, threshold)[0]
+                    tokens.append(t)
+                    rids.append(np.full(len(t), rid, np.int64))
+                    size += len(t)
                 if size >= FLUSH:
                     yield flush()
                     tokens, rids, size = [], [], 0
         if size:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        name = None
-
-        def shared() -> pa.RecordBatch:
-            t = np.frombuffer(b"".join(x for x, _ in held), np.uint64)
-            r = np.frombuffer(b"".join(x for _, x in held), np.int64)
-            order = np.lexsort((r, t))
-            t, r = t[order], r[order]
-            fresh = np.concatenate([[True], t[1:] != t[:-1]])
-            run = np.cumsum(fresh) - 1
-            keep = np.bincount(run)[run] > 1
-            heads = r[fresh][run]
-            return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(r[keep]), pa.array(heads[keep])], ["token", "rid", "head"])
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("rid", "text").mapInArrow(deal, "bucket long, tokens binary, rids binary").repartition(n, "bucket").sortWithinPartitions("bucket")
 
-        for batch in batches:
-            for bucket, t, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "rids")), strict=True):
-                if bucket != name and held:
-                    yield shared()
-                    held = []
-                name = bucket
-                held.append((t, r))
-        if held:
-            yield shared()
 
-    dealt = sets.select("rid", "prefix").mapInArrow(deal, "bucket long, tokens binary, rids binary")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "token long, rid long, head long")
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as the first and 32-bit steps, where these suffice; else as they are."""
+    steps = np.diff(ids)
+    if len(steps) and (np.abs(steps) < 2**31).all():
+        return b"s" + ids[:1].tobytes() + steps.astype(np.int32).tobytes()
+    return b"w" + ids.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"w":
+        return np.frombuffer(blob, np.int64, offset=1)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, np.int64, 1, 1), np.frombuffer(blob, np.int32, offset=9)]))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each bucket, its tokens that two or more sets have: (tokens, sets, numbers of sets)."""
+    held: list[tuple[bytes, bytes]] = []
+    name = None
+
+    def shared() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held])
+        r = np.concatenate([unpacked(x) for _, x in held])
+        order = np.argsort(t, kind="stable")
+        t, r = t[order], r[order]
+        fresh = np.concatenate([[True], t[1:] != t[:-1]])
+        run = np.cumsum(fresh) - 1
+        count = np.bincount(run)[run]
+        keep = count > 1
+        return t[keep], r[keep], count[keep]
+
+    for batch in batches:
+        for bucket, t, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "rids")), strict=True):
+            if bucket != name and held:
+                yield shared()
+                held = []
+            name = bucket
+            held.append((t, r))
+    if held:
+        yield shared()
+
+
+def _sharing(dealt: DataFrame) -> DataFrame:
+    """(rid, shared): how many of a set's tokens other sets have, too."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        size = 0
+        for _, rids, _ in _met(batches):
+            found.append(rids)
+            size += len(rids)
+            if size >= FLUSH:
+                yield summed(found)
+                found, size = [], 0
+        if size:
+            yield summed(found)
+
+    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
+        rids, counts = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(rids), pa.array(counts.astype(np.int64))], ["rid", "shared"])
+
+    return dealt.mapInArrow(count, "rid long, shared long").groupBy("rid").agg(F.sum("shared").alias("shared"))
+
+
+def _shared_tokens(dealt: DataFrame) -> DataFrame:
+    """(token, rid, sets) of tokens that two or more sets have."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, r, n in _met(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(r), pa.array(n.astype(np.int64))], ["token", "rid", "sets"])
+
+    return dealt.mapInArrow(rows, "token long, rid long, sets long")
 
 
 class Group:
@@ -279,6 +308,11 @@ def _between(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     return joined.select(*[f"{p}{s}" for s in "ab" for p in parts]).mapInArrow(both, FOUND)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(rid, text) of the documents whose id is among ``n`` ``ids`` (rid)."""
+    return docs.select(F.col("doc_id").cast("long").alias("rid"), "text").join(if_small(ids, 16 * n), "rid", "left_semi")
+
+
 def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of ``docs`` (doc_id, text).
 
@@ -286,23 +320,33 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     documents that a document links with.
     """
     docs = docs.select("doc_id", "text")
-    described = stored(_described(docs, _counts(docs), threshold), "shingles")
+    described = stored(_described(docs, threshold), "shingles")
     some = described.where("digest is not null")
-    named = some.where("doc_id is not null")
-    sets = named.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.any_value("prefix").alias("prefix"))
-    classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count("*").alias("weight")), "classes")
-    tokens = described.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, tokens // 8 // BUCKET_TOKENS)
-    shared = stored(_shared_tokens(sets, buckets), "shared-tokens")
-
-    leads = stored(shared.groupBy("rid").agg(F.min("head").alias("lead")), "leads")
-    sizes = stored(leads.groupBy("lead").agg(F.count("*").alias("n")), "lead-sizes")
-    n_live = leads.count()
-    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / GROUP))
-    grouped = leads.join(if_small(sizes, 16 * n_live), "lead").select("rid", F.xxhash64("lead", part).alias("gid"))
-    members = stored(grouped.join(classes.select("rid", "weight"), "rid").select("rid", "gid", "weight"), "members")
-
-    matrix = shared.select("token", "rid").join(members.select("rid", "gid"), "rid").groupBy("token").agg(F.sort_array(F.collect_set("gid")).alias("gids")).where("size(gids) > 1")
+    classes = stored(some.groupBy("digest").agg(F.min("doc_id").alias("rid"), F.count("*").alias("weight"), F.max("n_shingles").alias("n"), F.max("need").alias("need")), "classes")
+    sets = classes.where("rid is not null")
+    size = sets.agg(F.count("*").alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    least = F.ceil(F.col("n") * threshold / 100)
+
+    buckets = max(LEAST_BUCKETS, size["tokens"] // BUCKET_TOKENS)
+    region = _sharing(_dealt(_texts(docs, sets.select("rid"), size["sets"]), buckets, threshold, whole=False))
+    may = stored(region.join(sets.select("rid", "need"), "rid").where("shared >= need").select("rid"), "may-link")
+    n_may = may.count()
+    whole = _sharing(_dealt(_texts(docs, may, n_may), buckets, threshold, whole=True))
+    live = stored(whole.join(sets.select("rid", "n", "weight"), "rid").where(F.col("shared") >= least).select("rid", "n", "weight"), "live")
+    n_live = live.count()
+
+    shared = _shared_tokens(_dealt(_texts(docs, live.select("rid"), n_live), buckets, threshold, whole=True))
+    of_set = Window.partitionBy("rid")
+    placed = shared.select("token", "rid", F.row_number().over(of_set.orderBy("sets", "token")).alias("place"), F.count("*").over(of_set).alias("s"), F.min("token").over(of_set).alias("lead"))
+    keys = stored(placed.join(if_small(live.select("rid", "n"), 24 * n_live), "rid").where((F.col("s") >= least) & (F.col("place") <= F.col("s") - least + 1)).select("token", "rid", "lead"), "keys")
+
+    leads = keys.select("rid", "lead").distinct().join(live, "rid").select("rid", "lead", "n", "weight")
+    leads = stored(leads, "leads")
+    sizes = stored(leads.groupBy("lead").agg(F.sum("n").alias("tokens")), "lead-sizes")
+    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("tokens") / GROUP_TOKENS))
+    members = stored(leads.join(if_small(sizes, 24 * n_live), "lead").select("rid", F.xxhash64("lead", part).alias("gid"), "weight"), "members")
+
+    matrix = keys.select("token", "rid").join(members.select("rid", "gid"), "rid").groupBy("token").agg(F.sort_array(F.collect_set("gid")).alias("gids")).where("size(gids) > 1")
     lists = matrix.select("gids").distinct().select("gids", F.posexplode("gids").alias("at", "gida"))
     pairs = lists.select("gida", F.explode(F.expr("slice(gids, at + 2, size(gids))")).alias("gidb")).distinct()
     groups = stored(_packed(members, docs, 24 * n_live), "groups")
