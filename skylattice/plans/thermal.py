@@ -48,9 +48,9 @@ _SUNNY = _nested("(SELECT * FROM weather)", "unix_s + (hour - 0.5) * 3600 + 1800
 _CLEAR = f"clear AS (SELECT *, CASE WHEN sin(radians(altitude)) > 0 THEN 1098 * sin(radians(altitude)) * exp(-0.057 / sin(radians(altitude))) ELSE 0 END AS cs FROM {_SUNNY})"
 
 
-@query(sql("SELECT day::VARCHAR AS day, ratio, row_number() OVER (ORDER BY ratio DESC, day)::INT AS rank, round(m, 3) AS measured, round(c, 3) AS clear FROM (SELECT day, sum(coalesce(ghi, 0)) AS m, sum(cs) AS c, round_even(sum(coalesce(ghi, 0)) / sum(cs), 4) AS ratio FROM clear WHERE cs > 0 GROUP BY day)", PTS, WEATHER, _CLEAR))
+@query(sql("SELECT day::VARCHAR AS day, ratio, row_number() OVER (ORDER BY ratio DESC, day)::INT AS rank, round(m, 6) AS measured, round(c, 6) AS clear FROM (SELECT day, sum(coalesce(ghi, 0)) AS m, sum(cs) AS c, round_even(sum(coalesce(ghi, 0)) / sum(cs), 4) AS ratio FROM clear WHERE cs > 0 GROUP BY day)", PTS, WEATHER, _CLEAR))
 def clearest_day(spark, sf):
-    return weather.clearest_day(weather_rows(spark, sf), LAT, LON).select(F.col("day").cast("string").alias("day"), "ratio", "rank", F.round("measured", 3).alias("measured"), F.round("clear", 3).alias("clear"))
+    return weather.clearest_day(weather_rows(spark, sf), LAT, LON).select(F.col("day").cast("string").alias("day"), "ratio", "rank", F.round("measured", 6).alias("measured"), F.round("clear", 6).alias("clear"))
 
 
 @query(
