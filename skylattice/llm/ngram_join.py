@@ -52,6 +52,8 @@ GROUP_TOKENS = 100_000
 #: Tokens a bucket should hold, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 1024
 FLUSH = 2_000_000
+#: Sets whose counts a task sends in one row, and the least number of such rows.
+SLICE_SETS, LEAST_SLICES = 100_000, 512
 
 
 def own_tokens(n: int, threshold: int) -> int:
@@ -162,8 +164,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nda
         yield shared()
 
 
-def _sharing(dealt: DataFrame) -> DataFrame:
-    """(rid, shared): how many of a set's tokens other sets have, too."""
+def _sharing(dealt: DataFrame, slices: int) -> DataFrame:
+    """(rid, shared): how many of a set's tokens other sets have, too.
+
+    A task's counts travel packed, in ``slices`` rows by the set's hash, and are added up there.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -172,16 +177,41 @@ def _sharing(dealt: DataFrame) -> DataFrame:
             found.append(rids)
             size += len(rids)
             if size >= FLUSH:
-                yield summed(found)
+                yield sliced(np.concatenate(found))
                 found, size = [], 0
         if size:
-            yield summed(found)
+            yield sliced(np.concatenate(found))
+
+    def sliced(found: np.ndarray) -> pa.RecordBatch:
+        rids, counts = np.unique(found, return_counts=True)
+        place = (rids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % slices
+        order = np.argsort(place, kind="stable")
+        rids, counts, place = rids[order], counts[order].astype(np.int32), place[order]
+        cut = np.flatnonzero(np.diff(place)) + 1
+        names = place[np.concatenate([[0], cut])]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([packed(x) for x in np.split(rids, cut)], pa.binary()), pa.array([x.tobytes() for x in np.split(counts, cut)], pa.binary())], ["slice", "rids", "counts"])
 
-    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
-        rids, counts = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(rids), pa.array(counts.astype(np.int64))], ["rid", "shared"])
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def added() -> pa.RecordBatch:
+            rids, at = np.unique(np.concatenate([unpacked(r) for r, _ in held]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([np.frombuffer(c, np.int32) for _, c in held]).astype(np.float64))
+            return pa.RecordBatch.from_arrays([pa.array(rids), pa.array(sums.astype(np.int64))], ["rid", "shared"])
+
+        for batch in batches:
+            for slice_, r, c in zip(*(batch.column(x).to_pylist() for x in ("slice", "rids", "counts")), strict=True):
+                if slice_ != name and held:
+                    yield added()
+                    held = []
+                name = slice_
+                held.append((r, c))
+        if held:
+            yield added()
 
-    return dealt.mapInArrow(count, "rid long, shared long").groupBy("rid").agg(F.sum("shared").alias("shared"))
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = dealt.mapInArrow(count, "slice long, rids binary, counts binary").repartition(n, "slice").sortWithinPartitions("slice")
+    return parts.mapInArrow(total, "rid long, shared long")
 
 
 def _shared_tokens(dealt: DataFrame) -> DataFrame:
@@ -328,10 +358,11 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     least = F.ceil(F.col("n") * threshold / 100)
 
     buckets = max(LEAST_BUCKETS, size["tokens"] // BUCKET_TOKENS)
-    region = _sharing(_dealt(_texts(docs, sets.select("rid"), size["sets"]), buckets, threshold, whole=False))
+    slices = max(LEAST_SLICES, size["sets"] // SLICE_SETS)
+    region = _sharing(_dealt(_texts(docs, sets.select("rid"), size["sets"]), buckets, threshold, whole=False), slices)
     may = stored(region.join(sets.select("rid", "need"), "rid").where("shared >= need").select("rid"), "may-link")
     n_may = may.count()
-    whole = _sharing(_dealt(_texts(docs, may, n_may), buckets, threshold, whole=True))
+    whole = _sharing(_dealt(_texts(docs, may, n_may), buckets, threshold, whole=True), slices)
     live = stored(whole.join(sets.select("rid", "n", "weight"), "rid").where(F.col("shared") >= least).select("rid", "n", "weight"), "live")
     n_live = live.count()
 
