@@ -51,7 +51,7 @@ REGION = 0.4  # of the range of hashes
 GROUP_TOKENS = 100_000
 #: Tokens a bucket should hold, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 1024
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Sets whose counts a task sends in one row, and the least number of such rows.
 SLICE_SETS, LEAST_SLICES = 100_000, 512
 
@@ -68,11 +68,18 @@ def in_region(tokens: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
     return tokens[: max(inside, own + 1)], max(1, inside - own)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that the sets of few texts are held at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def _described(docs: DataFrame, threshold: int) -> DataFrame:
     """(doc_id, n_shingles, digest, need) of every document."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -104,18 +111,16 @@ def _dealt(texts: DataFrame, buckets: int, threshold: int, whole: bool) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in np.split(t, cut)], pa.binary()), pa.array([packed(x) for x in np.split(r, cut)], pa.binary())], ["bucket", "tokens", "rids"])
 
         size = 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                for rid, t in zip(part.column("rid").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
-                    if not whole:
-                        t = in_region(t, threshold)[0]
-                    tokens.append(t)
-                    rids.append(np.full(len(t), rid, np.int64))
-                    size += len(t)
-                if size >= FLUSH:
-                    yield flush()
-                    tokens, rids, size = [], [], 0
+        for part in _slices(batches):
+            for rid, t in zip(part.column("rid").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
+                if not whole:
+                    t = in_region(t, threshold)[0]
+                tokens.append(t)
+                rids.append(np.full(len(t), rid, np.int64))
+                size += len(t)
+            if size >= FLUSH:
+                yield flush()
+                tokens, rids, size = [], [], 0
         if size:
             yield flush()
 
@@ -292,7 +297,7 @@ def _packed(members: DataFrame, docs: DataFrame, n_bytes: int) -> DataFrame:
     """(gid, rids, weights, sizes, tokens): the sets of each group, made from the texts again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = shingle_sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gid", "rid", "weight")] + [pa.array([s.tobytes() for s in found], pa.binary())], ["gid", "rid", "weight", "tokens"])
 
