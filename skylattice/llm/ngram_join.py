@@ -19,7 +19,8 @@ Jaccard similarity reaches the threshold.  The join is exact:
    or in such a pair of groups.
 5. A group's token union bounds the overlap of a query set with any member.  A
    group is opened for the query sets that reach the bound, and overlaps are
-   counted exactly, all at once, by a product of token-set matrices.
+   counted exactly by products of token-set matrices, a block of rows at a time:
+   memory does not depend on how many short sets a group has.
 
 Every link between different sets is met once and counted; out of a group or a
 pair of groups come one row a set with its number of links and the smallest set
@@ -52,6 +53,8 @@ GROUP_TOKENS = 100_000
 #: Tokens a bucket should hold, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 1024
 FLUSH = 1_000_000
+#: Cells of a matrix that is held at once when sets of groups are compared.
+BLOCK_CELLS = 4_000_000
 #: Sets whose counts a task sends in one row, and the least number of such rows.
 SLICE_SETS, LEAST_SLICES = 100_000, 512
 
@@ -238,51 +241,81 @@ class Group:
         self.owner = np.repeat(np.arange(len(self.rids)), self.sizes)
 
 
-def linked(a: Group, b: Group, threshold: int) -> np.ndarray:
-    """Which sets of ``a`` link with which of ``b``."""
-    out = np.zeros((len(a.rids), len(b.rids)), bool)
-    union = np.intersect1d(a.tokens, b.tokens)  # what either group's union has of the other's sets
+def link_blocks(a: Group, b: Group, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which sets of ``a`` link with which of ``b``: (sets of a, sets of b, matrix) for a block of rows at a time.
+
+    A block has ``BLOCK_CELLS`` cells or one row, however many sets the groups have.
+    Within one group no set links with itself.
+    """
+    if a is b:
+        union, having = np.unique(a.tokens, return_counts=True)
+        union = union[having > 1]
+    else:
+        union = np.intersect1d(a.tokens, b.tokens)  # what either group's union has of the other's sets
     if not len(union):
-        return out
+        return
     sides = []
-    for g in (a, b):
+    for g, other in ((a, b), (b, a)):
         at = np.searchsorted(union, g.tokens)
         at[at == len(union)] = 0
         hit = union[at] == g.tokens
         bound = np.bincount(g.owner[hit], minlength=len(g.rids))
-        sides.append((g, at, hit, np.flatnonzero(100 * bound >= threshold * g.sizes)))
-    if not all(len(s[3]) for s in sides):
-        return out
-    (_, at_a, hit_a, qa), (_, at_b, hit_b, qb) = sides
-    overlap = np.zeros((len(qa), len(qb)), np.float64)
-    step = max(1, 4_000_000 // (len(qa) + len(qb)))
-    place_a, place_b = np.full(len(a.rids), -1), np.full(len(b.rids), -1)
-    place_a[qa], place_b[qb] = np.arange(len(qa)), np.arange(len(qb))
-    for low in range(0, len(union), step):
-        high = min(low + step, len(union))
-        both = []
-        for g, at, hit, place, n in ((a, at_a, hit_a, place_a, len(qa)), (b, at_b, hit_b, place_b, len(qb))):
-            m = np.zeros((n, high - low), np.float32)
-            row = place[g.owner]
-            ok = hit & (row >= 0) & (at >= low) & (at < high)
-            m[row[ok], at[ok] - low] = 1
-            both.append(m)
-        overlap += both[0] @ both[1].T
-    overlap = np.rint(overlap).astype(np.int64)
-    total = a.sizes[qa][:, None] + b.sizes[qb][None, :] - overlap
-    out[np.ix_(qa, qb)] = 100 * overlap >= threshold * total
-    return out
-
-
-def tied(rids: np.ndarray, weights: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sets with symmetric ``links``: the smallest set each hangs together with, and the documents it links with."""
-    links = links & ~np.eye(len(rids), dtype=bool)
-    low = rids.copy()
-    while True:
-        new = np.minimum(low, np.where(links, low[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-        if (new == low).all():
-            return low, links @ weights
-        low = new
+        query = np.flatnonzero((100 * bound >= threshold * g.sizes) & ((100 + threshold) * bound >= threshold * (g.sizes + other.sizes.min())))
+        place = np.full(len(g.rids), -1)
+        place[query] = np.arange(len(query))
+        row = place[g.owner]
+        ok = hit & (row >= 0)
+        sides.append((query, row[ok], at[ok]))
+    (qa, row_a, at_a), (qb, row_b, at_b) = sides
+    if not (len(qa) and len(qb)):
+        return
+    rows = max(1, BLOCK_CELLS // len(qb))
+    for low in range(0, len(qa), rows):
+        high = min(low + rows, len(qa))
+        first, end = np.searchsorted(row_a, [low, high])
+        named = np.unique(at_a[first:end])
+        column = np.full(len(union), -1)
+        column[named] = np.arange(len(named))
+        overlap = np.zeros((high - low, len(qb)), np.float64)
+        step = max(1, BLOCK_CELLS // (high - low + len(qb)))
+        for left in range(0, len(named), step):
+            right = min(left + step, len(named))
+            both = []
+            for row, at, n in ((row_a[first:end] - low, at_a[first:end], high - low), (row_b, at_b, len(qb))):
+                m = np.zeros((n, right - left), np.float32)
+                c = column[at]
+                ok = (c >= left) & (c < right)
+                m[row[ok], c[ok] - left] = 1
+                both.append(m)
+            overlap += both[0] @ both[1].T
+        overlap *= 100 + threshold
+        links = overlap >= threshold * (a.sizes[qa[low:high]][:, None] + b.sizes[qb][None, :])
+        if a is b:
+            links[np.arange(high - low), np.arange(low, high)] = False
+        yield qa[low:high], qb, links
+
+
+def tied(a: Group, b: Group, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of one group or of two, the smallest set each hangs together with by links of ``a`` with ``b``, and the documents it links with."""
+    rids = a.rids if a is b else np.concatenate([a.rids, b.rids])
+    from_b = 0 if a is b else len(a.rids)
+    ranked, label = np.unique(rids, return_inverse=True)
+    links = np.zeros(len(rids), np.int64)
+    for rows, cols, block in link_blocks(a, b, threshold):
+        some = np.flatnonzero(block.any(axis=1))
+        if not len(some):
+            continue
+        as_numbers = block.astype(np.float64)
+        links[rows] += np.rint(as_numbers @ b.weights[cols].astype(np.float64)).astype(np.int64)
+        if a is not b:
+            links[from_b + cols] += np.rint(a.weights[rows].astype(np.float64) @ as_numbers).astype(np.int64)
+        for i in some:
+            met, own = label[from_b + cols[block[i]]], label[rows[i]]
+            if (met != own).any():
+                joined = np.zeros(len(ranked), bool)
+                joined[met] = joined[own] = True
+                label[joined[label]] = min(met.min(), own)
+    return rids, ranked[label], links
 
 
 FOUND = "rid long, low long, links long"
@@ -319,7 +352,7 @@ def _within(groups: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 g = Group(r["rids"], r["weights"], r["sizes"], r["tokens"])
-                yield _found(g.rids, *tied(g.rids, g.weights, linked(g, g, threshold)))
+                yield _found(*tied(g, g, threshold))
 
     return groups.select("rids", "weights", "sizes", "tokens").mapInArrow(own, FOUND)
 
@@ -331,12 +364,7 @@ def _between(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 a, b = (Group(*(r[f"{p}{side}"] for p in parts)) for side in "ab")
-                n, m = len(a.rids), len(b.rids)
-                links = np.zeros((n + m, n + m), bool)
-                links[:n, n:] = linked(a, b, threshold)
-                links |= links.T
-                rids, weights = np.concatenate([a.rids, b.rids]), np.concatenate([a.weights, b.weights])
-                yield _found(rids, *tied(rids, weights, links))
+                yield _found(*tied(a, b, threshold))
 
     side = lambda s: groups.select(F.col("gid").alias(f"gid{s}"), *[F.col(p).alias(f"{p}{s}") for p in parts])
     joined = pairs.join(side("a"), "gida").join(side("b"), "gidb")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,50 @@ def test_join_is_exact(spark, monkeypatch, group_tokens):
     assert got == brute_join(rows)
 
 
+def template_group(n):
+    """A group of ``n`` short sets of one template, of which none links, and one that links with each."""
+    sets = shingles.shingle_sets([*[f"one two three four five six seven x{i}" for i in range(n)], "one two three four five six seven"])
+    return ngram_join.Group(np.arange(n + 1).tobytes(), np.full(n + 1, 2).tobytes(), np.array([len(s) for s in sets]).tobytes(), b"".join(s.tobytes() for s in sets))
+
+
+def test_many_short_sets_are_compared_in_little_memory():
+    group = template_group(6000)
+    tracemalloc.start()
+    try:
+        _, low, links = ngram_join.tied(group, group, 75)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (low == 0).all() and (links[:-1] == 2).all() and links[-1] == 12_000
+    assert peak < 200e6
+
+
+@pytest.mark.parametrize("cells", [1, 50, 4_000_000])
+def test_join_in_blocks(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "BLOCK_CELLS", cells)
+    texts = [*noisy_family(1, 25), *noisy_family(2, 9, 30), *noisy_family(7, 12, 40)]
+    sets = [s for s in shingles.shingle_sets(texts)]
+
+    def group(ids):
+        return ngram_join.Group(np.array(ids).tobytes(), np.ones(len(ids), np.int64).tobytes(), np.array([len(sets[i]) for i in ids]).tobytes(), b"".join(sets[i].tobytes() for i in ids))
+
+    want = brute_join(list(enumerate(texts)))
+    whole = group(range(len(texts)))
+    assert [(int(i), int(low), int(k)) for i, low, k in zip(*ngram_join.tied(whole, whole, 75), strict=True)] == [(i, low, k) for i, (_, low, k) in want.items()]
+    odd, even = group(range(1, len(texts), 2)), group(range(0, len(texts), 2))
+    parts = [ngram_join.tied(odd, odd, 75), ngram_join.tied(even, even, 75), ngram_join.tied(odd, even, 75)]
+    total = Counter()
+    for rids, _, links in parts:
+        total.update(dict(zip(rids.tolist(), links.tolist(), strict=True)))
+    assert dict(total) == {i: k for i, (_, _, k) in want.items()}
+
+
+def test_join_of_many_short_texts_of_one_template(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven x"), "id").alias("text"))
+    got = ngram_join.ngram_jaccard_join(df.union(spark.createDataFrame([(30_000, "one two three four five six seven")], df.schema)))
+    assert got.groupBy("component_id").agg(F.count("*"), F.sum("n_links"), F.max("n_links")).collect() == [(0, 30_001, 60_000, 30_000)]
+
+
 def test_join_edges(docs, none):
     got = ngram_join.ngram_jaccard_join(docs).collect()
     assert len(got) == docs.count()
