@@ -12,6 +12,7 @@ path survives at each position.  The test of a pair is remembered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 
@@ -123,12 +124,20 @@ class Program:
         out.reverse()
         return out
 
-    def counts(self, word: str) -> list[int]:
-        """Number of tokens of word[:1], word[:2], ..., each taken as a whole word."""
+    def counts(self, word: str, most: float = math.inf) -> list[int]:
+        """Number of tokens of word[:1], word[:2], ..., each taken as a whole word.
+
+        Ends early where each longer prefix has more than ``most`` tokens.
+        """
         n = len(word)
         last, count, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         last[0] = 0
+        low = 0  # positions in a row, up to here, whose count is above ``most``
         for j in range(n):
+            low = low + 1 if count[j] > most else 0
+            if low >= self.longest:
+                n = j
+                break
             b, children = last[j], self.root
             for k in range(j + 1, n + 1):
                 node = children.get(word[k - 1])
@@ -139,4 +148,4 @@ class Program:
                     whole[k] = count[j] + 1
                 if token and last[k] < 0 and self.fits(b, token):
                     last[k], count[k] = token, count[j] + 1
-        return (whole if self.end else count)[1:]
+        return (whole if self.end else count)[1 : n + 1]

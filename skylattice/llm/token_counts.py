@@ -7,7 +7,10 @@ word, one pass (``bpe``) gives the last token and the number of tokens of every
 prefix, once as an inner part and once as if the word ended there.  Words stand
 between white space and are counted once each; running sums over a document's
 words then answer how many tokens any prefix has and which prefix fits a budget,
-without encoding again.
+without encoding again.  The pass over the part where the budget ends stops once
+no longer prefix can fit.  Only a prefix cut inside a letter and its combining
+marks, where that changes the normal form, is encoded by itself, and only near
+the budget's end.
 
 Defined cases: a null text is empty and has no tokens.  Rows are counted one by
 one, so repeated ids or texts need no care.  An empty table gives an empty result.
@@ -16,6 +19,7 @@ one, so repeated ids or texts need no care.  An empty table gives an empty resul
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,6 +38,8 @@ LIMIT = 2048
 END = "</w>"
 #: White space as the tokenizer's pattern language has it: it separates words and is dropped.
 CHUNK = re.compile("[^\\t-\\r \x85\xa0  -     　]+")
+#: Letters after a word's end within which another continuation could still change it.
+AHEAD = 3
 #: Bounds of what a worker remembers: chunks, and their length.
 MEMO, LONG = 600_000, 40
 
@@ -54,6 +60,24 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def seconds() -> frozenset[str]:
+    """Letters that can join the letter before them in the normal form."""
+    found = {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
+@lru_cache(maxsize=100_000)
+def starts_afresh(letter: str) -> bool:
+    """Whether the normal form of what stands before ``letter`` stays as it is."""
+    first = unicodedata.normalize("NFD", letter)[0]
+    return not unicodedata.combining(first) and first not in seconds()
+
+
 class WordCounter:
     """Counts tokens of chunks (texts without white space), and of their prefixes."""
 
@@ -69,10 +93,13 @@ class WordCounter:
         self.memo: dict[str, int] = {}
         self.of_words: dict[str, int] = {}
 
-    def words(self, part: str) -> list[str]:
+    def normal(self, part: str) -> str:
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        return self.pattern.findall(part.lower())
+        return part.lower()
+
+    def words(self, part: str) -> list[str]:
+        return self.pattern.findall(self.normal(part))
 
     def spelled(self, word: str) -> str:
         return "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
@@ -94,9 +121,97 @@ class WordCounter:
 
     def prefixes(self, chunk: str) -> list[int]:
         """Tokens of chunk[:1], chunk[:2], ... ."""
-        if chunk.isascii() and chunk.isalpha():
-            return self.program.counts(chunk.lower())
-        return [self.count(chunk[:p]) for p in range(1, len(chunk) + 1)]
+        out: list[int] = []
+        before = at = 0
+        while True:
+            special = self.specials.search(chunk, at) if self.specials else None
+            end = special.end() - 1 if special else len(chunk)
+            known, _ = self.part_counts(chunk[at:end])
+            out += [before + (known[p] if p in known else self.count(chunk[at : at + p])) for p in range(1, end - at + 1)]
+            if not special:
+                return out
+            before += self.count(chunk[at : special.start()]) + 1
+            out.append(before)
+            at = special.end()
+
+    def part_counts(self, part: str, budget: float = math.inf) -> tuple[dict[int, int], int]:
+        """Tokens of part[:p] by p, and the p from which on none has ``budget`` tokens or less.
+
+        One pass.  ``part`` has no whole special string.  Left out are the p inside
+        a letter and its marks where the normal form of part[:p] does not begin that of ``part``.
+        """
+        if part.isascii():
+            text, ends = part.lower(), None
+        else:
+            bounds = [0, *[p for p in range(1, len(part)) if starts_afresh(part[p])], len(part)]
+            pieces: list[str] = []
+            ends, starts, size = [(0, 0)], [], 0  # (p, length of the normal form of part[:p]), (p, size) of the bounds
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                piece = self.normal(part[a:b])
+                starts.append((a, size))
+                for p in range(a + 1, b):
+                    inner = self.normal(part[a:p])
+                    if piece.startswith(inner):
+                        ends.append((p, size + len(inner)))
+                pieces.append(piece)
+                size += len(piece)
+                ends.append((b, size))
+            text = "".join(pieces)
+        counts, spent, over = [0], 0, len(text) + 1
+        for m in self.pattern.finditer(text):
+            if m.start() >= over:
+                break
+            counts += [spent] * (m.start() + 1 - len(counts))
+            word = m[0]
+            if len(word) <= AHEAD:  # a cut contraction is other words
+                counts += [spent + sum(map(self.of_word, self.pattern.findall(word[:k]))) for k in range(1, len(word) + 1)]
+                spent = counts[-1]
+            else:
+                spelled = [self.spelled(c) for c in word]
+                found = self.program.counts("".join(spelled), budget - spent)
+                at = 0
+                for letter in spelled:
+                    at += len(letter)
+                    if at > len(found):
+                        break
+                    counts.append(spent + found[at - 1])
+                if at > len(found):
+                    over = min(over, len(counts) + AHEAD)
+                    break
+                spent = counts[-1]
+            if spent > budget:
+                over = min(over, m.end() + AHEAD)
+        else:
+            counts += [spent] * (len(text) + 1 - len(counts))
+        if ends is None:
+            return dict(enumerate(counts)), min(over, len(part) + 1)
+        end = next((p for p, size in starts if size >= over), len(part) + 1)
+        return {p: counts[size] for p, size in ends if size < len(counts)}, end
+
+    def inside(self, chunk: str, budget: int) -> int:
+        """Code points of the longest prefix of a chunk with at most ``budget`` tokens."""
+        best = before = at = 0
+        while True:
+            special = self.specials.search(chunk, at) if self.specials else None
+            end = special.end() - 1 if special else len(chunk)
+            best = max(best, at + self.inside_part(chunk[at:end], budget - before))
+            if not special:
+                return best
+            before += self.count(chunk[at : special.start()]) + 1
+            if before > budget:
+                return best
+            at = best = special.end()
+
+    def inside_part(self, part: str, budget: int) -> int:
+        size = 8 * budget + 64
+        while True:
+            some = part[:size]
+            known, end = self.part_counts(some, budget)
+            if end <= len(some) or len(some) == len(part):
+                break
+            size *= 4
+        fit = max(p for p, n in known.items() if n <= budget)
+        return next((p for p in range(min(end - 1, len(some)), fit, -1) if p not in known and self.count(some[:p]) <= budget), fit)
 
     def of_chunk(self, chunk: str) -> int:
         found = self.memo.get(chunk)
@@ -121,8 +236,7 @@ class WordCounter:
         for m in CHUNK.finditer(text):
             n = self.of_chunk(m[0])
             if spent + n > budget:
-                inside = [p for p, k in enumerate(self.prefixes(m[0]), 1) if spent + k <= budget]
-                return m.start() + max(inside, default=0)
+                return m.start() + self.inside(m[0], budget - spent)
             spent += n
         return len(text)
 

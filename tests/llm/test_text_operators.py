@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -178,6 +179,36 @@ def test_prefix_counts():
         assert mine.prefixes(word) == [len(library.encode(word[:p], add_special_tokens=False).ids) for p in range(1, len(word) + 1)]
 
 
+def test_fitting_prefix_is_the_longest():
+    mine = token_counts.WordCounter(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    rnd = random.Random(12)
+    signs = ["a", "the", "re", "'", "'re", "!", "7", "é", "e\u0301", "\u0323", "\u0301", "中", "文", "한", "\u1112\u1161\u11ab", "Σ", "İ", "<|endoftext|>", "<|end", "😀", "\u0344", "ﬁ", "\u0958"]
+    for _ in range(400):
+        chunk = "".join(rnd.choice(signs[rnd.randrange(3) * 6 :]) for _ in range(rnd.randrange(1, 30)))
+        sizes = [mine.count(chunk[:p]) for p in range(len(chunk) + 1)]
+        assert mine.prefixes(chunk) == sizes[1:], ascii(chunk)
+        for budget in range(0, sizes[-1] + 1, 3):
+            assert mine.inside(chunk, budget) == max(p for p, n in enumerate(sizes) if n <= budget), (ascii(chunk), budget)
+
+
+@pytest.mark.parametrize("kind", ["base64", "chinese", "letters", "code", "decomposed"])
+def test_a_long_chunk_is_cut_in_one_pass(kind):
+    mine = token_counts.WordCounter(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    rnd = random.Random(13)
+    made = {
+        "base64": lambda: base64.b64encode(rnd.randbytes(750_000)).decode(),
+        "chinese": lambda: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(330_000)),
+        "letters": lambda: "".join(rnd.choices("etaoinshrdlu", k=1_000_000)),
+        "code": lambda: "".join(rnd.choices(["if(", "a", "b1", ")", "{", "return", "};", "'re", "x=>"], k=350_000)),
+        "decomposed": lambda: "".join(rnd.choices(["e\u0301", "a", "o\u0302\u0323", "t"], k=350_000)),
+    }
+    text = made[kind]()
+    started = time.process_time()
+    fit = mine.fitting(text, 2048)
+    assert time.process_time() - started < 60
+    assert mine.count(text[:fit]) <= 2048 and all(mine.count(text[: fit + k]) > 2048 for k in range(1, 40))
+
+
 def test_sentence_pieces(docs, none):
     import sentencepiece
 
