@@ -16,7 +16,8 @@ and only the bucket in which the pass ends is put in order.
 
 Defined cases: a null text has size 0.  A null source is a source of its own,
 ranked last.  A source of size 0 has target 0.  Repeated rows are documents of
-their own.  Empty tables give an empty result.
+their own.  A null doc_id is an id like others.  ``repeated`` repeats rows of one
+id, source and number of words alike.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +60,11 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
 
 def mix(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of ``docs`` (doc_id, source, ``text``)."""
+    return _taken(docs, text, share, max_epochs, weights, seed).drop("src")
+
+
+def _taken(docs: DataFrame, text: str, share: float, max_epochs: float, weights: tuple[float, ...], seed: int) -> DataFrame:
+    """As ``mix``, with the source as src."""
     rank = F.xxhash64("doc_id", F.lit(seed))
     sized = stored(docs.select("doc_id", F.col("source").alias("src"), n_words(F.col(text)).alias("size"), rank.alias("rank")), "mix-sizes")
     buckets = max(16, sized.count() // BUCKET_ROWS)
@@ -82,15 +88,17 @@ def mix(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: f
     within = Window.partitionBy("name").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spent = F.sum("size").over(within) - F.col("size")
     ended = placed.where(at_end).withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), left - spent)))
-    return plain.unionByName(ended).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return plain.unionByName(ended).select("doc_id", "src", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; a part of half or more counts as one."""
-    taken = mix(docs, **options)
+    taken = _taken(docs, text, share, max_epochs, weights, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(1)).cast("int")
-    copies = stored(taken.groupBy("doc_id").agg(F.max(times).alias("mix_times")).where("mix_times > 0"), "mix-times")
-    rows = docs.join(copies, "doc_id")
+    of_row = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("src").alias("mix_src"), F.col("size").alias("mix_size")).agg(F.max(times).alias("mix_times"))
+    copies = stored(of_row.where("mix_times > 0"), "mix-times")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_src")) & (F.col("mix_words") == F.col("mix_size"))
+    rows = docs.withColumn("mix_words", n_words(F.col(text))).join(copies, same)
     return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
 
 

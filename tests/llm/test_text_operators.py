@@ -352,6 +352,16 @@ def test_mixing(spark):
     assert max(times.values()) <= 4 and times[601] == 1
 
 
+def test_null_ids_are_mixed(spark):
+    rows = [(None if i % 3 == 0 else i, [None, "a", "b"][i % 7 % 3], " ".join(["w"] * (5 + i))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["size"]] += int(r["taken"] / r["size"] + 0.5)
+    got = Counter((r["doc_id"], len(r["text"].split())) for r in mixing.repeated(df).collect())
+    assert got == +want and any(i is None for i, _ in got)
+
+
 def test_words_are_counted(spark):
     texts = ["", " a", "a\u00a0b c\x0b\x0c d\r\n", "\x1f x", "😀 y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
