@@ -8,12 +8,14 @@ one-versus-rest kernel ridge regression is fitted on it.  Since the kernel to a
 landmark is linear in the features, landmarks and coefficients are multiplied
 once, and a batch of texts is scored by one product of matrices.
 
-The classifier is fitted on a bounded sample: of each of the ``MAX_LANGUAGES``
-most frequent labels about ``PER_LANGUAGE`` documents, chosen by a hash of the
-id, with whole texts.  Labels, sources and ids are no features.
+The classifier is fitted on a bounded sample: of each label about
+``PER_LANGUAGE`` documents, chosen by a hash of the id, with whole texts.  With
+many labels each has an equal part of ``SAMPLE`` documents, ``LEAST`` at least.
+Labels, sources and ids are no features.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
-so is every text if there is nothing to learn from.  A null id is not held out.
+so is every text if there is nothing to learn from; the stage (``identified``)
+then keeps all that has a letter.  A null id is not held out.
 Repeated rows are judged one by one.  An empty table gives an empty result.
 """
 
@@ -35,8 +37,10 @@ from .common import table
 N = 3
 DIM = 1 << 15
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 48
-LANDMARKS = 160
+#: Documents of all labels together, and of each label however many there are.
+SAMPLE, LEAST = 38_400, 20
+#: Landmarks, and the least number for each label.
+LANDMARKS, FOR_EACH = 160, 2
 RIDGE = 1e-3
 SEED = 71
 UNKNOWN = "und"
@@ -70,19 +74,28 @@ def features(text: str | None) -> np.ndarray | None:
     return found
 
 
-def fit(found: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression over a Nystroem map; ``found`` has a row of features a text."""
-    names = sorted(set(labels))
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Features of texts divided by the root of their number, a row a text."""
+    found = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
     x = found.astype(np.float32)
     x /= np.sqrt(np.maximum(1, found.sum(axis=1, dtype=np.float32)))[:, None]
-    chosen = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-    marks = x[chosen]
+    return x
+
+
+def fit(bits: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression over a Nystroem map; ``bits`` has the packed features of each text."""
+    names = sorted(set(labels))
+    landmarks = max(landmarks, FOR_EACH * len(names))
+    chosen = np.unique(np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int))
+    marks = unpacked([bits[i] for i in chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = values > 1e-6 * values.max()
     whiten = vectors[:, ok] / np.sqrt(values[ok])
-    mapped = (x @ marks.T).astype(np.float64) @ whiten
-    target = np.array([[float(name == label) for name in names] for label in labels])
-    beta = np.linalg.solve(mapped.T @ mapped + ridge * len(x) * np.eye(mapped.shape[1]), mapped.T @ target)
+    mapped = np.concatenate([(unpacked(bits[low : low + BATCH]) @ marks.T).astype(np.float64) @ whiten for low in range(0, len(bits), BATCH)])
+    target = np.zeros((len(labels), len(names)))
+    at = {name: i for i, name in enumerate(names)}
+    target[np.arange(len(labels)), [at[label] for label in labels]] = 1.0
+    beta = np.linalg.solve(mapped.T @ mapped + ridge * len(bits) * np.eye(mapped.shape[1]), mapped.T @ target)
     return Model(names, (marks.T.astype(np.float64) @ (whiten @ beta)).astype(np.float32))
 
 
@@ -109,11 +122,12 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Model | None:
     """The model of ``docs`` (doc_id, text, lang), learnt from labelled rows that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
     chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
     chosen = labelled.where(chance < F.element_at(share, F.col("lang")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +137,11 @@ def train(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column("rank").take(pa.array(keep, pa.int64())), batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([np.packbits(found[i]).tobytes() for i in keep], pa.binary())], ["rank", "lang", "bits"])
 
     rows = chosen.select(F.xxhash64("doc_id", "text").alias("rank"), "lang", "text").mapInArrow(kernel, "rank long, lang string, bits binary")
-    got = sorted(rows.limit(2 * PER_LANGUAGE * MAX_LANGUAGES).collect())
+    # Twice what is expected: only a sample of rows that repeat an id comes near it.
+    got = sorted(rows.limit(2 * max(SAMPLE, each * len(counts))).collect())
     if not got:
         return None
-    return fit(np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in got]), [r["lang"] for r in got])
+    return fit([bytes(r["bits"]) for r in got], [r["lang"] for r in got])
 
 
 def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:

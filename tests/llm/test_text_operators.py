@@ -432,6 +432,17 @@ def test_language(spark, docs, none, sf):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_every_label_is_learnt(spark):
+    rnd = random.Random(21)
+    words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(60)}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=30)), lang) for i, lang in enumerate(sorted(words) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.labels == sorted(words)
+    right = language.with_language(df, model).where(language.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.95
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
