@@ -159,11 +159,12 @@ def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred",
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have no language: no text, or no letter in it."""
+    """``docs`` without those that have no language: no text, or no letter in it, or ``und`` by a fitted model."""
     names = ["_language_of_text", "_language_score"]
     while set(names) & set(docs.columns):
         names = [f"_{n}" for n in names]
-    return with_language(docs, train(docs), *names).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+    anything = Model([""], np.zeros((DIM, 1), np.float32))  # tells only whether there is a letter
+    return with_language(docs, train(docs) or anything, *names).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

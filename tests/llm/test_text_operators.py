@@ -443,6 +443,12 @@ def test_every_label_is_learnt(spark):
     assert right > 0.95
 
 
+def test_documents_stay_where_nothing_is_labelled(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.train(unlabelled) is None
+    assert {r["doc_id"] for r in language.identified(unlabelled).collect()} == {3, 4, 5, 6, 7, 8, 9, 11, None}
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
