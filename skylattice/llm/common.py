@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Where the cluster names none (tests on one machine) a local folder is set.
+    Where none is named, one machine's own folder will do only if all of Spark runs on it.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = tempfile.mkdtemp(prefix="skylattice-")
@@ -33,16 +36,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _in_store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+#: Paths of the tables that ``stored`` wrote.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what
     stands before, and later branches read columns instead of computing them.
+    The table goes with ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store, at = _in_store(spark, path)
+    store.deleteOnExit(at)
+    again = spark.read.schema(df.schema).parquet(path)
+    _paths[again] = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        store, at = _in_store(df.sparkSession, _paths.pop(df))
+        store.delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,8 +4,10 @@ A listed rule is a host and a path prefix with an action.  Its canonical key is
 ``host + path``.  Every url is expanded to the few keys a rule could have: for
 each *shape* (number of host labels, length of path) that occurs in the list,
 one key.  Keys run through a blocked Bloom filter (blocks of eight 64-bit
-words, one bit in each); what passes goes to an exact join with the list,
-which removes the false positives.  Only DataFrame functions are used.
+words, one bit in each); what misses it ends there, and only possible hits go
+to an exact join with the list, which removes the false positives.  The longest
+rule of a row comes back to it by its row number; rows without a hit never enter
+that join's other side.  Only DataFrame functions are used.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits
 no rule and takes the default verdict.  Repeated urls and repeated page ids are
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, if_small, table
+from .common import ascii_lower, if_small, stored, table
 
 #: The list of the query contract: action, host, path prefix.
 RULES = [
@@ -32,6 +34,10 @@ RULES = [
 
 WORDS = 8
 BITS_PER_KEY = 16
+#: Bytes up to which the filter or the list is sent to every executor.
+BROADCAST = 8_000_000
+#: Tasks that the probes of one hot key are dealt to where the list is joined by a shuffle.
+SALTS = 16
 DEFAULT = "allow"
 
 
@@ -65,6 +71,26 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.groupBy(bloom_block(F.col("key"), blocks).alias("block")).agg(*[F.bit_or(m).alias(f"w{i}") for i, m in enumerate(masks)])
 
 
+def possible(probes: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
+    """``probes`` (key, ...) without those whose key the filter does not hold."""
+    masks = bloom_masks(F.col("key"))
+    may = F.lit(True)
+    for i, m in enumerate(masks):
+        may = may & (F.col(f"w{i}").bitwiseAND(m) == m)
+    names = probes.columns
+    if 72 * blocks <= BROADCAST:
+        met = probes.withColumn("block", bloom_block(F.col("key"), blocks)).join(F.broadcast(bloom), "block")
+    else:
+        met = _salted(probes.withColumn("block", bloom_block(F.col("key"), blocks)), bloom, "block")
+    return met.where(may).select(*names)
+
+
+def _salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Join by ``on`` in ``SALTS`` copies of ``right``: a hot key's rows of ``left`` (row, ...) go to as many tasks."""
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(copies, [on, "salt"]).drop("salt")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """Judge ``pages`` (page_id, url) by ``rules`` (action, host, path); longest rule wins."""
     listed = rules.select("action", ascii_lower(F.col("host")).alias("host"), "path", F.concat(ascii_lower(F.col("host")), "path").alias("key")).where("key is not null")
@@ -76,22 +102,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
     host, path = F.col("host"), F.col("path")
     keys = [F.when((host != "") & (F.length(path) >= chars), F.concat(F.substring_index(host, ".", -labels), F.left(path, F.lit(chars)))) for labels, chars in shapes]
-    keys = keys or [F.lit(None).cast("string")]
-    probes = split.select("*", F.explode(F.array(F.lit(None).cast("string"), *keys)).alias("key"))
-
-    bloom = if_small(bloom_filter(by_key, blocks), 72 * blocks)
-    masks = bloom_masks(F.col("key"))
-    may = F.lit(True)
-    for i, m in enumerate(masks):
-        may = may & (F.col(f"w{i}").bitwiseAND(m) == m)
-    passed = probes.withColumn("block", bloom_block(F.col("key"), blocks)).join(bloom, "block", "left").withColumn("key", F.when(may, F.col("key"))).select("row", "page_id", "host", "path", "key")
-    hits = passed.join(if_small(by_key, 2 * size["chars"] + 32 * size["n"]), "key", "left")
-    best = F.max(F.when(F.col("action").isNotNull(), F.struct(F.length("key").alias("chars"), F.col("key").alias("rule"), F.col("action").alias("action"))))
-    return (
-        hits.groupBy("row", "page_id", "host", "path")
-        .agg(best.alias("best"))
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
-    )
+    if not keys:
+        return split.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    split = stored(split, "urls")  # row numbers are written down, so that both branches below have the same
+    probes = split.select("row", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+    passed = possible(probes, bloom_filter(by_key, blocks), blocks)
+    n_bytes = 2 * size["chars"] + 32 * size["n"]
+    hits = passed.join(F.broadcast(by_key), "key") if n_bytes <= BROADCAST else _salted(passed, by_key, "key")
+    best = F.max(F.struct(F.length("key").alias("chars"), F.col("key").alias("rule"), F.col("action").alias("action")))
+    judged = stored(hits.groupBy("row").agg(best.alias("best")).select("row", "best.rule", "best.action"), "url-hits")
+    found = if_small(judged, judged.agg(F.coalesce(F.sum(F.length("rule") * 2 + 40), F.lit(0))).first()[0])
+    return split.join(found, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:

@@ -481,3 +481,16 @@ def test_sql_of_the_registered_queries(spark, sf):
         r = c.execute(sql)
         order = [d[0] for d in r.description]
         assert sorted(map(repr, (tuple(x) for x in df.select(order).collect()))) == sorted(map(repr, r.fetchall())), name
+
+
+def test_misses_end_at_the_filter(spark):
+    keys = spark.range(400).select(F.concat(F.lit("k"), "id").alias("key"))
+    probes = spark.range(20_000).select(F.col("id").alias("row"), F.concat(F.lit("k"), "id").alias("key"))
+    bloom = url_filter.bloom_filter(keys, 16)
+    passed = url_filter.possible(probes, bloom, 16)
+    assert passed.where("row < 400").count() == 400 and passed.count() < 1200
+
+
+def test_urls_where_the_list_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST", -1)
+    test_urls(spark)
