@@ -3,16 +3,20 @@
 A score is the sum of ``LISTS`` partial scores, one for each slice of the
 vectors' components.  Queries are taken in blocks of bounded size; for a block
 
-1. every task gathers, for each query, the best entries of each list among its
-   rows, scores them whole and keeps the k best; the k-th best of all tasks is a
-   lower bound of the final k-th score;
-2. that cutoff is broadcast.  An entry that reaches it must reach an equal share
-   of it in at least one list, so only such entries are collected;
-3. their remaining scores are added, exactly, and those that reach the cutoff
-   are ranked.
+1. every task gathers, for each query, the k best entries of each of its local
+   score lists and scores only these whole; the k-th best of all tasks is a lower
+   bound of the final k-th score;
+2. that cutoff is broadcast.  An entry that reaches it has an equal share of it in
+   at least one list, so each list is read down to that depth only: the entries
+   above it are *seen*.  What a seen entry can reach (its known scores, and for
+   each other list less than the depth) must reach the task's own k-th best as
+   well, which rises as entries are resolved; the rest is dropped unresolved;
+3. the remaining entries' missing scores are looked up, exactly, and those that
+   reach the cutoff are ranked.
 
 Vectors are turned into integers, floor(64 x).  Products are made by matrix
-multiplication in 64-bit floats where all sums stay under 2^53, else in integers.
+multiplication in 64-bit floats where all sums stay under 2^53, else in integers;
+where a sum could pass 64 bits the job fails instead of giving a wrong score.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, nor do rows with a null id.  Vectors shorter than the longest count as
@@ -47,7 +51,9 @@ def usable(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     kept = vectors.where("vec_id is not null and embedding is not null").where(fine)
-    return kept.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE)).cast("array<long>").alias("v"))
+    scaled = lambda e: e.cast("double") * SCALE
+    whole = lambda e: F.when(F.abs(scaled(e)) < 2.0**62, F.floor(scaled(e))).otherwise(F.raise_error(F.lit("a component passes 64 bits")).cast("long"))
+    return kept.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, whole).cast("array<long>").alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -62,7 +68,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 def partial_scores(queries: np.ndarray, rows: np.ndarray, lists: int) -> list[np.ndarray]:
     """Of each list: scores of ``queries`` against ``rows``."""
     edge = np.linspace(0, queries.shape[1], lists + 1).astype(int)
-    top = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(rows).max(initial=0))) * max(1, queries.shape[1])
+    top = max(1, *(abs(int(f(queries, initial=0))) for f in (np.max, np.min))) * max(1, *(abs(int(f(rows, initial=0))) for f in (np.max, np.min))) * max(1, queries.shape[1])
+    if top >= 2**63:
+        raise OverflowError("an inner product could pass 64 bits")
     if top < 2**53:
         q, r = queries.astype(np.float64), rows.astype(np.float64).T
         return [q[:, a:b] @ r[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -123,6 +131,38 @@ def _tiles(batches: Iterator[pa.RecordBatch], queries: np.ndarray, width: int, l
                 yield at, ids, partial_scores(queries[at : at + wide], values, lists)
 
 
+class Lists:
+    """The score lists of a tile: of each query, its partial scores against some rows."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        self.resolved = 0  # entries whose whole score was made
+
+    def whole(self, query: int, places: np.ndarray) -> np.ndarray:
+        """Whole scores of the entries at ``places``: the lists looked up one by one."""
+        self.resolved += len(places)
+        return sum(p[query, places] for p in self.parts).astype(np.int64)
+
+    def heads(self, k: int) -> np.ndarray:
+        """Places of the k best entries of each list, a row a query."""
+        n = self.parts[0].shape[1]
+        return np.concatenate([np.argpartition(p, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(p), 1)) for p in self.parts], axis=1)
+
+    def down_to(self, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that some list has at its query's depth or above (a matrix), and what they can reach at most.
+
+        An entry's unseen scores are below the depth; depths are whole numbers or -inf.
+        """
+        depth = depths[:, None]
+        seen = np.zeros(self.parts[0].shape, bool)
+        most = np.zeros(self.parts[0].shape)
+        for p in self.parts:
+            at = p >= depth
+            seen |= at
+            most += np.where(at, p, depth - 1)
+        return seen, most
+
+
 def _gathered(rows: DataFrame, shared, width: int, k: int, lists: int) -> DataFrame:
     """Phase 1: (at, score), of each task the k best whole scores among the best entries of each list."""
 
@@ -130,13 +170,10 @@ def _gathered(rows: DataFrame, shared, width: int, k: int, lists: int) -> DataFr
         names, queries = shared.value
         held = [np.empty(0, np.int64)] * len(names)
         for at, ids, parts in _tiles(batches, queries, width, lists):
-            whole = sum(parts)
-            n = whole.shape[1]
-            places = np.concatenate([np.argpartition(p, n - k, axis=1)[:, n - k :] if n > k else np.tile(np.arange(n), (len(p), 1)) for p in parts], axis=1)
-            for i in range(len(whole)):
-                p = np.unique(places[i])
-                p = p[ids[p] != names[at + i]]
-                s = np.concatenate([held[at + i], whole[i, p].astype(np.int64)])
+            tile = Lists(parts)
+            for i, places in enumerate(tile.heads(k)):
+                p = np.unique(places)
+                s = np.concatenate([held[at + i], tile.whole(i, p[ids[p] != names[at + i]])])
                 held[at + i] = np.partition(s, len(s) - k)[len(s) - k :] if len(s) > k else s
         sizes = [len(s) for s in held]
         if sum(sizes):
@@ -145,30 +182,38 @@ def _gathered(rows: DataFrame, shared, width: int, k: int, lists: int) -> DataFr
     return rows.mapInArrow(gather, "at int, score long")
 
 
+def sufficient(tile: Lists, ids: np.ndarray, names: np.ndarray, cutoff: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
+    """Phases 2 and 3 for a tile: adds to ``held`` (ids, scores) of each query its entries that reach ``cutoff``, the k best at most."""
+    lists = len(tile.parts)
+    known = np.array([max(int(c), int(s.min())) if len(s) >= k else int(c) for c, (_, s) in zip(cutoff, held, strict=True)], np.int64)
+    some = known != LOWEST  # of a query without k candidates every entry counts
+    depth = np.where(some, -(-known // lists), -np.inf)
+    seen, most = tile.down_to(depth)
+    seen &= most >= np.where(some, known, -np.inf)[:, None]
+    seen &= ids[None, :] != names[:, None]
+    for i in np.flatnonzero(seen.any(axis=1)):
+        p = np.flatnonzero(seen[i])
+        a, b = held[i]
+        s = tile.whole(i, p)
+        fit = s >= known[i]
+        a, b = np.concatenate([a, ids[p[fit]]]), np.concatenate([b, s[fit]])
+        keep = best(a, b, k)
+        held[i] = (a[keep], b[keep])
+
+
 def _collected(rows: DataFrame, shared, cutoffs, width: int, k: int, lists: int) -> DataFrame:
     """Phases 2 and 3: (query_id, copy, vec_id, score) of entries that reach the cutoff, each task's k best at most."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
         cutoff = cutoffs.value
-        # Of a query without k candidates every entry counts.
-        share = np.where(cutoff == LOWEST, -np.inf, np.ceil(cutoff / lists))
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
         held = [none] * len(names)
         for at, ids, parts in _tiles(batches, queries, width, lists):
-            n = len(parts[0])
-            reach = parts[0] >= share[at : at + n, None]
-            for p in parts[1:]:
-                reach |= p >= share[at : at + n, None]
-            whole = sum(parts)
-            reach &= whole >= np.where(cutoff[at : at + n] == LOWEST, -np.inf, cutoff[at : at + n])[:, None]
-            reach &= ids[None, :] != names[at : at + n, None]
-            for i in np.flatnonzero(reach.any(axis=1)):
-                p = np.flatnonzero(reach[i])
-                a, b = held[at + i]
-                a, b = np.concatenate([a, ids[p]]), np.concatenate([b, whole[i, p].astype(np.int64)])
-                keep = best(a, b, k)
-                held[at + i] = (a[keep], b[keep])
+            end = at + len(parts[0])
+            mine = held[at:end]
+            sufficient(Lists(parts), ids, names[at:end], cutoff[at:end], mine, k)
+            held[at:end] = mine
         sizes = [len(a) for a, _ in held]
         if sum(sizes):
             first = np.searchsorted(names, names)  # ids that repeat among the queries

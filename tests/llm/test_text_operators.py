@@ -494,3 +494,25 @@ def test_misses_end_at_the_filter(spark):
 def test_urls_where_the_list_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST", -1)
     test_urls(spark)
+
+
+def test_topk_resolves_only_sufficient_entries():
+    rnd = np.random.default_rng(4)
+    queries, rows = rnd.integers(-60, 60, (5, 64)), rnd.integers(-60, 60, (4000, 64))
+    exact = queries @ rows.T
+    tile = topk.Lists(topk.partial_scores(queries, rows, 4))
+    cutoff = np.sort(exact, axis=1)[:, -20]
+    held = [(np.empty(0, np.int64), np.empty(0, np.int64))] * 5
+    topk.sufficient(tile, np.arange(4000), np.full(5, -1), cutoff, held, 20)
+    assert 0 < tile.resolved < 0.6 * exact.size
+    for i, (ids, scores) in enumerate(held):
+        want = topk.best(np.arange(4000), exact[i], 20)
+        assert ids.tolist() == want.tolist() and scores.tolist() == exact[i][want].tolist()
+
+
+def test_topk_fails_rather_than_overflow(spark):
+    df = spark.createDataFrame([(0, [2.0**27] * 64), (1, [2.0**27] * 64)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
