@@ -295,10 +295,21 @@ def test_warc(spark, least):
         want.append((i, len(body(t)), base64.b32encode(hashlib.sha1(body(t)).digest()).decode(), "revisit" if again else "response", first[body(t)] if again else None))
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in warc.read_records(archive).collect())
     assert archive.payloads.count() == len({body(t) for _, _, t in rows})
-    rebuilt = sorted((repr(r["page_id"]), repr(r["url"]), bytes(r["payload"])) for r in warc.rebuild(archive).collect())
-    assert rebuilt == sorted((repr(i), repr(u), body(t)) for i, u, t in rows)
-    record = warc.rebuild(archive).where("page_id = 3").first()["record"]
-    assert bytes(record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(record).endswith(b"\r\n\r\nsame\r\n\r\n")
+    rebuilt = warc.rebuild(archive).collect()
+    assert sorted((repr(r["page_id"]), repr(r["url"])) for r in rebuilt) == sorted((repr(i), repr(u)) for i, u, _ in rows)
+    for r in rebuilt:
+        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Date", "WARC-Record-ID", "WARC-Type"} <= set(fields) and block.endswith(b"\r\n\r\n")
+        assert int(fields["Content-Length"]) == len(block) - 4
+        if fields["WARC-Type"] == "response":
+            assert block[:-4].partition(b"\r\n\r\n")[2] in {body(t) for i, u, t in rows if (i, u) == (r["page_id"], r["url"])}
+        else:
+            assert len(block) == 4 and "WARC-Refers-To" in fields
+    ids = {}
+    for r in rebuilt:
+        ids.setdefault(re.search(rb"WARC-Record-ID: (\S+)", bytes(r["record"]))[1], set()).add((r["page_id"], r["url"]))
+    assert all(len(v) == 1 for v in ids.values())
 
 
 def test_warc_of_nothing_and_of_changed_bytes(spark):
@@ -307,6 +318,10 @@ def test_warc_of_nothing_and_of_changed_bytes(spark):
     bad = warc.Archive(spark.createDataFrame([("0" * 64, bytearray(b"x"))], "digest string, payload binary"), None)
     with pytest.raises(Exception, match="does not match"):
         warc.verified(bad).collect()
+    good = warc.read_archive(spark, warc.write_archive(spark.createDataFrame([(1, "u", "page")], empty.schema)))
+    changed = warc.rebuild(good).withColumn("record", F.expr("cast(replace(decode(record, 'UTF-8'), 'page', 'gape') as binary)"))
+    with pytest.raises(Exception, match="another payload"):
+        warc.parsed(changed).collect()
 
 
 def brute_targets(sizes, share, most, weights):
