@@ -4,24 +4,31 @@ A page is scanned once by tags into a tree, as browsers would: raw-text elements
 end at their end tag only, paragraphs and list items close themselves, stray end
 tags are ignored, what is left open ends with the page.  For every node
 
-    density = C / T * log_b(C / NL * T / LT),
+    density = C / T * log_b(C / LC * T / LT),
     b = ln(C / NL * LC + LC_body / C_body * C + e)
 
 with C characters, T tags, LC and LT those within links, NL = C - LC (counts of 0
 become 1).  A node's *sum* is that of its children's densities.  The node of the
 greatest sum holds the article; the least density on its path from the body is
-the threshold that nodes inside the article must reach or else be short of
-links.  Elements that never hold an article's text (menus, headers and footers
-of the page, sidebars, forms, scripts and those whose class, id or role names an
-advert, a notice or reader comments) are left out before.
+the threshold.  Then, from the body down, every node that reaches the threshold
+gives the node of the greatest sum at or under it, and what these nodes hold is
+the article, but for blocks under the threshold that are mostly links.
+
+Tags and names enter as weights of the characters.  What can never hold an
+article's text (scripts, styles, forms, menus, headers and footers of the page,
+sidebars) weighs nothing.  What is called like an advert, a notice, reader
+comments and the like weighs ``NAMED``, so that it falls under any threshold a
+page's other text sets, yet is found where a page has nothing else.  The sum of an
+``article`` is no less than that of any node in it.
 
 Text is decoded, white space in a block becomes one space, blocks are joined by
 an empty line in page order.
 
 Defined cases: a null or empty html, or one without text, gives the empty text.
 Markup that never closes, unknown tags and deep nesting are handled without
-recursion.  A page without a body is all body.  Repeated rows are extracted one
-by one.  An empty table gives an empty result.
+recursion, in time linear in the page.  A page without a body is all body.
+Repeated rows are extracted one by one.  Other columns of ``pages`` are not read,
+so none can clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +44,10 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-MARKS = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute, as the HTML standard scans it: a name, then a quoted or a bare value.
+ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE}|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+MARKS = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?=[\s=/>]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard, by how they are treated here.
@@ -48,6 +58,7 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "option", "optgroup", "tbody", "tfoot", "thead", "tr"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What never holds an article's text.
 NEVER = frozenset("head script style noscript template iframe object applet canvas svg math audio video map nav aside form button input select textarea datalist footer menu dialog title xmp noembed noframes search".split())
 #: Which open elements an opening tag ends, looking no further up than the stop.
 ENDED_BY = {
@@ -64,22 +75,26 @@ ENDED_BY = {
 }
 #: Words in a class, id or role that name what is not the article.
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|contentinfo|cookies?|cookiebar|complementary|disqus|discussion|footer|gdpr|hidden|login|masthead|menu|menubar|modal|nav|navbar|navigation|navigations|newsletter|notices?|overlay|pagination|pager|paywall|popup|promos?|promoted|promotions?|related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebars|signup|site-header|page-header|skip|social|sponsors?|sponsored|subscribe|subscription|tags|toolbar|widgets?|alert|alertdialog|warning-box)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|contentinfo|cookies?|cookiebar|complementary|disqus|discussion|footer|gdpr|hidden|login|masthead|menu|menubar|modal|nav|navbar|navigation|navigations|newsletter|notices?|overlay|pagination|pager|paywall|popup|promos?|promoted|promotions?|related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebars|signup|site-header|page-header|skip|social|sponsors?|sponsored|subscribe|subscription|taglist|toolbar|widgets?|alert|alertdialog|warning-box)(?:$|[\s_-]|\d)",
     re.I,
 )
 KEPT_BY_NAME = frozenset("body html main".split())
-ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry-content|post-content|post-body|main-content|story-body|articletext)(?:$|[\s_-])", re.I)
+ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry|entry-content|main|main-content|post|post-content|post-body|story|story-body|articletext)(?:$|[\s_-])", re.I)
+#: Weight of the characters in what is named like no part of an article.
+NAMED = 1e-6
+SCOPES = ("td", "th", "table")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "article")
+    __slots__ = ("name", "children", "weight", "raw", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    def __init__(self, name: str, weight: float):
+        self.name, self.weight = name, weight
         self.children: list = []  # nodes and texts, in page order
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.raw = self.tags = self.link_tags = 0
+        self.chars = self.link_chars = 0.0  # weighted
         self.density = self.total = 0.0
-        self.article = name == "article"
+        self.best: Node = self  # of the greatest sum at or under this node
 
 
 def camel(text: str) -> str:
@@ -87,160 +102,174 @@ def camel(text: str) -> str:
     return re.sub(r"\b(?:has|with|no|without)[-_]\w+(?:-\w+)*", "", re.sub(r"([a-z])([A-Z])", r"\1-\2", text))
 
 
-def unwanted(name: str, marks: str, parent: Node, by_name: bool) -> bool:
-    """Whether an element never holds the article's text; ``by_name``: by what it is called, too."""
-    if name in NEVER:
-        return True
-    if name == "header":  # of the page, not of an article
-        at: Node | None = parent
-        while at is not None and at.name not in ("article", "main"):
-            at = at.parent
-        if at is None:
-            return True
+def weight_of(name: str, marks: str, in_article: bool) -> float:
+    """What the characters of an element count, by its tag and names."""
+    if name in NEVER or name == "header" and not in_article:
+        return 0.0
     if name in KEPT_BY_NAME or not marks:
-        return False
+        return 1.0
+    named = article = False
     for m in MARKS.finditer(marks):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 0.0
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif by_name and NOT_ARTICLE.search(camel(value)) and not ARTICLE_NAME.search(camel(value)):
-            return True
-    return False
+                return 0.0
+        elif key != "aria-hidden":
+            words = camel(value)
+            article = article or ARTICLE_NAME.search(words) is not None
+            named = named or NOT_ARTICLE.search(words) is not None
+    return NAMED if named and not article else 1.0
+
+
+class Open:
+    """The open elements, and where in the stack those of each name are."""
 
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
 
-def parse(page: str, by_name: bool = True) -> Node:
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, names) -> int:
+        """Place of the innermost open element of one of ``names``; -1 without one."""
+        return max([w[-1] for n in names if (w := self.where.get(n))], default=-1)
+
+    def close(self, place: int) -> None:
+        """End all elements from ``place`` on."""
+        while len(self.stack) > place:
+            self.where[self.stack.pop().name].pop()
+
+
+def parse(page: str) -> Node:
     """The page's tree; texts stay undecoded."""
-    root = Node("#root", None, False)
-    at, pos, n = root, 0, len(page)
-    open_p = 0
+    root = Node("#root", 1.0)
+    open_ = Open(root)
+    unclosed: set[str] = set()  # raw-text elements without an end tag in the rest of the page
+    pos, n = 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
         text_end = m.start() if m else n
         if text_end > pos:
-            at.children.append(page[pos:text_end])
+            open_.stack[-1].children.append(page[pos:text_end])
         if m is None:
             break
         pos = m.end()
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                at.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                open_.stack[-1].children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         name = name.lower()
         if m[1]:  # an end tag
-            if name == "p" and not open_p:
-                continue
-            up: Node | None = at
-            while up is not None and up.name != name:
-                if up.name in ("td", "th", "table") and name not in BLOCK and name not in ("td", "th"):
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                if open_p:
-                    walk = at
-                    while walk is not up.parent:
-                        open_p -= walk.name == "p"
-                        walk = walk.parent
-                at = up.parent
+            place = open_.nearest((name,))
+            if place > 0 and (name in BLOCK or name in SCOPES or place > open_.nearest(SCOPES)):
+                open_.close(place)
             continue
-        if open_p and name in CLOSES_P:
-            up = at
-            while up is not None and up.name != "p" and up.name not in ("td", "th", "table", "button", "object"):
-                up = up.parent
-            if up is not None and up.name == "p":
-                at = up.parent
-                open_p -= 1
+        if name in CLOSES_P:
+            place = open_.nearest(("p",))
+            if place > 0 and place > open_.nearest((*SCOPES, "button", "object")):
+                open_.close(place)
         ended = ENDED_BY.get(name)
         if ended:
-            up, last = at, None
-            while up is not None and up.name not in ended[1]:
-                if up.name in ended[0]:
-                    last = up
-                up = up.parent
-            if last is not None:
-                walk = at
-                while walk is not last.parent:
-                    open_p -= walk.name == "p"
-                    walk = walk.parent
-                at = last.parent
-        node = Node(name, at, at.dropped or unwanted(name, m[3], at, by_name))
-        at.children.append(node)
+            stop = open_.nearest(ended[1])
+            places = [w[i] for e in ended[0] if (w := open_.where.get(e)) and (i := bisect_right(w, stop)) < len(w)]
+            if places:
+                open_.close(min(places))
+        up = open_.stack[-1]
+        weight = min(up.weight, weight_of(name, m[3], bool(open_.where.get("article") or open_.where.get("main"))))
+        node = Node(name, weight)
+        up.children.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCK and name not in RAW and name not in ("a", "b", "i", "em", "strong", "span", "td", "th"):
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
+            close = None
+            if name not in unclosed:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, pos)
+                if close is None:
+                    unclosed.add(name)
             if name in ("script", "style", "title", "textarea", "xmp", "noembed", "noframes", "iframe") or close:
                 pos = close.end() if close else n
                 continue
-        open_p += name == "p"
-        at = node
+        open_.push(node)
     return root
 
 
 def measure(root: Node) -> list[Node]:
-    """Sets each node's counts, its density and its sum; the nodes, parents first."""
+    """Sets each node's counts, its density, its sum and the best node under it; the nodes, parents first."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        todo += [c for c in node.children if not isinstance(c, str)]
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(c) if not c.isspace() else 0
-            elif not c.dropped:
+                if not c.isspace():
+                    node.raw += len(c)
+                    node.chars += len(c) * node.weight
+            else:
+                node.raw += c.raw
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.name == "a")
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
-    share = root.link_chars / max(1, root.chars)
+    body = next((x for x in order if x.name == "body"), root)
+    share = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(order):
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        if c:
-            plain = max(1, c - lc)
-            base = math.log(c / plain * lc + share * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / max(1, lc)) * t / lt + 1e-9) / math.log(max(base, 1.0) + 1.0)
-            node.density = max(0.0, node.density)
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.dropped)
+        if node.chars:
+            part = node.chars / node.raw  # mean weight: counts are taken unweighted, and the density weighted
+            c, lc = node.raw, max(1.0, node.link_chars / part)
+            t, lt = max(1, node.tags), max(1, node.link_tags)
+            base = math.log(c / max(1.0, c - lc) * lc + share * c + math.e)
+            node.density = part * max(0.0, c / t * math.log(max(1.0, c / lc) * t / lt + 1e-9) / math.log(base + 1.0))
+        inside = [x for x in node.children if not isinstance(x, str)]
+        node.total = sum(x.density for x in inside)
+        for x in inside:
+            if x.best.total > node.best.total or x.best.total == node.best.total and node.name in ("#root", "html"):
+                node.best = x.best
+        if node.name == "article" and node.best is not node:
+            node.total = node.best.total
+            node.best = node
     return order
 
 
-def main_node(root: Node) -> tuple[Node, float]:
-    """The node of the greatest sum and the threshold of its path."""
+def article_nodes(root: Node) -> tuple[set[Node], float]:
+    """The nodes that hold the article, and the threshold.
+
+    A node's best has all its text where the node itself has none of its own, so the
+    nodes are found in one walk down from the body.
+    """
     order = measure(root)
-    articles = [x for x in order if x.article and x.chars]
-    best = max(order, key=lambda x: x.total)
-    if articles:  # the page says where its article is: the densest of them
-        inside = {id(x) for x in articles}
-        up: Node | None = best
-        while up is not None and id(up) not in inside:
-            up = up.parent
-        best = up if up is not None else max(articles, key=lambda x: x.chars)
-        while best.parent is not None and any(id(p) in inside for p in above(best)):
-            best = next(p for p in above(best) if id(p) in inside)
-    path = [best, *above(best)]
-    floor = min((x.density for x in path if x.name not in ("#root", "html") and x.density > 0), default=0.0)
-    # One dense paragraph inside a longer article: go up while most text lies beside it.
-    while best.parent is not None and best.name not in ("article", "main", "body") and best.parent.name not in ("#root", "html") and best.parent.chars > 1.1 * best.chars and best.parent.link_chars < 0.3 * best.parent.chars:
-        best = best.parent
-    return best, floor
-
-
-def above(node: Node) -> Iterator[Node]:
-    up = node.parent
-    while up is not None:
-        yield up
-        up = up.parent
-
-
-def blocks(node: Node, floor: float) -> list[str]:
-    """Texts of the blocks inside ``node``."""
+    up: dict[Node, Node] = {c: x for x in order for c in x.children if not isinstance(c, str)}
+    best = root.best
+    floor, at = best.density, best
+    while at in up:
+        at = up[at]
+        if at.name not in ("#root", "html") and at.density > 0:
+            floor = min(floor, at.density)
+    found: set[Node] = set()
+    start = next((x for x in order if x.name == "body"), root)
+    todo = [root] if start is not root and root.chars > start.chars else [start]
+    while todo:
+        node = todo.pop()
+        if node.density >= floor and node.weight > 0 or node is root:
+            if node.best.chars:
+                found.add(node.best)
+            if node.best is not node:
+                todo += [c for c in node.children if not isinstance(c, str)]
+    if not found and best.chars:
+        found.add(best)
+    return found, floor
+
+
+def blocks(root: Node, chosen: set[Node], floor: float) -> list[str]:
+    """Texts of the blocks inside the ``chosen`` nodes, in page order."""
     out: list[str] = []
     line: list[str] = []
 
@@ -251,42 +280,45 @@ def blocks(node: Node, floor: float) -> list[str]:
                 out.append(text)
             line.clear()
 
-    todo: list = [node]
+    todo: list = [(root, None)]
     while todo:
-        x = todo.pop()
+        x, within = todo.pop()  # a node or a text, and the chosen node it lies in
         if x is None:
             close()
         elif isinstance(x, str):
-            line.append(x)
-        elif x.dropped or (x is not node and linky(x, floor)):
+            if within is not None:
+                line.append(x)
+        elif within is not None and under(x, within, floor):
             if x.name in BLOCK:
                 close()
-        elif x.name in BLOCK:
-            close()
-            todo.append(None)
-            todo.extend(reversed(x.children))
         else:
-            if x.name in ("br", "td", "th", "wbr") or x.name == "img":
-                line.append("" if x.name == "wbr" else " ")
-            todo.extend(reversed(x.children))
+            if within is None and x in chosen:
+                within = x
+            if x.name in BLOCK:
+                close()
+                todo.append((None, within))
+            elif x.name in ("br", "td", "th", "img"):
+                line.append(" ")
+            todo.extend((c, within) for c in reversed(x.children))
     close()
     return out
 
 
-def linky(node: Node, floor: float) -> bool:
-    """A block under the threshold that is mostly links, such as a list of other pages."""
-    return node.name in ("ul", "ol", "div", "section", "table", "dl", "p") and node.density < floor and node.link_tags > 1 and node.link_chars > 0.5 * node.chars
+def under(node: Node, within: Node, floor: float) -> bool:
+    """Whether a node in the article is no part of it: by its weight, or as a block of links, under the threshold."""
+    if node.weight == 0:
+        return True
+    if node.density >= floor:
+        return False
+    linked = node.name in ("ul", "ol", "div", "section", "table", "dl", "p") and node.link_tags > 1 and node.link_chars > 0.5 * node.chars
+    return linked or node.weight < within.weight and node.raw > 0
 
 
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    page = page.replace("\x00", "")
-    for by_name in (True, False):  # a page all of whose text stands in what is called a widget has it there
-        found = blocks(*main_node(parse(page, by_name)))
-        if found:
-            break
-    return "\n\n".join(found)
+    root = parse(page.replace("\x00", ""))
+    return "\n\n".join(blocks(root, *article_nodes(root)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

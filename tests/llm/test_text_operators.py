@@ -531,3 +531,56 @@ def test_topk_fails_rather_than_overflow(spark):
         topk.search(df).collect()
     with pytest.raises(Exception, match="64 bits"):
         topk.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def sentences(n, start=0):
+    return [f"This is sentence number {k} of a text that says a few things at some length." for k in range(start, start + n)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+LINKS = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(12))
+
+
+def test_density_finds_the_text_without_telling_tags():
+    want = sentences(7)
+    page = f"<html><body><div><ul>{LINKS}</ul></div><div>{paragraphs(want)}</div><div><a href=a>About</a> <a href=b>Terms</a> <a href=c>Help</a> x</div></body></html>"
+    assert html_text.extract(page) == "\n\n".join(want)
+    order = html_text.measure(root := html_text.parse(page))
+    assert root.best.name == "div" and root.best.total == max(x.total for x in order)
+    inner = f"<body><div><ul>{LINKS}</ul></div><div><h1>A heading of the text, in a block of its own</h1><div>{paragraphs(want)}</div></div></body>"
+    assert html_text.extract(inner) == "\n\n".join(["A heading of the text, in a block of its own", *want])
+
+
+def test_the_greatest_sum_and_not_a_tag_decides():
+    """The text beside an article of one line is the page's article where its sum is greater."""
+    want = sentences(9)
+    page = f"<body><div>{paragraphs(want)}</div><div><ul>{LINKS}</ul></div></body>"
+    assert html_text.extract(page) == "\n\n".join(want)
+    several = "<body>" + "".join(f"<article>{paragraphs(sentences(3, k))}</article>" for k in (0, 3, 6)) + f"<ul>{LINKS}</ul></body>"
+    assert html_text.extract(several) == "\n\n".join(sentences(9))
+    linked = f"<body><div>{paragraphs(want)}<ul>{LINKS}</ul></div></body>"
+    assert html_text.extract(linked) == "\n\n".join(want)
+
+
+def test_names_weigh_but_do_not_lose_a_story():
+    story = " ".join(sentences(6))
+    assert html_text.extract(f"<div class='story tags'><p>{story}</p></div><p>x</p>").startswith(story)
+    assert html_text.extract(f"<body><div class=widget>{paragraphs(sentences(4))}</div></body>") == "\n\n".join(sentences(4))
+    with_ad = f"<body><div id=a>{paragraphs(sentences(4))}<div class=ad>{' '.join(sentences(9))}</div></div></body>"
+    assert html_text.extract(with_ad) == "\n\n".join(sentences(4))
+
+
+def test_html_is_scanned_as_browsers_do():
+    assert html_text.extract("<p title=don't>first</p><p>second</p>") == "first\n\nsecond"
+    assert html_text.extract("<p title='a>b' data-x=\"</p>\" hidden-not>first<p class=>second") == "first\n\nsecond"
+    assert html_text.extract("<p>1 < 2 and <3 and a<b</p") == "1 < 2 and <3 and a"
+
+
+@pytest.mark.parametrize("part", ["</b>", "<span></i>", "<div>", "<noscript>", "<p a='", "<a ", "<li>", "<ul><li>", "<!--", "<table><td>", "<", "x=\"'"])
+def test_long_pages_take_linear_time(part):
+    started = time.process_time()
+    html_text.extract("<p>start<b>" + part * 200_000)
+    assert time.process_time() - started < 20
