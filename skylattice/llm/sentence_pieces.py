@@ -2,13 +2,16 @@
 
 The installed model is a BPE model, so a path's worth is not a sum of scores: a
 path survives where its tokens are what the model's merges give (``bpe``), which
-leaves one backpointer a position.  The pass keeps a window no longer than it
-must: a later piece can start only within the longest piece's length of the
-newest position, and once the backpointer paths of all those positions run
-through one boundary, the ids before it are committed and the window moves up.
+leaves one backpointer a position.  The pass takes a text in parts and keeps a
+window no longer than it must: a later piece can start only within the longest
+piece's length of the newest position, and once the backpointer paths of all those
+positions run through one boundary, the ids before it are committed and the
+window moves up.
 
-No piece has the space mark after another letter, so every path meets at the
-start of each marked word.  Words seen before are looked up.
+No piece has the space mark after another letter (checked when the model is
+read), so every path meets at the start of each marked word: there the window
+is empty.  A word whose pass is remembered is not run again; its ids are committed
+at that boundary at once.  ``window`` is the most letters the window had to hold.
 
 Encoding equals the model's own: the text gets a leading space mark, spaces turn
 into marks, and letters without a piece fall back to their UTF-8 bytes' pieces.
@@ -18,7 +21,8 @@ the leading space.
 Defined cases: a null or empty text has no ids and decodes to the empty text.
 U+2581 in a text is a space to the model and decodes to one; ``restored`` tells
 whether decoding gave the text back, comparing such marks as spaces.  Repeated
-rows are encoded one by one.  An empty table gives an empty result.
+rows are encoded one by one.  Other columns are not read, so none can clash.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +43,10 @@ from .token_counts import LONG, remember, vocabulary_path
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Positions after which the window looks for a common boundary.
+#: Letters after which the window looks for a common boundary.
 LOOK = 64
+#: Letters of a text that are normalised and cut into words at a time.
+PART = 1 << 16
 
 
 class Pieces:
@@ -55,10 +61,11 @@ class Pieces:
         self.bytes_from = next(i for i in range(size) if model.is_byte(i))
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         cost = {self.pieces[i]: -model.get_score(i) for i in plain}
+        if any(MARK in p.lstrip(MARK) for p in cost):
+            raise ValueError(f"{path} has pieces across words")
         self.program = Program([self.pieces[i] for i in plain], lambda a, b: cost.get(a + b))
         self.ids = [0, *plain]  # by the program's numbers
         self.longest = self.program.longest
-        self.joined = {p[i : i + 2] for p in cost for i in range(len(p) - 1)}
         self.is_byte = np.zeros(size, bool)
         self.is_byte[self.bytes_from : self.bytes_from + 256] = True
 
@@ -73,11 +80,6 @@ class Pieces:
             at += size
         return out
 
-    def parts(self, word: str) -> list[str]:
-        """``word`` cut between letters that no piece has side by side: every path has a boundary there."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-
 
 class StreamingEncoder:
     """Takes a normalised text in parts, gives ids as soon as they are certain."""
@@ -88,63 +90,90 @@ class StreamingEncoder:
 
     def reset(self) -> None:
         self.text = ""  # the window, from the last committed boundary on
-        self.last: list[int] = [0]  # of each position in the window: the piece that ends there
+        self.last: list[int] = [0]  # of each position in the window: the piece that ends there, -1 while there is none
         self.start: list[int] = [0]  # and where that piece starts
+        self.done = 0  # starts from which all pieces have been tried
         self.widest = 0  # the most letters the window has held
 
     def feed(self, more: str) -> list[int]:
         out: list[int] = []
         for at in range(0, len(more), LOOK):
-            self.text += more[at : at + LOOK]
-            self._advance()
-            out += self._commit(self._boundary())
+            self._take(more[at : at + LOOK])
+            self._advance(len(self.text) - self.pieces.longest + 1)
+            end = self._boundary()
+            if end:
+                out += self._commit(end)
         return out
 
     def flush(self) -> list[int]:
-        out = self._commit(len(self.text))
-        self.reset()
+        """Ids of what is still in the window; the text ends here."""
+        n = len(self.text)
+        self._advance(n)
+        self._unknown(n)
+        out = self._commit(n)
+        self.text, self.last, self.start, self.done = "", [0], [0], 0
         return out
 
-    def whole(self, part: str) -> list[int]:
-        """``feed`` and ``flush`` of a part that fits the window: its paths meet at its end."""
-        if len(part) > LOOK:
-            return [*self.feed(part), *self.flush()]
-        return self.pieces.spelled(self.pieces.program.path(part), part)
-
-    def _advance(self) -> None:
+    def word(self, word: str) -> list[int]:
+        """Ids of a word between two certain boundaries: ``feed`` and ``flush``, without looking for a boundary inside a short one."""
+        if len(word) <= LOOK:
+            self._take(word)
+            return self.flush()
+        return [*self.feed(word), *self.flush()]
+
+    def _take(self, more: str) -> None:
+        self.text += more
+        self.last += [-1] * len(more)
+        self.start += [0] * len(more)
+        self.widest = max(self.widest, len(self.text))
+
+    def _unknown(self, j: int) -> int:
+        """The piece that ends at ``j``; where none does, no piece has the letter before."""
+        if self.last[j] < 0:
+            self.last[j], self.start[j] = 0, j - 1
+        return self.last[j]
+
+    def _advance(self, upto: int) -> None:
+        """Try the pieces that start before ``upto``; all of them end inside the window or the text."""
         text, last, start, program = self.text, self.last, self.start, self.pieces.program
-        for i in range(len(last), len(text) + 1):
-            for size in range(1, min(i, program.longest) + 1):
-                piece = program.numbers.get(text[i - size : i])
-                if piece and program.fits(last[i - size], piece):
-                    last.append(piece)
-                    start.append(i - size)
+        n, root, fits = len(text), program.root, program.fits
+        for j in range(self.done, upto):
+            b = last[j] if last[j] >= 0 else self._unknown(j)
+            after, children = program.after(b), root
+            for k in range(j, n):
+                node = children.get(text[k])
+                if node is None:
                     break
-            else:  # no piece has this letter
-                last.append(0)
-                start.append(i - 1)
-        self.widest = max(self.widest, len(text))
+                children, token, _ = node
+                if token and last[k + 1] < 0:
+                    ok = after.get(token)
+                    if ok is None:
+                        ok = fits(b, token)
+                    if ok:
+                        last[k + 1], start[k + 1] = token, j
+        self.done = max(self.done, upto)
 
     def _boundary(self) -> int:
         """The last position through which the paths of all open positions run."""
-        n = len(self.text)
-        open_ = set(range(max(0, n - self.pieces.longest + 1), n + 1))
+        done, n = self.done, len(self.text)
+        open_ = {done, *[k for k in range(done + 1, min(n, done + self.pieces.longest) + 1) if self.last[k] >= 0]}
         while len(open_) > 1:
             far = max(open_)
             open_.discard(far)
-            open_.add(self.start[far])
+            open_.add(self.start[far] if self.last[far] >= 0 else far - 1)
         return open_.pop()
 
     def _commit(self, end: int) -> list[int]:
         tokens, i = [], end
         while i > 0:
-            tokens.append(self.last[i])
+            tokens.append(self._unknown(i))
             i = self.start[i]
         tokens.reverse()
         out = self.pieces.spelled(tokens, self.text)
         self.text = self.text[end:]
         self.last = self.last[end:]
-        self.start = [0, *[s - end for s in self.start[end + 1 :]]]
+        self.start = [s - end for s in self.start[end:]]
+        self.done -= end
         return out
 
 
@@ -153,35 +182,49 @@ class Codec:
         self.pieces = Pieces(path)
         self.stream = StreamingEncoder(self.pieces)
         self.memo: dict[str, bytes] = {}
-        self.of_parts: dict[str, bytes] = {}
         self.plain = [p.replace(MARK, " ") for p in self.pieces.pieces]
 
-    def segment(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
-            found = b"".join(map(self.part, self.pieces.parts(word)))
+            found = array("i", self.stream.word(word)).tobytes()
             if len(word) <= LONG:
                 remember(self.memo, word, found)
         return found
 
-    def part(self, part: str) -> bytes:
-        found = self.of_parts.get(part)
-        if found is None:
-            found = array("i", self.stream.whole(part)).tobytes()
-            if len(part) <= LONG:
-                remember(self.of_parts, part, found)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The ids as the bytes of 32-bit integers."""
-        if not text:
-            return b""
-        words = SEGMENT.findall(MARK + text.replace(" ", MARK))
+    def words(self, words: list[str]) -> bytes:
         found = list(map(self.memo.get, words))
         try:
             return b"".join(found)
         except TypeError:
-            return b"".join([x if x is not None else self.segment(w) for x, w in zip(found, words, strict=True)])
+            return b"".join([x if x is not None else self.word(w) for x, w in zip(found, words, strict=True)])
+
+    def encode(self, text: str) -> tuple[bytes, int]:
+        """The ids as the bytes of 32-bit integers, and the most letters the window had to hold."""
+        self.stream.reset()
+        out, held, widest = [], MARK if text else "", 0
+        for at in range(0, len(text), PART):
+            part = text[at : at + PART].replace(" ", MARK)
+            if not held:  # the window is inside a word
+                end = re.match(f"{MARK}*[^{MARK}]*" if self.stream.text.endswith(MARK) else f"[^{MARK}]*", part).end()
+                out.append(array("i", self.stream.feed(part[:end])).tobytes())
+                if end == len(part):
+                    continue
+                out.append(array("i", self.stream.flush()).tobytes())
+                part = part[end:]
+            words = SEGMENT.findall(held + part)
+            held = words.pop()  # its end is not known yet
+            out.append(self.words(words))
+            widest = max(widest, *filter(LONG.__ge__, map(len, words)), 0)
+            if len(held) > LONG:
+                out.append(array("i", self.stream.feed(held)).tobytes())
+                held = ""
+        if held:
+            out.append(self.word(held))
+            widest = max(widest, min(len(held), LONG))
+        else:
+            out.append(array("i", self.stream.flush()).tobytes())
+        return b"".join(out), max(widest, self.stream.widest)
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
@@ -205,25 +248,27 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, restored) of ``docs`` (doc_id, text)."""
+    """(doc_id, token_ids, n_tokens, restored, window) of ``docs`` (doc_id, text)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary_path(model))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, restored = [], []
+                ids, restored, window = [], [], []
                 for value in part.column("text"):
                     text = value.as_py() or ""
-                    ids.append(c.encode(text))
-                    restored.append(c.decode(np.frombuffer(ids[-1], np.int32)) == text.replace(MARK, " "))
+                    found, widest = c.encode(text)
+                    ids.append(found)
+                    window.append(widest)
+                    restored.append(c.decode(np.frombuffer(found, np.int32)) == text.replace(MARK, " "))
                 sizes = np.array([len(x) // 4 for x in ids], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes.astype(np.int64)), pa.array(restored, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "restored"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes.astype(np.int64)), pa.array(restored, pa.bool_()), pa.array(window, pa.int32())], ["doc_id", "token_ids", "n_tokens", "restored", "window"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {id_type}, token_ids array<int>, n_tokens long, restored boolean")
+    return docs.select("doc_id", "text").mapInArrow(kernel, f"doc_id {id_type}, token_ids array<int>, n_tokens long, restored boolean, window int")
 
 
 def op2_sentence_pieces(spark, sf_dir: str) -> DataFrame:
