@@ -4,16 +4,20 @@ For the word BPE of ``word_bpe_49k.json``: text is cut at special strings, each
 part is put in NFC and lower case and cut into words by the file's pattern, and
 each word is a BPE over its bytes whose last symbol carries the end mark.  For a
 word, one pass (``bpe``) gives the last token and the number of tokens of every
-prefix, once as an inner part and once as if the word ended there.  Words stand
-between white space and are counted once each; running sums over a document's
-words then answer how many tokens any prefix has and which prefix fits a budget,
-without encoding again.  The pass over the part where the budget ends stops once
-no longer prefix can fit.  Only a prefix cut inside a letter and its combining
-marks, where that changes the normal form, is encoded by itself, and only near
-the budget's end.
+prefix, once as an inner part and once as if the word ended there.
+
+White space ends words, so a text's *prefix table* is, for each chunk between
+white space, the running sum of tokens before it and the counts of the chunk's own
+prefixes.  The table is made in one pass from left to right (a chunk's counts are
+remembered), and every answer is read from it: the text's tokens are the last sum,
+the tokens of any prefix are a sum and a count, and the longest prefix within a
+budget is found by bisection over the sums and a look at one chunk's counts.
+Only a prefix cut inside a letter and its combining marks, where that changes the
+normal form, is not in a long chunk's table; it is counted when it is asked for.
 
 Defined cases: a null text is empty and has no tokens.  Rows are counted one by
-one, so repeated ids or texts need no care.  An empty table gives an empty result.
+one, so repeated ids or texts need no care.  Other columns are not read, so none
+can clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +26,11 @@ import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -86,11 +93,13 @@ class WordCounter:
             model = json.load(f)
         ranks = {tuple(m): i for i, m in enumerate(model["model"]["merges"])}
         specials = [t["content"] for t in model["added_tokens"]]
+        if any(CHUNK.sub("", t) for t in specials):
+            raise ValueError(f"{path} has special strings with white space")
         self.program = Program([t for t in model["model"]["vocab"] if t not in specials], lambda a, b: ranks.get((a, b)), END)
         self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.pattern = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, bytes] = {}
         self.of_words: dict[str, int] = {}
 
     def normal(self, part: str) -> str:
@@ -113,24 +122,37 @@ class WordCounter:
         return found
 
     def count(self, chunk: str) -> int:
-        """Tokens of a chunk."""
-        if self.specials and "<|" in chunk and self.specials.search(chunk):
+        """Tokens of a chunk, encoded whole."""
+        if self.specials and self.specials.search(chunk):
             parts = self.specials.split(chunk)
             return len(parts) - 1 + sum(self.count(p) for p in parts if p)
         return sum(map(self.of_word, self.words(chunk)))
 
-    def prefixes(self, chunk: str) -> list[int]:
-        """Tokens of chunk[:1], chunk[:2], ... ."""
-        out: list[int] = []
+    def prefixes(self, chunk: str) -> Sequence[int]:
+        """Tokens of chunk[:1], chunk[:2], ...; -1 for a cut inside a letter of a long chunk."""
+        found = self.memo.get(chunk)
+        if found is None:
+            found = self._prefixes(chunk)
+            if len(chunk) <= LONG:
+                found = bytes(found.tolist())  # no letter has more than four tokens
+                remember(self.memo, chunk, found)
+        return found
+
+    def _prefixes(self, chunk: str) -> array:
+        out = array("i")
         before = at = 0
         while True:
             special = self.specials.search(chunk, at) if self.specials else None
             end = special.end() - 1 if special else len(chunk)
             known, _ = self.part_counts(chunk[at:end])
-            out += [before + (known[p] if p in known else self.count(chunk[at : at + p])) for p in range(1, end - at + 1)]
+            for p in range(1, end - at + 1):
+                n = known.get(p)
+                if n is None:
+                    n = self.count(chunk[at : at + p]) if len(chunk) <= LONG else -1 - before
+                out.append(before + n)
             if not special:
                 return out
-            before += self.count(chunk[at : special.start()]) + 1
+            before += known[special.start() - at] + 1
             out.append(before)
             at = special.end()
 
@@ -213,32 +235,56 @@ class WordCounter:
         fit = max(p for p, n in known.items() if n <= budget)
         return next((p for p in range(min(end - 1, len(some)), fit, -1) if p not in known and self.count(some[:p]) <= budget), fit)
 
-    def of_chunk(self, chunk: str) -> int:
-        found = self.memo.get(chunk)
-        if found is None:
-            found = self.count(chunk)
-            if len(chunk) <= LONG:
-                remember(self.memo, chunk, found)
-        return found
+    def table(self, text: str) -> PrefixTable:
+        return PrefixTable(self, text)
+
 
-    def tokens(self, text: str) -> int:
-        """Tokens of a text.  A lookup for each known chunk."""
+class PrefixTable:
+    """How many tokens each prefix of a text has."""
+
+    def __init__(self, counter: WordCounter, text: str):
+        self.counter, self.text = counter, text
         chunks = CHUNK.findall(text)
-        found = list(map(self.memo.get, chunks))
+        found = list(map(counter.memo.get, chunks))
         try:
-            return sum(found)
-        except TypeError:
-            return sum(n if n is not None else self.of_chunk(c) for n, c in zip(found, chunks, strict=True))
-
-    def fitting(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of ``text`` with at most ``budget`` tokens."""
-        spent = 0
-        for m in CHUNK.finditer(text):
-            n = self.of_chunk(m[0])
-            if spent + n > budget:
-                return m.start() + self.inside(m[0], budget - spent)
-            spent += n
-        return len(text)
+            sums = [n[-1] for n in found]
+        except TypeError:  # a chunk that is not remembered
+            for i, n in enumerate(found):
+                if n is None:
+                    found[i] = counter.prefixes(chunks[i])
+            sums = [n[-1] for n in found]
+        self.inner = found
+        self.sums = list(accumulate(sums))  # at each chunk's end
+
+    @property
+    def tokens(self) -> int:
+        return self.sums[-1] if self.sums else 0
+
+    @cached_property
+    def starts(self) -> list[int]:
+        return [m.start() for m in CHUNK.finditer(self.text)]
+
+    def before(self, chunk: int) -> int:
+        return self.sums[chunk - 1] if chunk else 0
+
+    def at(self, p: int) -> int:
+        """Tokens of the first ``p`` code points."""
+        chunk = bisect_left(self.starts, p) - 1  # the last one that starts before p
+        if chunk < 0:
+            return 0
+        inside = min(p - self.starts[chunk], len(self.inner[chunk]))
+        n = self.inner[chunk][inside - 1]
+        return self.before(chunk) + (n if n >= 0 else self.counter.count(self.text[self.starts[chunk] : p]))
+
+    def fitting(self, budget: int) -> int:
+        """Code points of the longest prefix with at most ``budget`` tokens."""
+        chunk = bisect_right(self.sums, budget)
+        if chunk == len(self.sums):
+            return len(self.text)
+        inner, left, start = self.inner[chunk], budget - self.before(chunk), self.starts[chunk]
+        if min(inner) < 0:
+            return start + self.counter.inside(self.text[start : start + len(inner)], left)
+        return start + next((p for p in range(len(inner), 0, -1) if inner[p - 1] <= left), 0)
 
 
 @lru_cache(maxsize=1)
@@ -264,10 +310,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
         for batch in batches:
             tokens, fit = [], []
             for text in batch.column("text"):
-                t = text.as_py() or ""
-                n = count.tokens(t)
-                tokens.append(n)
-                fit.append(len(t) if n <= limit else count.fitting(t, limit))
+                found = count.table(text.as_py() or "")
+                tokens.append(found.tokens)
+                fit.append(found.fitting(limit))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

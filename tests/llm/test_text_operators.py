@@ -176,7 +176,7 @@ def test_prefix_counts():
     path = token_counts.vocabulary_path(token_counts.VOCABULARY)
     library, mine = Tokenizer.from_file(path), token_counts.WordCounter(path)
     for word in ("internationalization", "don't!!'re", "İstanbulΣ", "<|endoftext|>x", "éa"):
-        assert mine.prefixes(word) == [len(library.encode(word[:p], add_special_tokens=False).ids) for p in range(1, len(word) + 1)]
+        assert list(mine.prefixes(word)) == [len(library.encode(word[:p], add_special_tokens=False).ids) for p in range(1, len(word) + 1)]
 
 
 def test_fitting_prefix_is_the_longest():
@@ -186,9 +186,10 @@ def test_fitting_prefix_is_the_longest():
     for _ in range(400):
         chunk = "".join(rnd.choice(signs[rnd.randrange(3) * 6 :]) for _ in range(rnd.randrange(1, 30)))
         sizes = [mine.count(chunk[:p]) for p in range(len(chunk) + 1)]
-        assert mine.prefixes(chunk) == sizes[1:], ascii(chunk)
+        table = mine.table(chunk)
+        assert [table.at(p) for p in range(len(chunk) + 1)] == sizes, ascii(chunk)
         for budget in range(0, sizes[-1] + 1, 3):
-            assert mine.inside(chunk, budget) == max(p for p, n in enumerate(sizes) if n <= budget), (ascii(chunk), budget)
+            assert mine.inside(chunk, budget) == table.fitting(budget) == max(p for p, n in enumerate(sizes) if n <= budget), (ascii(chunk), budget)
 
 
 @pytest.mark.parametrize("kind", ["base64", "chinese", "letters", "code", "decomposed"])
@@ -204,7 +205,7 @@ def test_a_long_chunk_is_cut_in_one_pass(kind):
     }
     text = made[kind]()
     started = time.process_time()
-    fit = mine.fitting(text, 2048)
+    fit = mine.table(text).fitting(2048)
     assert time.process_time() - started < 60
     assert mine.count(text[:fit]) <= 2048 and all(mine.count(text[: fit + k]) > 2048 for k in range(1, 40))
 
@@ -584,3 +585,47 @@ def test_long_pages_take_linear_time(part):
     started = time.process_time()
     html_text.extract("<p>start<b>" + part * 200_000)
     assert time.process_time() - started < 20
+
+
+def test_prefix_table_answers_without_encoding_again(monkeypatch):
+    mine = token_counts.WordCounter(token_counts.vocabulary_path(token_counts.VOCABULARY))
+    rnd = random.Random(31)
+    signs = ["internationalization", "don't", " ", "  \n", "é中文", "e\u0301", "<|endoftext|>", "!!", "x9", "\u00a0", "antidisestablishment" * 4]
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(25))) for _ in range(60)]
+    size = lambda t: sum(map(mine.count, token_counts.CHUNK.findall(t)))
+    sizes = [[size(t[:p]) for p in range(len(t) + 1)] for t in texts]
+    tables = [mine.table(t) for t in texts]
+    assert [[t.at(p) for p in range(len(t.text) + 1)] for t in tables] == sizes
+    short = [(t, s) for t, s in zip(tables, sizes, strict=True) if all(min(i) >= 0 for i in t.inner)]
+    assert len(short) > 30
+    for name in ("count", "of_word", "part_counts", "inside"):  # nothing is encoded for an answer
+        monkeypatch.setattr(mine, name, None)
+    for t, s in short:
+        assert t.tokens == s[-1] and [t.at(p) for p in range(len(s))] == s
+        for budget in range(0, s[-1] + 1, 5):
+            assert t.fitting(budget) == max(p for p, n in enumerate(s) if n <= budget)
+
+
+def test_every_id_comes_out_of_the_window(monkeypatch):
+    import sentencepiece
+
+    path = token_counts.vocabulary_path(sentence_pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentence_pieces, "PART", 53)
+    codec = sentence_pieces.Codec(path)
+    rnd = random.Random(2)
+    out = []
+    commit = sentence_pieces.StreamingEncoder._commit
+    monkeypatch.setattr(sentence_pieces.StreamingEncoder, "_commit", lambda self, end: out.append(commit(self, end)) or out[-1])
+    for _ in range(200):
+        text = "".join(rnd.choices(["a", "the", "漢", "字", " ", "  ", "▁", "😀", "é", "x" * 90, "thereforea"], k=rnd.randrange(60)))
+        codec.memo.clear()
+        ids, window = codec.encode(text)
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode(text) and window <= 200
+    words = {tuple(x) for x in out}
+    text = "therefore the fore there"
+    ids, window = sentence_pieces.Codec(path).encode(text)
+    assert window == len("▁therefore") and words and len(out) > 500
+    big = "".join(rnd.choices("abcdefgh漢字", k=300_000))
+    ids, window = codec.encode(big)
+    assert window < 300 and np.frombuffer(ids, np.int32).tolist() == library.encode(big)
