@@ -76,3 +76,15 @@ def ascii_lower(text: Column) -> Column:
 def if_small(df: DataFrame, n_bytes: float, limit: float = 8e6) -> DataFrame:
     """Broadcast ``df`` only where its measured size is under ``limit`` bytes."""
     return F.broadcast(df) if n_bytes <= limit else df
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, weight: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join with ``right``, which has each key once and in ``weight`` how many rows of ``left`` have it.
+
+    Keys of more than one in ``parts`` of all ``total`` rows are joined by broadcast;
+    there are fewer than ``parts`` of them.  No other key is large enough to burden a task.
+    """
+    hot = F.col(weight) > total / parts
+    few = right.where(hot)
+    rest = left.join(F.broadcast(few.select(on)), on, "left_anti").join(right.where(~hot), on)
+    return left.join(F.broadcast(few), on).unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct(), "links-large")
         lowest = stored(large.groupBy("a").agg(F.min("b").alias("low")), "links-lowest")
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(lowest.select("a", "low"))
-        edges = stored(small.distinct(), "links")
+        old, edges = edges, stored(small.distinct(), "links")
+        discard(old, least, large, lowest)
         before, state = state, _state(edges)
         if state == before:
             break

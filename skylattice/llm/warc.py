@@ -9,8 +9,7 @@ payload, as the format has it.
 
 All copies of a payload meet in one aggregation that combines before it shuffles,
 so a payload that a third of the pages has travels once a task.  Its pages are
-told their response by a join in which digests of very many pages (there can be
-only ``HOT_PARTS`` of them) are broadcast.
+told their response by a join in which digests of very many pages are broadcast.
 
 Defined cases: a null html is an empty payload.  Among records with equal
 payloads of at least ``least`` bytes the smallest page_id is the response and the
@@ -29,10 +28,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import join_skewed, shared_dir, table
 
-#: Digests of more than this part of all pages are hot; there are fewer of them than this.
-HOT_PARTS = 1000
 #: WARC-Date where the caller gives none: the pages table has no times of its own.
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -105,8 +102,7 @@ def write_archive(pages: DataFrame, least: int = 0, date: str = DATE) -> str:
     firsts = spark.read.parquet(f"{at}/payloads").drop("payload")
     narrow = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"))
     n = firsts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    hot = F.col("pages") > n / HOT_PARTS  # fewer than HOT_PARTS digests
-    typed = narrow.join(F.broadcast(firsts.where(hot)), "digest").unionByName(narrow.join(F.broadcast(firsts.where(hot).select("digest")), "digest", "left_anti").join(firsts.where(~hot), "digest"))
+    typed = join_skewed(narrow, firsts, "digest", "pages", n)
     repeat = (F.col("payload_bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     typed = typed.withColumn("record_type", F.when(repeat, "revisit").otherwise("response")).withColumn("refers_to", F.when(repeat, F.col("first_id")))
     typed.select("page_id", "url", "digest", "record_type", _header(date).alias("header")).write.parquet(f"{at}/headers")

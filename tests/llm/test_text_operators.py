@@ -130,12 +130,53 @@ def test_join_edges(docs, none):
     by = {r["doc_id"]: r for r in got}
     assert by[0]["component_id"] == 0 and by[0]["n_shingles"] == 0 and by[2]["n_links"] == 0
     assert by[4]["component_id"] == 3 and by[11]["component_id"] == 5 and by[8]["component_id"] == 7
-    assert by[None]["n_links"] == 0
+    assert by[None]["n_links"] == 0 and by[None]["component_id"] is None
     assert ngram_join.ngram_jaccard_join(none).count() == 0
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 5, 7, 9, 10, None} | ({6} if by[6]["component_id"] == 6 else set())
 
 
+def test_join_of_repeated_and_missing_ids(spark):
+    a, b = [[t, t + " and one end more"] for t in noisy_family(3, 2, 60)]
+    rows = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (None, a[0]), (None, "p q r s t u v"), (None, "p q r s t u v"), (None, "p q r s t u v"), (1, a[0]), (9, "k l m n o p q r s t"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.ngram_jaccard_join(df).collect()), key=repr)
+    sets = [sets_of(t) for _, t in rows]
+    link = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = []
+    for i, (doc, _) in enumerate(rows):
+        reach = {i}
+        while more := {k for k in range(len(rows)) if k not in reach and any(link(sets[k], sets[j]) for j in reach)}:
+            reach |= more
+        want.append((doc, len(sets[i]), min((rows[k][0] for k in reach if rows[k][0] is not None), default=None), sum(link(sets[i], s) for k, s in enumerate(sets) if k != i)))
+    assert got == sorted(want, key=repr)
+    kept = sorted((repr(r["doc_id"]), r["text"] or "") for r in ngram_join.one_of_each(df.withColumn("row_key", F.lit(1)).withColumn("_row_key", F.lit(2))).select("doc_id", "text").collect())
+    assert kept == sorted([("1", a[0]), ("1", b[0]), ("None", "p q r s t u v"), ("9", rows[9][1]), ("None", ""), ("None", "")])
+
+
+@pytest.mark.parametrize("hot", [1, 10])
+def test_join_with_hot_tokens(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", hot)
+    monkeypatch.setattr(ngram_join, "HOT_PARTS", 10**9)
+    monkeypatch.setattr(ngram_join, "FLUSH", 300)
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 700)
+    rows = list(enumerate([*noisy_family(1, 30), *noisy_family(2, 9, 30), *noisy_family(5, 2, 80)]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_join(rows)
+
+
+def test_unions_are_bounded_before_groups_are_opened(spark):
+    def group(gid, texts):
+        sets = shingles.shingle_sets(texts)
+        return gid, np.arange(len(sets)).tobytes(), np.ones(len(sets), np.int64).tobytes(), np.array([len(s) for s in sets]).tobytes(), b"".join(s.tobytes() for s in sets)
+
+    near = noisy_family(6, 8, 60)
+    far = [" ".join(t.split()[:9] + [f"o{k}x{i}" for i in range(50)]) for k, t in enumerate(near)]
+    groups = spark.createDataFrame([group(1, near[:4]), group(2, near[4:]), group(3, far)], "gid long, rids binary, weights binary, sizes binary, tokens binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "gida long, gidb long")
+    assert [tuple(r) for r in ngram_join._qualifying(pairs, ngram_join._unions(groups), 0, 75).collect()] == [(1, 2)]
+
+
 def test_shingles_of_all_shapes():
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("aB \t\n\x0b~é") for _ in range(rnd.randrange(60))) for _ in range(500)] + ["x" * 5000 + " y", "x" * 5000 + " z"]
