@@ -9,9 +9,10 @@ positions run through one boundary, the ids before it are committed and the
 window moves up.
 
 No piece has the space mark after another letter (checked when the model is
-read), so every path meets at the start of each marked word: there the window
-is empty.  A word whose pass is remembered is not run again; its ids are committed
-at that boundary at once.  ``window`` is the most letters the window had to hold.
+read), so every path meets at the start of each marked word, and between letters
+that no piece has side by side: there the window is empty.  What stands between
+two such boundaries and has passed before is not passed again; its remembered ids
+are committed at once.  ``window`` is a bound of the letters the window held.
 
 Encoding equals the model's own: the text gets a leading space mark, spaces turn
 into marks, and letters without a piece fall back to their UTF-8 bytes' pieces.
@@ -66,9 +67,16 @@ class Pieces:
         self.program = Program([self.pieces[i] for i in plain], lambda a, b: cost.get(a + b))
         self.ids = [0, *plain]  # by the program's numbers
         self.longest = self.program.longest
+        self.joined = {p[i : i + 2] for p in cost for i in range(len(p) - 1)}
         self.is_byte = np.zeros(size, bool)
         self.is_byte[self.bytes_from : self.bytes_from + 256] = True
 
+    def parts(self, word: str) -> list[str]:
+        """``word`` cut between letters that no piece has side by side: there, too, all paths meet."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
     def spelled(self, tokens: list[int], text: str) -> list[int]:
         """Ids of the program's ``tokens``, which make up ``text``."""
         if 0 not in tokens:
@@ -182,16 +190,25 @@ class Codec:
         self.pieces = Pieces(path)
         self.stream = StreamingEncoder(self.pieces)
         self.memo: dict[str, bytes] = {}
+        self.of_parts: dict[str, bytes] = {}
         self.plain = [p.replace(MARK, " ") for p in self.pieces.pieces]
 
     def word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
-            found = array("i", self.stream.word(word)).tobytes()
+            found = b"".join(map(self.part, self.pieces.parts(word)))
             if len(word) <= LONG:
                 remember(self.memo, word, found)
         return found
 
+    def part(self, part: str) -> bytes:
+        found = self.of_parts.get(part)
+        if found is None:
+            found = array("i", self.stream.word(part)).tobytes()
+            if len(part) <= LONG:
+                remember(self.of_parts, part, found)
+        return found
+
     def words(self, words: list[str]) -> bytes:
         found = list(map(self.memo.get, words))
         try:
@@ -200,9 +217,9 @@ class Codec:
             return b"".join([x if x is not None else self.word(w) for x, w in zip(found, words, strict=True)])
 
     def encode(self, text: str) -> tuple[bytes, int]:
-        """The ids as the bytes of 32-bit integers, and the most letters the window had to hold."""
+        """The ids as the bytes of 32-bit integers, and a bound of the letters the window held: ``LONG`` or, if wider, its width."""
         self.stream.reset()
-        out, held, widest = [], MARK if text else "", 0
+        out, held = [], MARK if text else ""
         for at in range(0, len(text), PART):
             part = text[at : at + PART].replace(" ", MARK)
             if not held:  # the window is inside a word
@@ -215,16 +232,14 @@ class Codec:
             words = SEGMENT.findall(held + part)
             held = words.pop()  # its end is not known yet
             out.append(self.words(words))
-            widest = max(widest, *filter(LONG.__ge__, map(len, words)), 0)
             if len(held) > LONG:
                 out.append(array("i", self.stream.feed(held)).tobytes())
                 held = ""
         if held:
             out.append(self.word(held))
-            widest = max(widest, min(len(held), LONG))
         else:
             out.append(array("i", self.stream.flush()).tobytes())
-        return b"".join(out), max(widest, self.stream.widest)
+        return b"".join(out), max(LONG, self.stream.widest) if text else 0
 
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
