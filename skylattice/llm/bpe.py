@@ -132,20 +132,27 @@ class Program:
         n = len(word)
         last, count, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         last[0] = 0
+        root, fits = self.root, self.fits
         low = 0  # positions in a row, up to here, whose count is above ``most``
         for j in range(n):
             low = low + 1 if count[j] > most else 0
             if low >= self.longest:
                 n = j
                 break
-            b, children = last[j], self.root
-            for k in range(j + 1, n + 1):
-                node = children.get(word[k - 1])
+            b, children, size = last[j], root, count[j] + 1
+            after = self.after(b)
+            for k in range(j, n):
+                node = children.get(word[k])
                 if node is None:
                     break
                 children, token, closer = node
-                if closer and not whole[k] and self.fits(b, closer):
-                    whole[k] = count[j] + 1
-                if token and last[k] < 0 and self.fits(b, token):
-                    last[k], count[k] = token, count[j] + 1
+                k += 1
+                if closer and not whole[k]:
+                    ok = after.get(closer)
+                    if fits(b, closer) if ok is None else ok:
+                        whole[k] = size
+                if token and last[k] < 0:
+                    ok = after.get(token)
+                    if fits(b, token) if ok is None else ok:
+                        last[k], count[k] = token, size
         return (whole if self.end else count)[1 : n + 1]

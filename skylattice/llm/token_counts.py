@@ -30,7 +30,8 @@ from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import cached_property, lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -49,6 +50,8 @@ CHUNK = re.compile("[^\\t-\\r \x85\xa0  -     　]+")
 AHEAD = 3
 #: Bounds of what a worker remembers: chunks, and their length.
 MEMO, LONG = 600_000, 40
+#: Translations that add a number to each byte, up to the counts of ``LONG`` letters.
+SHIFTED = [bytes(min(255, x + n) for x in range(256)) for n in range(256)]
 
 
 def remember(memo: dict, key, value) -> None:
@@ -101,6 +104,7 @@ class WordCounter:
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.of_words: dict[str, int] = {}
+        self.of_prefixes: dict[str, bytes] = {}
 
     def normal(self, part: str) -> str:
         if not part.isascii():
@@ -134,25 +138,63 @@ class WordCounter:
         if found is None:
             found = self._prefixes(chunk)
             if len(chunk) <= LONG:
-                found = bytes(found.tolist())  # no letter has more than four tokens
+                found = bytes(list(found))  # no letter has more than four tokens
                 remember(self.memo, chunk, found)
         return found
 
-    def _prefixes(self, chunk: str) -> array:
-        out = array("i")
+    def word_prefixes(self, word: str) -> Sequence[int]:
+        """Tokens of word[:1], word[:2], ..., each by itself."""
+        found = self.of_prefixes.get(word)
+        if found is None:
+            if len(word) <= AHEAD:  # a cut contraction is other words
+                found = [sum(map(self.of_word, self.pattern.findall(word[:k]))) for k in range(1, len(word) + 1)]
+            elif word.isascii():
+                found = self.program.counts(word)
+            else:
+                spelled = [self.spelled(c) for c in word]
+                counts = self.program.counts("".join(spelled))
+                found = [counts[end - 1] for end in accumulate(map(len, spelled))]
+            if len(word) <= LONG:
+                found = bytes(found)  # no letter has more than four tokens
+                remember(self.of_prefixes, word, found)
+        return found
+
+    def plain_prefixes(self, text: str) -> Sequence[int]:
+        """Tokens of text[:1], text[:2], ... of a normal text without special strings."""
+        words = self.pattern.findall(text)
+        if len(text) > LONG or len("".join(words)) < len(text):
+            out, spent = array("i"), 0
+            for m in self.pattern.finditer(text):
+                out.extend([spent] * (m.start() - len(out)))
+                out.extend([spent + n for n in self.word_prefixes(m[0])])
+                spent = out[-1]
+            out.extend([spent] * (len(text) - len(out)))
+            return out
+        out = b""
+        for w in words:
+            found = self.word_prefixes(w)
+            out += found.translate(SHIFTED[out[-1]]) if out else found
+        return out
+
+    def _prefixes(self, chunk: str) -> Sequence[int]:
+        out: Sequence[int] = b""
         before = at = 0
         while True:
             special = self.specials.search(chunk, at) if self.specials else None
             end = special.end() - 1 if special else len(chunk)
-            known, _ = self.part_counts(chunk[at:end])
-            for p in range(1, end - at + 1):
-                n = known.get(p)
-                if n is None:
-                    n = self.count(chunk[at : at + p]) if len(chunk) <= LONG else -1 - before
-                out.append(before + n)
+            part = chunk[at:end]
+            text = self.normal(part)
+            if part.isascii() or len(text) == len(part) and unicodedata.is_normalized("NFC", part) and all(map(starts_afresh, part)):
+                counts = self.plain_prefixes(text)
+            else:
+                known, _ = self.part_counts(part)
+                counts = [known[p] if p in known else self.count(part[:p]) if len(chunk) <= LONG else -1 - before for p in range(1, len(part) + 1)]
+            if not special and not before:
+                return counts
+            out = [*out, *[before + n for n in counts]]
             if not special:
                 return out
-            before += known[special.start() - at] + 1
+            before += (counts[special.start() - at - 1] if special.start() > at else 0) + 1
             out.append(before)
             at = special.end()
 
@@ -247,14 +289,13 @@ class PrefixTable:
         chunks = CHUNK.findall(text)
         found = list(map(counter.memo.get, chunks))
         try:
-            sums = [n[-1] for n in found]
+            self.sums = list(accumulate(map(itemgetter(-1), found)))  # at each chunk's end
         except TypeError:  # a chunk that is not remembered
             for i, n in enumerate(found):
                 if n is None:
                     found[i] = counter.prefixes(chunks[i])
-            sums = [n[-1] for n in found]
+            self.sums = list(accumulate(map(itemgetter(-1), found)))
         self.inner = found
-        self.sums = list(accumulate(sums))  # at each chunk's end
 
     @property
     def tokens(self) -> int:
@@ -281,7 +322,8 @@ class PrefixTable:
         chunk = bisect_right(self.sums, budget)
         if chunk == len(self.sums):
             return len(self.text)
-        inner, left, start = self.inner[chunk], budget - self.before(chunk), self.starts[chunk]
+        inner, left = self.inner[chunk], budget - self.before(chunk)
+        start = next(islice(CHUNK.finditer(self.text), chunk, None)).start()
         if min(inner) < 0:
             return start + self.counter.inside(self.text[start : start + len(inner)], left)
         return start + next((p for p in range(len(inner), 0, -1) if inner[p - 1] <= left), 0)
