@@ -88,3 +88,10 @@ def join_skewed(left: DataFrame, right: DataFrame, on: str, weight: str, total:
     few = right.where(hot)
     rest = left.join(F.broadcast(few.select(on)), on, "left_anti").join(right.where(~hot), on)
     return left.join(F.broadcast(few), on).unionByName(rest)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``columns``."""
+    while name in columns:
+        name = f"_{name}"
+    return name

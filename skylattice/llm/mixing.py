@@ -11,13 +11,15 @@ A source's share is then ``whole`` full passes over its documents and a
 fractional one.  The fractional pass goes through the source's documents in the
 order of a seeded hash until its words are spent; the last document is taken in
 part, so each source's words equal its target but for rounding.  The order is
-found without sorting a source in one place: words are summed by hash bucket,
-and only the bucket in which the pass ends is put in order.
+found without sorting a source in one place: words are summed by hash bucket and
+by ranges of buckets, and only the bucket in which the pass ends is put in order.
 
 Defined cases: a null text has size 0.  A null source is a source of its own,
-ranked last.  A source of size 0 has target 0.  Repeated rows are documents of
-their own.  A null doc_id is an id like others.  ``repeated`` repeats rows of one
-id, source and number of words alike.  Empty tables give an empty result.
+ranked last.  A source of size 0 has target 0.  A null doc_id is an id like
+others: the order goes by id and text.  Rows of one id and text are counted
+together and share alike what is taken of them, down to whole words.  Other columns
+are not read, or kept as they are by ``repeated``, whatever their names.  Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, discard, fresh, join_skewed, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -33,6 +35,8 @@ MAX_EPOCHS = 2.0
 SEED = 20_240_801
 #: Documents a hash bucket should hold; buckets are counted from the table.
 BUCKET_ROWS = 500
+#: Buckets in a range.
+RANGE = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -60,46 +64,66 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
 
 def mix(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of ``docs`` (doc_id, source, ``text``)."""
-    return _taken(docs, text, share, max_epochs, weights, seed).drop("src")
+    return _taken(docs, text, share, max_epochs, weights, seed).drop("src", "rank")
+
+
+def rank_of(text: str, seed: int) -> Column:
+    """A row's place in the seeded order."""
+    return F.xxhash64("doc_id", F.xxhash64(F.col(text)), F.lit(seed))
+
+
+def _starts(cells: DataFrame) -> DataFrame:
+    """``cells`` (name, bucket, words) with start, the words of the source's buckets before: summed by ranges of buckets, then within each."""
+    ranged = cells.withColumn("range", F.floor(F.col("bucket") / RANGE))
+    ranges = ranged.groupBy("name", "range").agg(F.sum("words").alias("range_words"))
+    before = F.sum("range_words").over(Window.partitionBy("name").orderBy("range")) - F.col("range_words")
+    ranges = ranges.select("name", "range", before.alias("range_start"))
+    inside = F.sum("words").over(Window.partitionBy("name", "range").orderBy("bucket")) - F.col("words")
+    return ranged.join(ranges, ["name", "range"]).withColumn("start", F.col("range_start") + inside).drop("range", "range_start")
 
 
 def _taken(docs: DataFrame, text: str, share: float, max_epochs: float, weights: tuple[float, ...], seed: int) -> DataFrame:
-    """As ``mix``, with the source as src."""
-    rank = F.xxhash64("doc_id", F.lit(seed))
-    sized = stored(docs.select("doc_id", F.col("source").alias("src"), n_words(F.col(text)).alias("size"), rank.alias("rank")), "mix-sizes")
+    """As ``mix``, with the source as src and the row's place in the order as rank."""
+    sized = stored(docs.select("doc_id", F.col("source").alias("src"), n_words(F.col(text)).alias("size"), rank_of(text, seed).alias("rank")), "mix-sizes")
     buckets = max(16, sized.count() // BUCKET_ROWS)
-    sized = sized.withColumn("bucket", F.pmod("rank", F.lit(buckets)))
-    cells = stored(sized.groupBy("src", "bucket").agg(F.sum("size").alias("words")), "mix-cells")
+    named = F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit("")).alias("name")  # null-safe key
+    sized = sized.select("*", named, F.pmod("rank", F.lit(buckets)).alias("bucket"))
+    cells = stored(sized.groupBy("name", "src", "bucket").agg(F.sum("size").alias("words")), "mix-cells")
     targets = water_fill(cells.groupBy("src").agg(F.sum("words").alias("source_size")), share, max_epochs, weights)
 
     goal = F.round(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("part", F.greatest(F.lit(0), goal - F.col("whole") * F.col("source_size")))
-    name = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  null-safe key
-    in_order = Window.partitionBy("name").orderBy("bucket")
-    start = F.sum("words").over(in_order) - F.col("words")
-    plan = cells.withColumn("name", name(F.col("src"))).withColumn("start", start).join(targets.select(name(F.col("src")).alias("name"), "source_size", "target", "whole", "part"), "name")
+    plan = _starts(cells.drop("src")).join(targets.select(named, "source_size", "target", "whole", "part"), "name")
     plan = stored(plan.select("name", "bucket", "words", "start", "source_size", "target", "whole", "part"), "mix-plan")
+    discard(cells)
 
-    placed = sized.withColumn("name", name(F.col("src"))).join(plan, ["name", "bucket"])
+    placed = sized.join(plan, ["name", "bucket"])
     left = F.col("part") - F.col("start")
     at_end = (left > 0) & (left < F.col("words"))
-    plain = placed.where(~at_end).withColumn("extra", F.when(left > 0, F.col("size")).otherwise(F.lit(0)))
-    within = Window.partitionBy("name").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spent = F.sum("size").over(within) - F.col("size")
-    ended = placed.where(at_end).withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0), left - spent)))
-    return plain.unionByName(ended).select("doc_id", "src", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    plain = placed.where(~at_end).withColumn("extra", F.when(left > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    # Of the few buckets in which a pass ends: rows that are alike are one class.
+    ends = placed.where(at_end)
+    alike = ends.groupBy("name", "rank", "size").agg(F.count("*").alias("rows"), F.first(left).alias("left"))
+    within = Window.partitionBy("name").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = F.col("rows") * F.col("size")
+    each = F.floor(F.least(words, F.greatest(F.lit(0), F.col("left") - F.sum(words).over(within) + words)) / F.col("rows")).cast("long")
+    ended = ends.join(alike.select("name", "rank", "size", each.alias("extra")), ["name", "rank", "size"])
+    return plain.unionByName(ended).select("doc_id", "src", "rank", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; a part of half or more counts as one."""
+    """``docs`` with each row as often as the mix takes it; a part of half or more counts as one.  Rows without words stay as they are."""
     taken = _taken(docs, text, share, max_epochs, weights, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(1)).cast("int")
-    of_row = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("src").alias("mix_src"), F.col("size").alias("mix_size")).agg(F.max(times).alias("mix_times"))
-    copies = stored(of_row.where("mix_times > 0"), "mix-times")
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_src")) & (F.col("mix_words") == F.col("mix_size"))
-    rows = docs.withColumn("mix_words", n_words(F.col(text))).join(copies, same)
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    rank, n, rows, copy = (fresh(f"_{x}", docs.columns) for x in ("rank", "times", "rows", "copy"))
+    source = fresh("_source", docs.columns)
+    key = F.xxhash64("rank", F.coalesce("src", F.lit("")))
+    of_row = stored(taken.groupBy(key.alias(rank)).agg(F.max(times).alias(n), F.count("*").alias(rows)), "mix-times")
+    total = of_row.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    keyed = docs.withColumn(source, rank_of(text, seed)).withColumn(rank, F.xxhash64(F.col(source), F.coalesce("source", F.lit("")))).drop(source)
+    met = join_skewed(keyed, of_row.where(F.col(n) > 0), rank, rows, total)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, join_skewed, stored, table
+from .common import discard, fresh, if_small, join_skewed, stored, table
 from .components import components
 from .shingles import shingle_sets
 
@@ -569,9 +569,7 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     described, known, texts = _judged(docs.select("doc_id", "text"), threshold)
     met = join_skewed(described.where("digest is not null"), known, "digest", "weight", described.count())
     gone = stored(met.where("row_key <> keeper").select("row_key").distinct(), "near-copies")
-    key = "_row_key"
-    while key in docs.columns:
-        key = f"_{key}"
+    key = fresh("_row_key", docs.columns)
     keyed = docs.withColumn(key, row_key())
     kept = keyed.join(if_small(gone.withColumnRenamed("row_key", key), 32 * gone.count()), key, "left_anti")
     if texts.any_repeat:  # rows of one id and text: any one of them

@@ -387,7 +387,8 @@ def brute_targets(sizes, share, most, weights):
 def test_mixing(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice(["b", "a", "z", "hot", "hot", "hot", None]), " ".join(["w"] * rnd.randrange(0, 40))) for i in range(600)] + [(600, "tiny", "x"), (601, "empty", None), (5, "a", "again x")]
-    df = spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "doc_id long, source string, text string, size long, name string, bucket long")
+    names = "size long, name string, bucket long, mix_times int, mix_copy int, _rank long, _times int, _copy int, _rows int, src string"
+    df = spark.createDataFrame([(*r, 1, "n", 2, 3, 4, 5, 6, 7, 8, "s") for r in rows], f"doc_id long, source string, text string, {names}")
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
     sizes = Counter()
@@ -404,7 +405,7 @@ def test_mixing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
     assert mixing.mix(df.limit(0)).count() == 0
     again = mixing.repeated(df)
-    assert again.columns == df.columns
+    assert again.columns == df.columns and again.select(*[c for c in df.columns if c not in ("doc_id", "source", "text")]).distinct().collect() == [(1, "n", 2, 3, 4, 5, 6, 7, 8, "s")]
     times = Counter(r["doc_id"] for r in again.collect())
     assert max(times.values()) <= 4 and times[601] == 1
 
@@ -419,6 +420,17 @@ def test_null_ids_are_mixed(spark):
     assert got == +want and any(i is None for i, _ in got)
 
 
+def test_rows_that_are_alike_share(spark):
+    rows = [(None, "a", "x y z")] * 400 + [(1, "b", "w " * 30)] + [(2, "c", "v " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df).collect()
+    want = brute_targets({"a": 1200, "b": 30, "c": 2000}, 1.5, 2.0, (5, 2, 1))
+    taken = Counter()
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[n] - want[s]) <= 400 for s, n in (("a", 1200), ("b", 30), ("c", 2000)))
+
+
 def test_words_are_counted(spark):
     texts = ["", " a", "a\u00a0b c\x0b\x0c d\r\n", "\x1f x", "😀 y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
