@@ -479,7 +479,7 @@ class Texts:
 
     def of(self, sets: DataFrame, n: int) -> DataFrame:
         """(rid, text) of ``n`` ``sets`` (rid, row_key)."""
-        met = self.keyed.join(if_small(sets.select("rid", "row_key"), 64 * n), "row_key")
+        met = self.keyed.join(if_small(sets.select("rid", "row_key"), 32 * n), "row_key")
         if not self.any_repeat:
             return met.select("rid", "text")
         once = met.join(self.repeats, "row_key", "left_anti").select("rid", "text")
