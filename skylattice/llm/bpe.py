@@ -19,15 +19,19 @@ from collections.abc import Callable, Sequence
 def merged(symbols: Sequence[str], rank: Callable[[str, str], float | None]) -> list[str]:
     """``symbols`` after merging the pair of lowest rank, leftmost first, until none has one."""
     parts = list(symbols)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = rank(parts[i], parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
+    none = math.inf
+    ranks = [none if (r := rank(a, b)) is None else r for a, b in zip(parts, parts[1:], strict=False)]
+    while ranks:
+        best = min(ranks)
+        if best == none:
             break
+        at = ranks.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del ranks[at]
+        for i in (at - 1, at):
+            if 0 <= i < len(ranks):
+                r = rank(parts[i], parts[i + 1])
+                ranks[i] = none if r is None else r
     return parts
 
 

@@ -118,16 +118,17 @@ class StreamingEncoder:
         n = len(self.text)
         self._advance(n)
         self._unknown(n)
-        out = self._commit(n)
+        out = self._path(n)
         self.text, self.last, self.start, self.done = "", [0], [0], 0
         return out
 
     def word(self, word: str) -> list[int]:
         """Ids of a word between two certain boundaries: ``feed`` and ``flush``, without looking for a boundary inside a short one."""
-        if len(word) <= LOOK:
-            self._take(word)
-            return self.flush()
-        return [*self.feed(word), *self.flush()]
+        n = len(word)
+        if n > LOOK:
+            return [*self.feed(word), *self.flush()]
+        self.text, self.last, self.start, self.done = word, [0] + [-1] * n, [0] * (n + 1), 0
+        return self.flush()
 
     def _take(self, more: str) -> None:
         self.text += more
@@ -171,13 +172,17 @@ class StreamingEncoder:
             open_.add(self.start[far] if self.last[far] >= 0 else far - 1)
         return open_.pop()
 
-    def _commit(self, end: int) -> list[int]:
+    def _path(self, end: int) -> list[int]:
+        """Ids from the last committed boundary up to ``end``."""
         tokens, i = [], end
         while i > 0:
             tokens.append(self._unknown(i))
             i = self.start[i]
         tokens.reverse()
-        out = self.pieces.spelled(tokens, self.text)
+        return self.pieces.spelled(tokens, self.text)
+
+    def _commit(self, end: int) -> list[int]:
+        out = self._path(end)
         self.text = self.text[end:]
         self.last = self.last[end:]
         self.start = [s - end for s in self.start[end:]]
