@@ -469,6 +469,41 @@ def test_samples_collide_as_generalised_jaccard(spark):
     assert abs(sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(n)) / n - want) < 0.12
 
 
+def test_rows_that_share_an_id_have_one_stand_in(spark):
+    rows = [(7, "head one two three four"), (7, "other words stand here now"), (9, "a b c d e f g h"), (None, "nameless first text"), (None, "second without a name"), (None, "second without a name")]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, key long")).collect()
+    assert len(got) == len(rows)
+    own = {r["edited_sha256"]: r for r in got}
+    nine = next(r for r in got if r["doc_id"] == 9)
+    heads = {hashlib.sha256(("a b c d " + t[:7]).encode()).hexdigest(): t for i, t in rows if i == 7}
+    stand_in = heads[nine["edited_sha256"]]
+    prints = {}
+    for r in spark.createDataFrame(rows, "doc_id long, text string").select("text").distinct().collect():
+        x = fingerprint.fingerprint_documents(spark.createDataFrame([(1, r["text"])], "doc_id long, text string")).first()
+        prints[r["text"]] = x["fingerprint"]
+    n = fingerprint.SAMPLES
+    same = sum(prints[rows[2][1]][8 * k : 8 * k + 8] == prints[stand_in][8 * k : 8 * k + 8] for k in range(n)) / n
+    assert nine["near_next"] == same and own
+
+
+def test_error_of_the_production_number_of_samples(spark):
+    """Over many pairs of known likeness, estimates scatter by the binomial error and no more."""
+    rnd = random.Random(14)
+    pairs, rows = [], []
+    for p in range(120):
+        a = Counter({f"p{p}t{k}": rnd.randrange(1, 4) for k in range(60)})
+        b = Counter({t: n for t, n in a.items() if rnd.random() < 0.88} | {f"p{p}z{k}": 1 for k in range(3)})
+        pairs.append(sum(min(a[t], b[t]) for t in a | b) / sum(max(a[t], b[t]) for t in a | b))
+        rows += [(2 * p, " ".join(a.elements())), (2 * p + 1, " ".join(b.elements()))]
+    got = {r["id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(rows, "id int, body string"), ["id"], "body").collect()}
+    n = fingerprint.SAMPLES
+    off = []
+    for p, want in enumerate(pairs):
+        x, y = got[2 * p], got[2 * p + 1]
+        off.append((sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(n)) / n - want) / math.sqrt(want * (1 - want) / n))
+    assert abs(np.mean(off)) < 0.35 and 0.8 < np.std(off) < 1.2 and max(map(abs, off)) < 4.5
+
+
 @pytest.mark.parametrize("block", [8_000_000, 600])
 def test_topk(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK_BYTES", block)
