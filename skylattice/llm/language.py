@@ -15,7 +15,7 @@ Labels, sources and ids are no features.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text if there is nothing to learn from; the stage (``identified``)
-then keeps all that has a letter.  A null id is not held out.
+then keeps all that has a letter, and otherwise what some language fits.  A null id is not held out.
 Repeated rows are judged one by one.  An empty table gives an empty result.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 N = 3
 DIM = 1 << 15
@@ -42,6 +42,9 @@ SAMPLE, LEAST = 38_400, 20
 #: Landmarks, and the least number for each label.
 LANDMARKS, FOR_EACH = 160, 2
 RIDGE = 1e-3
+#: Best score under which the stage rejects a text: no language it has learnt fits.  One-versus-rest scores
+#: are near 1 for a text of the language, and those of other scripts and of noise near 0.
+LEAST_SCORE = 0.1
 SEED = 71
 UNKNOWN = "und"
 BATCH = 64
@@ -158,13 +161,17 @@ def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred",
     return docs.mapInArrow(kernel, schema)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have no language: no text, or no letter in it, or ``und`` by a fitted model."""
-    names = ["_language_of_text", "_language_score"]
-    while set(names) & set(docs.columns):
-        names = [f"_{n}" for n in names]
-    anything = Model([""], np.zeros((DIM, 1), np.float32))  # tells only whether there is a letter
-    return with_language(docs, train(docs) or anything, *names).where(F.col(names[0]) != UNKNOWN).select(*docs.columns)
+def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those the classifier rejects: no letter in the text, or a best score under ``least``.
+
+    Where there is no model, only texts without a letter go.
+    """
+    lang, score = fresh("_language_of_text", docs.columns), fresh("_language_score", docs.columns)
+    model = train(docs)
+    if model is None:
+        model, least = Model([""], np.zeros((DIM, 1), np.float32)), 0.0  # tells only whether there is a letter
+    judged = with_language(docs, model, lang, score)
+    return judged.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

@@ -547,6 +547,14 @@ def test_every_label_is_learnt(spark):
     assert right > 0.95
 
 
+def test_the_stage_rejects_what_no_language_fits(spark, sf):
+    documents = common.table(spark, sf.replace("0.001", "0.01"), "documents")
+    strange = [(10**9 + i, t, None, "s", 1) for i, t in enumerate(["Это русский текст о разных вещах", "你好世界 这是一个测试", "qzxj wvkq xxzj jqwx"])]
+    kept = language.identified(documents.unionByName(spark.createDataFrame(strange, documents.schema)))
+    assert kept.where(f"doc_id >= {10**9}").count() == 0
+    assert kept.count() == documents.where(r"text rlike '\\p{L}'").count()
+
+
 def test_documents_stay_where_nothing_is_labelled(docs):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert language.train(unlabelled) is None
