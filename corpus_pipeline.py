@@ -1,11 +1,14 @@
 """Corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
 
-1. language: documents without a language (no text, or no letter) go.
-2. near_copies: of documents that link by word shingles, that of the smallest id stays.
+1. language: documents the classifier rejects (no letter, or no learnt language fits) go.
+2. near_copies: of documents that link by word shingles, one stays: the first by id.
 3. mixing: documents repeat as often as the mix of their source takes them.
 4. sentence_pieces: (doc_id, token_ids, n_tokens, restored) of each row.
 
-All but the last return the columns of their input.  A trained classifier, a
+All but the last return the columns of their input, whatever other columns it has.  Rows
+without an id are rows like others; an empty table gives an empty result; what each
+stage does with nulls, empty and long texts, ties and repeats stands in its operator's
+module.  A stage's table goes once the next one is written.  A trained classifier, a
 transitive closure and seeded sampling are beyond SQL: ``ORACLE_SQL`` is None.
 """
 
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import language, mixing, ngram_join, sentence_pieces
-from skylattice.llm.common import stored
+from skylattice.llm.common import discard, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        given, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if at:
+            discard(given)
+    return STAGES[-1][1](spark, docs, sf_dir)
