@@ -38,8 +38,8 @@ def felt_wind(ratio: Column, station: Column) -> Column:
 
 
 def percent_change(before: Column, after: Column) -> Column:
-    base = F.greatest(before, F.lit(0.02))
-    return F.least(F.greatest(100.0 * (after - before) / base, F.lit(-99.0)), F.lit(399.0))
+    """Change in per cent of what was, taken as 0.02 at least, within [-99, 399]."""
+    return F.least(F.greatest(100.0 * (after / F.greatest(before, F.lit(0.02)) - 1.0), F.lit(-99.0)), F.lit(399.0))
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:

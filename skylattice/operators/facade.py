@@ -48,15 +48,15 @@ def march(samples: DataFrame, cells: DataFrame, suns: DataFrame, cell_m: float,
     top = cells.agg(F.max("surface").alias("t")).first()["t"] or 0.0
     keys = samples.columns
     sun = sun_vector(F.col("altitude"), F.pmod(F.col("azimuth") - bearing, F.lit(360.0)))
-    up = suns.where("altitude > 0.5").withColumn("sun", sun).withColumn("tan_alt", F.tan(F.radians("altitude")))
-    facing = samples.join(F.broadcast(up)).withColumn("cos_aoi", F.col("ne") * F.col("sun.east") + F.col("nn") * F.col("sun.north")).where("cos_aoi > 0")
-    flat = F.hypot("sun.east", "sun.north")
+    up = suns.where("altitude > 0.5").withColumn("_to_sun", sun).withColumn("tan_alt", F.tan(F.radians("altitude")))
+    facing = samples.join(F.broadcast(up)).withColumn("cos_aoi", F.col("ne") * F.col("_to_sun.east") + F.col("nn") * F.col("_to_sun.north")).where("cos_aoi > 0")
+    flat = F.hypot("_to_sun.east", "_to_sun.north")
     steps = F.floor(F.least(F.lit(reach_m), F.greatest(F.lit(0.0), F.lit(float(top)) - F.col("z0")) / F.col("tan_alt")) / cell_m).cast("int") + 2
     n = F.col("n")
     steps_of = facing.withColumn("n", F.explode(F.when(steps >= edge, F.sequence(F.lit(edge), steps)))).select(
         *keys, *suns.columns,
-        F.rint(F.col("row") - F.col("nn") - n * F.col("sun.north") / flat).cast("int").alias("r2"),
-        F.rint(F.col("col") + F.col("ne") + n * F.col("sun.east") / flat).cast("int").alias("c2"),
+        F.rint(F.col("row") - F.col("nn") - n * F.col("_to_sun.north") / flat).cast("int").alias("r2"),
+        F.rint(F.col("col") + F.col("ne") + n * F.col("_to_sun.east") / flat).cast("int").alias("c2"),
         (F.col("z0") + (n + 1) * cell_m * F.col("tan_alt")).alias("ray"),
         (n < own).alias("near"),
     )

@@ -64,9 +64,9 @@ def sun_hours(lit: DataFrame, step_h: float, *keys: str) -> DataFrame:
 
 def sky_view(cells: DataFrame, spark: SparkSession, cell_m: float, reach_m: float, azimuths: int = 16, value: str = "surface") -> DataFrame:
     """(row, col, svf): mean over directions of 1 / (1 + t^2) with t the steepest horizon, at least 0."""
-    steps = max(1, int(reach_m / cell_m))
+    steps = max(1, math.ceil(reach_m / cell_m))
     directions = spark.range(azimuths).select((F.col("id") * (360.0 / azimuths)).alias("azimuth"), F.lit(steps).alias("steps"))
-    offsets = ray_offsets(directions).where(F.col("dist") * cell_m <= reach_m)
+    offsets = ray_offsets(directions)
     z = F.col(value).cast("double")
     looks = cells.select("row", "col", z.alias("z")).join(F.broadcast(offsets)).select("azimuth", "row", "col", "z", "dist", (F.col("row") + F.col("drow")).alias("r2"), (F.col("col") + F.col("dcol")).alias("c2"))
     tops = cells.select(F.col("row").alias("r2"), F.col("col").alias("c2"), z.alias("top"))
@@ -109,22 +109,22 @@ def dilated_max(cells: DataFrame, value: str, rounds: int) -> DataFrame:
     return cells.join(most, ["row", "col"])
 
 
-def moving_moments(cells: DataFrame, value: str, radius: int, rows: int, cols: int) -> DataFrame:
-    """Mean and roughness over a square window; cells beyond the edge repeat the nearest one.
+def moving_moments(cells: DataFrame, value: str, radius: int, rows: int, cols: int, *keys: str) -> DataFrame:
+    """Mean and roughness over a square window, of each lattice of ``keys``; cells beyond the edge repeat the nearest one.
 
     Two passes of windows, by row and by column; an edge cell counts as often as it is repeated.
     """
     v = F.col(value).cast("double")
-    out = cells.select("row", "col", v.alias("s1"), (v * v).alias("s2"))
+    out = cells.select(*keys, "row", "col", v.alias("s1"), (v * v).alias("s2"))
     for along, across, n in (("col", "row", cols), ("row", "col", rows)):
-        w = Window.partitionBy(across).orderBy(along).rangeBetween(-radius, radius)
-        ends = Window.partitionBy(across).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        w = Window.partitionBy(*keys, across).orderBy(along).rangeBetween(-radius, radius)
+        ends = Window.partitionBy(*keys, across).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         before, after = F.greatest(F.lit(0), radius - F.col(along)), F.greatest(F.lit(0), F.col(along) + radius - (n - 1))
         summed = [(F.sum(c).over(w) + before * F.first(c).over(ends) + after * F.last(c).over(ends)).alias(c) for c in ("s1", "s2")]
-        out = out.select("row", "col", *summed)
+        out = out.select(*keys, "row", "col", *summed)
     k = float((2 * radius + 1) ** 2)
     mean = F.col("s1") / k
-    return out.select("row", "col", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / k - mean * mean)).alias("roughness"))
+    return out.select(*keys, "row", "col", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / k - mean * mean)).alias("roughness"))
 
 
 def buildings_without_classes(cells: DataFrame, rows: int, cols: int, least_cells: int = 4) -> DataFrame:
@@ -185,18 +185,29 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian(cells: DataFrame, value: str, sigma: float, least_weight: float = 0.2) -> DataFrame:
-    """Smoothed value of what is there: weighted sum over weights, null where too little weight has a value."""
+def gaussian(cells: DataFrame, value: str, sigma: float, least_weight: float = 0.2, size: tuple[int, int] | None = None) -> DataFrame:
+    """Smoothed value of cells that have one: weighted sum over weights; null without a value or with too little weight.
+
+    ``size`` (rows, columns) is that of the lattice: beyond its edges the cells are
+    mirrored, the edge cell itself included.  Without it nothing lies beyond.
+    """
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
     table = F.array(*[F.lit(w) for w in weights])
     have = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("num"), F.lit(1.0).alias("den"))
-    for axis, other in (("row", "col"), ("col", "row")):
+    for at, (axis, other) in enumerate((("row", "col"), ("col", "row"))):
         k = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("k")
         spread = have.select("row", "col", "num", "den", k)
         w = F.element_at(table, F.col("k") + radius + 1)
-        have = spread.select((F.col(axis) + F.col("k")).alias(axis), other, (w * F.col("num")).alias("num"), (w * F.col("den")).alias("den")).groupBy("row", "col").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    return cells.join(have, ["row", "col"], "left").select(*cells.columns, F.when(F.col("den") > least_weight, F.col("num") / F.col("den")).alias("smooth"))
+        to = F.array((F.col(axis) + F.col("k")).cast("int"))
+        if size is not None:
+            # A cell is also seen as its image before the first and behind the last one: both are aimed at what is inside.
+            last = size[at] - 1
+            images = F.array(F.col(axis), -1 - F.col(axis), 2 * last + 1 - F.col(axis))
+            to = F.filter(F.transform(images, lambda x: (x + F.col("k")).cast("int")), lambda x: (x >= 0) & (x <= last))
+        have = spread.select(F.explode(to).alias(axis), other, (w * F.col("num")).alias("num"), (w * F.col("den")).alias("den")).groupBy("row", "col").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    smooth = F.when(F.col(value).isNotNull() & (F.col("den") > least_weight), F.col("num") / F.col("den"))
+    return cells.join(have, ["row", "col"], "left").select(*cells.columns, smooth.alias("smooth"))
 
 
 def bilinear(points: DataFrame, cells: DataFrame, value: str, least_weight: float = 0.25) -> DataFrame:

@@ -16,28 +16,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def blocks(cells: DataFrame, value: str, size: int, halo: int, kernel: Callable[[np.ndarray, int, int], np.ndarray], out: str = "value", kind: str = "float") -> DataFrame:
-    """(row, col, ``out``): ``kernel(array, r, c)`` of each block with its halo; NaN where there is no cell.
+Halo = tuple[int, int, int, int]
+#: Blocks are at least this many times as wide as their halo, and as wide as these bounds allow.
+WIDTHS, LEAST_SIZE, MOST_SIZE = 2, 64, 1024
 
-    (r, c) is where the block's own cells begin in the array.
+
+def block_size(halo: Halo) -> int:
+    """Width of blocks for a halo: each cell then travels a few times at most, and a block fits a task."""
+    wide = WIDTHS * max(halo)
+    return min(MOST_SIZE, max(LEAST_SIZE, 1 << max(0, (wide - 1).bit_length())))
+
+
+def blocks(cells: DataFrame, value: str, size: int | None, halo: int | Halo, kernel: Callable[[np.ndarray, int, int, int], np.ndarray], out: str = "value", kind: str = "float") -> DataFrame:
+    """(row, col, ``out``): ``kernel(array, r, c, size)`` of each block with its halo; NaN where there is no cell.
+
+    ``halo`` is how far a kernel looks to smaller and larger rows and columns;
+    cells travel to a neighbour block only if it looks at them.  (r, c) is where the
+    block's own cells begin in the array.  Without ``size`` the halo sets it.
     """
-    reach = -(-halo // size)
-    at = lambda c: F.floor(F.col(c) / size).cast("int")
-    own = cells.select("row", "col", F.col(value).cast("float").alias("z"), at("row").alias("brow"), at("col").alias("bcol"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)])).alias("o")
-    sent = own.select("*", shifts).select("row", "col", "z", (F.col("brow") + F.col("o.a")).alias("brow"), (F.col("bcol") + F.col("o.b")).alias("bcol"))
-    sent = sent.where((F.col("row") >= F.col("brow") * size - halo) & (F.col("row") < (F.col("brow") + 1) * size + halo) & (F.col("col") >= F.col("bcol") * size - halo) & (F.col("col") < (F.col("bcol") + 1) * size + halo))
+    up, down, left, right = (halo,) * 4 if isinstance(halo, int) else halo
+    size = size or block_size((up, down, left, right))
+    own = cells.select("row", "col", F.col(value).cast("float").alias("z"))
+    # The blocks that hold a cell or look at it.
+    span = lambda c, before, after: F.explode(F.sequence(F.floor((F.col(c) - before) / size).cast("int"), F.floor((F.col(c) + after) / size).cast("int")))
+    sent = own.withColumn("brow", span("row", down, up)).withColumn("bcol", span("col", right, left))
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(part["brow"].iloc[0]) * size - halo, int(part["bcol"].iloc[0]) * size - halo
-        z = np.full((size + 2 * halo, size + 2 * halo), np.nan, np.float32)
+        r0, c0 = int(part["brow"].iloc[0]) * size - up, int(part["bcol"].iloc[0]) * size - left
         rows, cols = part["row"].to_numpy() - r0, part["col"].to_numpy() - c0
-        z[rows, cols] = part["z"].to_numpy()
-        mine = (rows >= halo) & (rows < halo + size) & (cols >= halo) & (cols < halo + size)
+        mine = (rows >= up) & (rows < up + size) & (cols >= left) & (cols < left + size)
         if not mine.any():
             return pd.DataFrame({"row": [], "col": [], out: []})
-        got = kernel(z, halo, size)
-        return pd.DataFrame({"row": rows[mine] + r0, "col": cols[mine] + c0, out: got[rows[mine] - halo, cols[mine] - halo]})
+        z = np.full((size + up + down, size + left + right), np.nan, np.float32)
+        z[rows, cols] = part["z"].to_numpy()
+        got = kernel(z, up, left, size)
+        return pd.DataFrame({"row": rows[mine] + r0, "col": cols[mine] + c0, out: got[rows[mine] - up, cols[mine] - left]})
 
     return sent.groupBy("brow", "bcol").applyInPandas(work, f"row int, col int, {out} {kind}")
 
@@ -50,66 +63,98 @@ def offsets(azimuth: float, steps: int) -> list[tuple[int, int, float]]:
     return [(r, c, math.hypot(r, c)) for r, c in pairs if r or c]
 
 
-def lit_block(z: np.ndarray, halo: int, size: int, rays: list[tuple[int, int, float]], cell: float, tan: float) -> np.ndarray:
-    own = z[halo : halo + size, halo : halo + size]
+def halo_of(rays: list[tuple[int, int, float]]) -> Halo:
+    """How far the rays look up, down, left and right."""
+    rows, cols = [r for r, _, _ in rays] or [0], [c for _, c, _ in rays] or [0]
+    return max(0, -min(rows)), max(0, max(rows)), max(0, -min(cols)), max(0, max(cols))
+
+
+def lit_block(z: np.ndarray, up: int, left: int, size: int, rays: list[tuple[int, int, float]], cell: float, tan: float) -> np.ndarray:
+    own = z[up : up + size, left : left + size]
     dark = np.zeros(own.shape, bool)
     for r, c, d in rays:
-        ahead = z[halo + r : halo + r + size, halo + c : halo + c + size]
+        ahead = z[up + r : up + r + size, left + c : left + c + size]
         dark |= ahead > own + np.float32(d * cell * tan)
     return ~dark
 
 
-def shadows_blocked(cells: DataFrame, altitude: float, azimuth: float, cell_m: float, value: str = "surface", size: int = 64) -> DataFrame:
-    """(row, col, lit) for one sun: the block form of ``focal.shadows``."""
+def shadows_blocked(cells: DataFrame, altitude: float, azimuth: float, cell_m: float, value: str = "surface", size: int | None = None, relief: float | None = None) -> DataFrame:
+    """(row, col, lit) for one sun: the block form of ``focal.shadows``.  Cells are sent towards the shadow only."""
     from .focal import ray_steps
 
     if altitude <= 0:
         return cells.select("row", "col", F.lit(False).alias("lit"))
-    ends = cells.agg(F.max(value).alias("most"), F.min(value).alias("least")).first()
-    rays = offsets(azimuth, ray_steps(float(ends["most"] - ends["least"]), cell_m, altitude))
+    if relief is None:
+        relief = relief_of(cells, value)
+    rays = offsets(azimuth, ray_steps(relief, cell_m, altitude))
     tan = math.tan(math.radians(altitude))
-    halo = max(max(abs(r), abs(c)) for r, c, _ in rays)
-    return blocks(cells, value, size, halo, lambda z, h, s: lit_block(z, h, s, rays, cell_m, tan), "lit", "boolean")
+    return blocks(cells, value, size, halo_of(rays), lambda z, r, c, n: lit_block(z, r, c, n, rays, cell_m, tan), "lit", "boolean")
+
+
+def relief_of(cells: DataFrame, value: str = "surface") -> float:
+    ends = cells.agg(F.max(value).alias("most"), F.min(value).alias("least")).first()
+    return float((ends["most"] or 0) - (ends["least"] or 0))
+
+
+def sun_counts(cells: DataFrame, suns: list[tuple[float, float]], cell_m: float, value: str = "surface", size: int | None = None) -> DataFrame:
+    """(row, col, lit_steps): how many of ``suns`` (altitude, azimuth) reach each cell.  One shuffle for all of them."""
+    from .focal import ray_steps
+
+    relief = relief_of(cells, value)
+    looks = [(offsets(azimuth, ray_steps(relief, cell_m, altitude)), math.tan(math.radians(altitude))) for altitude, azimuth in suns if altitude > 0]
+    halo = halo_of([ray for rays, _ in looks for ray in rays])
+
+    def kernel(z: np.ndarray, r: int, c: int, n: int) -> np.ndarray:
+        total = np.zeros((n, n), np.int32)
+        for rays, tan in looks:
+            total += lit_block(z, r, c, n, rays, cell_m, tan)
+        return total
+
+    return blocks(cells, value, size, halo, kernel, "lit_steps", "int")
 
 
-def sky_view_blocked(cells: DataFrame, cell_m: float, reach_m: float, azimuths: int = 16, value: str = "surface", size: int = 64) -> DataFrame:
+def sky_view_blocked(cells: DataFrame, cell_m: float, reach_m: float, azimuths: int = 16, value: str = "surface", size: int | None = None) -> DataFrame:
     """(row, col, svf): the block form of ``focal.sky_view``."""
-    steps = max(1, int(reach_m / cell_m))
-    rays = [[o for o in offsets(k * 360.0 / azimuths, steps) if o[2] * cell_m <= reach_m] for k in range(azimuths)]
+    steps = max(1, math.ceil(reach_m / cell_m))
+    rays = [offsets(k * 360.0 / azimuths, steps) for k in range(azimuths)]
 
-    def kernel(z: np.ndarray, halo: int, size: int) -> np.ndarray:
-        own = z[halo : halo + size, halo : halo + size].astype(np.float64)
+    def kernel(z: np.ndarray, up: int, left: int, size: int) -> np.ndarray:
+        own = z[up : up + size, left : left + size].astype(np.float64)
         total = np.zeros(own.shape)
         for direction in rays:
             steep = np.zeros(own.shape)
             for r, c, d in direction:
-                ahead = z[halo + r : halo + r + size, halo + c : halo + c + size]
+                ahead = z[up + r : up + r + size, left + c : left + c + size]
                 steep = np.fmax(steep, (ahead - own) / (d * cell_m))
             total += 1 / (1 + steep * steep)
         return total / len(rays)
 
-    return blocks(cells, value, size, steps, kernel, "svf", "double")
+    return blocks(cells, value, size, halo_of([ray for d in rays for ray in d]), kernel, "svf", "double")
 
 
-def distance_rows(valid: np.ndarray) -> np.ndarray:
-    """Squared distance to the nearest True cell of each cell, exactly, by two passes of lower envelopes."""
+def squared_distance(valid: np.ndarray, reach: int) -> np.ndarray:
+    """Squared distance to the nearest True cell of each cell, inf beyond ``reach``: the nearest in each column, then over columns within reach."""
     rows, cols = valid.shape
-    far = float(rows * rows + cols * cols + 1)
-    g = np.where(valid, 0.0, far)
+    g = np.where(valid, 0.0, np.inf)
     for r in range(1, rows):
-        g[r] = np.minimum(g[r], np.where(g[r - 1] < far, (np.sqrt(g[r - 1]) + 1) ** 2, far))
+        g[r] = np.minimum(g[r], g[r - 1] + 1)
     for r in range(rows - 2, -1, -1):
-        g[r] = np.minimum(g[r], np.where(g[r + 1] < far, (np.sqrt(g[r + 1]) + 1) ** 2, far))
-    step = np.arange(cols)
-    return (g[:, None, :] + (step[:, None] - step[None, :]) ** 2).min(axis=2)
+        g[r] = np.minimum(g[r], g[r + 1] + 1)
+    g *= g
+    best = g.copy()
+    for k in range(1, min(reach, cols - 1) + 1):  # memory stays at two lattices, whatever the reach
+        best[:, k:] = np.minimum(best[:, k:], g[:, :-k] + k * k)
+        best[:, :-k] = np.minimum(best[:, :-k], g[:, k:] + k * k)
+    best[best > reach * reach] = np.inf
+    return best
 
 
-def distance_blocked(cells: DataFrame, valid: str, reach: int, size: int = 64) -> DataFrame:
+def distance_blocked(cells: DataFrame, valid: str, reach: int, size: int | None = None) -> DataFrame:
     """(row, col, distance) in cells to the nearest cell where ``valid``, null beyond ``reach``."""
 
-    def kernel(z: np.ndarray, halo: int, size: int) -> np.ndarray:
-        d = np.sqrt(distance_rows(z == 1))[halo : halo + size, halo : halo + size]
-        return np.where(d <= reach, d, np.nan)
+    def kernel(z: np.ndarray, up: int, left: int, size: int) -> np.ndarray:
+        d = np.sqrt(squared_distance(z == 1, reach))[up : up + size, left : left + size]
+        return np.where(np.isfinite(d), d, np.nan)
 
     marked = cells.withColumn("_valid", F.col(valid).cast("int"))
     got = blocks(marked, "_valid", size, reach, kernel, "distance", "double")

@@ -30,8 +30,8 @@ def really_grew(before: DataFrame, now: DataFrame, cell_m: float, margin: float
 
 
 def may_reach(height: Column, distance: Column, least_altitude: Column, rise: Column) -> Column:
-    """Whether a change is worth a shadow test: high enough, and near enough for the lowest sun."""
-    return (rise >= 3.0) & (2.0 * height / F.tan(F.radians(least_altitude)) >= distance)
+    """Whether a change is worth a shadow test: high enough, and its longest shadow reaches ``distance`` (all in metres)."""
+    return (rise >= 3.0) & (height / F.tan(F.radians(least_altitude)) >= distance)
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

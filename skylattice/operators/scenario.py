@@ -34,10 +34,11 @@ def burn(cells: DataFrame, heights: DataFrame, grown: DataFrame | None = None, c
 
     A no-data cell of a footprint becomes a prism.  Other cells rise to
     ground + height where that is more than ``RAISE_M`` above the surface; with
-    ``grown`` only for those labels.  ``cap`` lowers built cells.
+    ``grown`` only for those labels.  ``cap`` lowers the cells of buildings, which
+    are labels of ``BUILT_M`` and more; trees and low labels stay (see ``capped``).
     """
     target = F.col("ground") + F.col("height_m")
-    joined = cells.join(F.broadcast(heights) if heights.isLocal() else heights, "label", "left")
+    joined = cells.join(heights, "label", "left")
     may = F.lit(True)
     if grown is not None:
         joined = joined.join(grown.select("label", F.lit(True).alias("is_grown")), "label", "left")
@@ -46,11 +47,16 @@ def burn(cells: DataFrame, heights: DataFrame, grown: DataFrame | None = None, c
     surface = F.when(F.col("nodata") & (F.col("label") > 0), F.col("ground") + h).when(may & (target > F.col("surface") + RAISE_M), target).otherwise(F.col("surface").cast("double"))
     out = joined.withColumn("burnt", surface)
     if cap is not None:
-        built = (F.col("label") > 0) | (F.col("burnt") - F.col("ground") >= BUILT_M)
+        built = (F.col("label") > 0) & (h >= BUILT_M)
         out = out.withColumn("burnt", F.when(built & (F.col("burnt") > F.col("ground") + cap), F.col("ground") + cap).otherwise(F.col("burnt")))
     return out.select(*cells.columns, "burnt")
 
 
+def capped(heights: DataFrame, cap: float) -> DataFrame:
+    """(label, height_m, lowered) under a height cap."""
+    return heights.select("label", F.least(F.col("height_m"), F.lit(cap)).alias("height_m"), (F.col("height_m") > cap).alias("lowered"))
+
+
 def hold_equal(now: Column, before: Column, differs: Column) -> Column:
     """Where nothing differs the earlier surface is today's."""
     return F.when(differs, before).otherwise(now)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import circular_distance, percent_change
 
 
+TREE_M = 2.0
+
+
 def nearest_run(hours: DataFrame, runs: DataFrame) -> DataFrame:
     """Each row of ``hours`` (direction) with the run whose direction is next on the circle, the first on ties.
 
@@ -38,6 +41,7 @@ def benchmark_scores(pairs: DataFrame, *keys: str, near: Column | None = None, h
     """Scores of modelled against measured: correlation, errors, hit rate, ratio of means."""
     e = F.col("model") - F.col("measured")
     near = F.lit(True) if near is None else near
+    relative = F.try_divide(F.col("model"), F.col("measured")) - 1.0
     return pairs.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.corr("model", "measured").alias("r"),
@@ -47,6 +51,9 @@ def benchmark_scores(pairs: DataFrame, *keys: str, near: Column | None = None, h
         F.avg((F.abs(e) <= hit * F.abs("measured")).cast("int")).alias("hit_rate"),
         F.try_divide(F.avg("model"), F.avg("measured")).alias("mean_ratio"),
         F.avg(F.when(near, F.abs(e))).alias("near_mae"),
+        F.count_if(near).alias("near_n"),
+        F.avg(F.when(near, F.abs(relative))).alias("near_relative"),
+        F.avg(relative).alias("relative_bias"),
     )
 
 
@@ -60,7 +67,7 @@ def convergence(samples: DataFrame, *keys: str) -> DataFrame:
 def voxel_columns(cells: DataFrame, factor: int, dz: float, nz: int) -> DataFrame:
     """Columns of factor x factor cells: ground, building and crown heights, cover, open levels and the first of them."""
     part = lambda c: F.floor(F.col(c) / factor).cast("int")
-    tree = F.col("canopy") > 0
+    tree = F.col("canopy") > TREE_M
     cols = cells.groupBy(part("row").alias("j"), part("col").alias("i")).agg(
         F.avg("ground").alias("ground"), F.median(F.col("building").cast("double")).alias("bh"), F.coalesce(F.avg(F.when(tree, F.col("canopy"))), F.lit(0.0)).alias("ch"), F.avg(tree.cast("int")).alias("cover")
     )
@@ -71,10 +78,10 @@ def voxel_columns(cells: DataFrame, factor: int, dz: float, nz: int) -> DataFram
 
 
 def street_reference(cells: DataFrame, value: str, every: int = 3) -> DataFrame:
-    """Median over every third lawn cell in scan order; the rank comes from counts by row, not one sorted list."""
+    """Median over every third lawn cell in scan order, of those that have a value; the rank comes from counts by row, not one sorted list."""
     from pyspark.sql import Window
 
-    lawn = cells.where(F.col("lawn") & F.col(value).isNotNull())
+    lawn = cells.where(F.col("lawn"))
     rows = lawn.groupBy("row").count().withColumn("start", F.sum("count").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.coalesce("start", F.lit(0)) + F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
     return lawn.join(rows.select("row", "start"), "row").withColumn("place", place).where(F.col("place") % every == 0).agg(F.median(value).alias("reference"), F.count("*").alias("n"))

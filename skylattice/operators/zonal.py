@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_quantile(value: str | Column, q: float) -> Column:
-    """The sorted value at index floor(q (n - 1)): no interpolation."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.floor(q * (F.count(value) - 1)).cast("int") + 1)
+def floor_quantile(cells: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
+    """(keys, quantile): the sorted value at index floor(q (n - 1)), without interpolation.
+
+    Values are counted before they are shuffled and ranked by running sums over the
+    distinct ones, so no zone is held in one row.
+    """
+    counts = cells.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*keys).orderBy(value)
+    upto = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    return placed.where(F.col("_upto") > F.floor(q * (F.col("_all") - 1))).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def label_statistics(cells: DataFrame, value: str, mask: str, q: float = 0.99, label: str = "label") -> DataFrame:
     """Per label above 0: count, median, floor-index quantile and share of ``mask``."""
-    return (
-        cells.where(F.col(label) > 0)
-        .groupBy(label)
-        .agg(F.count("*").alias("n"), F.median(F.col(value).cast("double")).alias("median"), floor_quantile(value, q).alias("quantile"), F.coalesce(F.avg(F.col(mask).cast("int")), F.lit(0.0)).alias("fraction"))
-    )
+    inside = cells.where(F.col(label) > 0)
+    counted = inside.groupBy(label).agg(F.count("*").alias("n"), F.median(F.col(value).cast("double")).alias("median"), F.coalesce(F.avg(F.col(mask).cast("int")), F.lit(0.0)).alias("fraction"))
+    return counted.join(floor_quantile(inside, value, q, label), label, "left").select(label, "n", "median", "quantile", "fraction")
 
 
 def masked_statistics(cells: DataFrame, value: str, valid: Column) -> DataFrame:

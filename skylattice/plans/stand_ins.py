@@ -105,3 +105,21 @@ TILES = """tiles AS (SELECT vec_id, label, ((i - 1) // 8)::INT AS "row", ((i - 1
 
 def sql(query: str, *parts: str) -> str:
     return f"WITH {', '.join(parts)} {query}" if parts else query
+
+
+def sun_table(source: str, unix_s: str) -> str:
+    """``source`` with altitude, azimuth and declination in SQL of its own: Meeus' low-accuracy sun in degrees, by arcsine and arctangent."""
+    t = f"(({unix_s}) / 86400.0::DOUBLE - 10957.5) / 36525.0"
+    mean = "280.46646 + 36000.76983 * t + 0.0003032 * t * t AS l0, 357.52911 + 35999.05029 * t - 0.0001537 * t * t AS m, 125.04 - 1934.136 * t AS om, 0.016708634 - 0.000042037 * t - 0.0000001267 * t * t AS ec"
+    true = "l0 + (1.914602 - 0.004817 * t - 0.000014 * t * t) * sin(radians(m)) + (0.019993 - 0.000101 * t) * sin(radians(2 * m)) + 0.000289 * sin(radians(3 * m)) - 0.00569 - 0.00478 * sin(radians(om)) AS lambda_"
+    axis = "(84381.448 - 46.815 * t - 0.00059 * t * t + 0.001813 * t * t * t) / 3600.0 + 0.00256 * cos(radians(om)) AS ep"
+    eot = "degrees(y * sin(radians(2 * l0)) - 2 * ec * sin(radians(m)) + 4 * ec * y * sin(radians(m)) * cos(radians(2 * l0)) - y * y / 2 * sin(radians(4 * l0)) - 1.25 * ec * ec * sin(radians(2 * m)))"
+    turn = f"(({unix_s}) - 86400.0 * floor(({unix_s}) / 86400.0)) / 240.0 + {eot} + ({LON}) - 180.0 AS ha"
+    one = f"(SELECT *, {t} AS t FROM {source})"
+    two = f"(SELECT *, {mean} FROM {one})"
+    three = f"(SELECT *, {true}, {axis} FROM {two})"
+    four = f"(SELECT *, degrees(asin(sin(radians(ep)) * sin(radians(lambda_)))) AS declination, pow(tan(radians(ep / 2)), 2) AS y FROM {three})"
+    five = f"(SELECT *, {turn} FROM {four})"
+    up = f"degrees(asin(sin(radians({LAT})) * sin(radians(declination)) + cos(radians({LAT})) * cos(radians(declination)) * cos(radians(ha))))"
+    way = f"180.0 + degrees(atan2(sin(radians(ha)), cos(radians(ha)) * sin(radians({LAT})) - tan(radians(declination)) * cos(radians({LAT}))))"
+    return f"(SELECT * EXCLUDE (t, l0, m, om, ec, lambda_, ep, y, ha), {up} AS altitude, ({way}) - 360.0 * floor(({way}) / 360.0) AS azimuth FROM {five})"

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_of
-from ..functions.solar import clear_sky_dni, frames, haurwitz, sun_steps, sun_vector, with_sun
+from ..functions.solar import clear_sky_dni, frames, haurwitz, sun_vector, with_sun
 from ..operators import focal, gridding, kernels, scenario, zonal
 from ..operators.grid import Grid, north_up_index
-from .stand_ins import BUILDINGS, CELL_M, CELLS, COLS, GRID, LABELS, LAT, LON, PTS, TILES, buildings, cells, points, read, sql, tiles
+from .stand_ins import BUILDINGS, CELL_M, CELLS, COLS, GRID, LABELS, LAT, LON, PTS, TILES, buildings, cells, points, read, sql, sun_table, tiles
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,11 +31,7 @@ def query(oracle: str | None = None):
 
 
 def sun_sql(source: str, unix_s: str, columns: str, where: str = "") -> str:
-    """The sun's expressions as nested selects."""
-    out = source
-    for name, step in sun_steps(unix_s, LAT, LON):
-        out = f"(SELECT *, {step} AS {name} FROM {out})"
-    return f"SELECT {columns} FROM {out} {where}"
+    return f"SELECT {columns} FROM {sun_table(source, unix_s)} {where}"
 
 
 @query(sql("SELECT * FROM grid", PTS, GRID))
@@ -110,8 +106,8 @@ def grown_labels(spark, sf):
 
 @query(
     sql(
-        """SELECT "row", col, round(CASE WHEN (label > 0 OR burnt - ground >= 3) AND burnt > ground + 300 THEN ground + 300 ELSE burnt END, 3) AS burnt FROM (
-  SELECT c."row", c.col, c.label, c.ground::DOUBLE AS ground, CASE WHEN nodata AND c.label > 0 THEN ground + coalesce(b.height_m, 0) WHEN g.label IS NOT NULL AND ground + b.height_m > surface + 3 THEN ground + b.height_m ELSE surface::DOUBLE END AS burnt
+        """SELECT "row", col, round(CASE WHEN label > 0 AND height_m >= 3 AND burnt > ground + 300 THEN ground + 300 ELSE burnt END, 3) AS burnt FROM (
+  SELECT c."row", c.col, c.label, coalesce(b.height_m, 0) AS height_m, c.ground::DOUBLE AS ground, CASE WHEN nodata AND c.label > 0 THEN ground + coalesce(b.height_m, 0) WHEN g.label IS NOT NULL AND ground + b.height_m > surface + 3 THEN ground + b.height_m ELSE surface::DOUBLE END AS burnt
   FROM cells c LEFT JOIN (SELECT label, greatest(coalesce(height_m, 0), 0) AS height_m FROM buildings) b ON c.label = b.label LEFT JOIN grown g ON c.label = g.label)""",
         PTS, GRID, CELLS, LABELS, BUILDINGS, _GROWN,
     )
@@ -210,10 +206,10 @@ def shadow_sweep_blocks(spark, sf):
 
 @query(sql('SELECT "row", col, count(*) FILTER (lit) * 0.5::DOUBLE AS sun_hours FROM shade GROUP BY ALL', PTS, GRID, CELLS, _SHADE))
 def sun_hours_accumulate(spark, sf):
-    return focal.sun_hours(focal.shadows(cells(spark, sf), _suns(spark), CELL_M), 0.5)
+    return kernels.sun_counts(cells(spark, sf), [(a, z) for _, a, z in SUNS], CELL_M).select("row", "col", (F.col("lit_steps") * 0.5).alias("sun_hours"))
 
 
-_VIEW = f"""offs AS (SELECT DISTINCT k, drow, dcol, sqrt(drow * drow + dcol * dcol) * {CELL_M} AS dist FROM (SELECT k, round_even(-step * cos(radians(k * 22.5)), 0)::INT AS drow, round_even(step * sin(radians(k * 22.5)), 0)::INT AS dcol FROM generate_series(0, 15) a(k), generate_series(1, 5) b(step)) WHERE (drow <> 0 OR dcol <> 0) AND sqrt(drow * drow + dcol * dcol) * {CELL_M} <= 100),
+_VIEW = f"""offs AS (SELECT DISTINCT k, drow, dcol, sqrt(drow * drow + dcol * dcol) * {CELL_M} AS dist FROM (SELECT k, round_even(-step * cos(radians(k * 22.5)), 0)::INT AS drow, round_even(step * sin(radians(k * 22.5)), 0)::INT AS dcol FROM generate_series(0, 15) a(k), generate_series(1, 5) b(step)) WHERE drow <> 0 OR dcol <> 0),
  steep AS (SELECT a."row", a.col, k, greatest(0, max((b.surface::DOUBLE - a.surface::DOUBLE) / dist)) AS t FROM cells a, offs o, cells b WHERE b."row" = a."row" + drow AND b.col = a.col + dcol GROUP BY a."row", a.col, k),
  seen AS (SELECT "row", col, sum(1 / (1 + t * t)) AS s, count(*) AS k FROM steep GROUP BY ALL)"""
 
@@ -233,8 +229,8 @@ def sky_view_factor(spark, sf):
 )
 def street_and_resource_stats(spark, sf):
     c = cells(spark, sf)
-    hours = focal.sun_hours(focal.shadows(c, _suns(spark), CELL_M), 0.5).join(c.select("row", "col", "park", "label", "blank"), ["row", "col"])
-    h = F.col("sun_hours").cast("double")
+    hours = kernels.sun_counts(c, [(a, z) for _, a, z in SUNS], CELL_M).join(c.select("row", "col", "park", "label", "blank"), ["row", "col"])
+    h = F.col("lit_steps") * F.lit(0.5)
     kept = hours.where(F.col("park") | scenario.street(F.col("label") > 0, F.col("blank"), F.col("park")))
     return kept.groupBy(F.when(F.col("park"), "resource").otherwise("street").alias("zone")).agg(
         F.count("*").alias("cells"),

@@ -53,18 +53,8 @@ _CLAMP = """m AS (SELECT t.vec_id, t."row", t.col, avg(n.v::DOUBLE) AS mean, avg
 
 @query(sql('SELECT vec_id, "row", col, round(mean, 6) AS mean, round(sqrt(greatest(0, sq - mean * mean)), 6) AS roughness FROM m', TILES, _CLAMP))
 def roughness_tiles(spark, sf):
-    """Roughness of every tile; tiles are kept apart by windows over (tile, row) and (tile, column)."""
-    from pyspark.sql import Window
-
-    v = F.col("v").cast("double")
-    out = tiles(spark, sf).select("vec_id", "row", "col", v.alias("s1"), (v * v).alias("s2"))
-    for along, across in (("col", "row"), ("row", "col")):
-        near = Window.partitionBy("vec_id", across).orderBy(along).rangeBetween(-1, 1)
-        every = Window.partitionBy("vec_id", across).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        lo, hi = (F.col(along) == 0).cast("int"), (F.col(along) == 7).cast("int")
-        out = out.select("vec_id", "row", "col", *[(F.sum(c).over(near) + lo * F.first(c).over(every) + hi * F.last(c).over(every)).alias(c) for c in ("s1", "s2")])
-    mean = F.col("s1") / 9
-    return out.select("vec_id", "row", "col", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / 9 - mean * mean)), 6).alias("roughness"))
+    out = focal.moving_moments(tiles(spark, sf), "v", 1, 8, 8, "vec_id")
+    return out.select("vec_id", "row", "col", F.round("mean", 6).alias("mean"), F.round("roughness", 6).alias("roughness"))
 
 
 @query(
@@ -86,20 +76,21 @@ def nearest_fill(spark, sf):
     return focal.nearest_fill(c, "value", 3).select("row", "col", F.round("value", 4).alias("value"), F.round("distance", 6).alias("distance"))
 
 
-_W = focal.gaussian_weights(1.0)
-_GW = "[" + ", ".join(f"{w!r}::DOUBLE" for w in _W) + "]"
-
-
 @query(
     sql(
-        f"""SELECT c."row", c.col, round(CASE WHEN den > 0.2 THEN num / den END, 5) AS smooth FROM cells c LEFT JOIN (SELECT n."row" + a AS "row", n.col + b AS col, sum({_GW}[a + 5] * {_GW}[b + 5] * x) AS num, sum({_GW}[a + 5] * {_GW}[b + 5]) AS den
-  FROM (SELECT "row", col, heights::DOUBLE AS x FROM cells WHERE NOT nodata) n, generate_series(-4, 4) g(a), generate_series(-4, 4) h(b) GROUP BY ALL) s ON s."row" = c."row" AND s.col = c.col""",
+        """SELECT c."row", c.col, round(CASE WHEN c.x IS NOT NULL AND den > 0.2 THEN num / den END, 5) AS smooth FROM field c LEFT JOIN (
+  SELECT t."row", t.col, sum(w.w * u.w * f.x) AS num, sum(w.w * u.w) FILTER (f.x IS NOT NULL) AS den FROM field t, kern w, kern u, extent e, field f
+  WHERE f."row" = (CASE WHEN t."row" + w.k < 0 THEN -1 - t."row" - w.k WHEN t."row" + w.k > e.r THEN 2 * e.r + 1 - t."row" - w.k ELSE t."row" + w.k END)
+    AND f.col = (CASE WHEN t.col + u.k < 0 THEN -1 - t.col - u.k WHEN t.col + u.k > e.c THEN 2 * e.c + 1 - t.col - u.k ELSE t.col + u.k END) GROUP BY ALL) s ON s."row" = c."row" AND s.col = c.col""",
         PTS, GRID, CELLS,
+        'field AS (SELECT "row", col, CASE WHEN NOT nodata THEN heights::DOUBLE END AS x FROM cells)',
+        'extent AS (SELECT max("row") AS r, max(col) AS c FROM cells)',
+        "kern AS (SELECT k, exp(-k * k / 2.0) / sum(exp(-k * k / 2.0)) OVER () AS w FROM generate_series(-4, 4) g(k))",
     )
 )
 def gaussian_smooth(spark, sf):
     c = cells(spark, sf).select("row", "col", F.when(~F.col("nodata"), F.col("heights").cast("double")).alias("h"))
-    return focal.gaussian(c, "h", 1.0).select("row", "col", F.round("smooth", 5).alias("smooth"))
+    return focal.gaussian(c, "h", 1.0, size=_size(c)).select("row", "col", F.round("smooth", 5).alias("smooth"))
 
 
 def _samples(spark, sf):
@@ -110,7 +101,27 @@ def _samples(spark, sf):
     return c, s.select(key.alias("sample"), "row", "col", "ne", "nn", "label", "height_frac", (F.col("ground") + F.col("z_above_ground")).cast("double").alias("z0"))
 
 
-@query()
+#: Walls, their normals, two samples a wall and the march, written out: weights of the smoothed mask, then one row a ray step.
+_MARCH = f"""kern AS (SELECT k, exp(-k * k / (2 * 1.2 * 1.2)) / sum(exp(-k * k / (2 * 1.2 * 1.2))) OVER () AS w FROM generate_series(-5, 5) g(k)),
+ soft AS (SELECT c."row" + a.k AS "row", c.col + b.k AS col, sum(a.w * b.w * (c.label > 0)::INT) / sum(a.w * b.w) AS s FROM cells c, kern a, kern b GROUP BY ALL),
+ inlat AS (SELECT s.* FROM soft s JOIN cells c ON c."row" = s."row" AND c.col = s.col),
+ wall AS (SELECT * FROM cells c WHERE label > 0 AND (SELECT count(*) FROM cells n, {_BOX} WHERE n.label > 0 AND n."row" = c."row" + dr AND n.col = c.col + dc) < 9),
+ slope AS (SELECT w.*, (coalesce(e.s, 0) - coalesce(v.s, 0)) / 2 AS gc, (coalesce(d.s, 0) - coalesce(u.s, 0)) / 2 AS gr FROM wall w
+   LEFT JOIN inlat e ON e."row" = w."row" AND e.col = w.col + 1 LEFT JOIN inlat v ON v."row" = w."row" AND v.col = w.col - 1
+   LEFT JOIN inlat d ON d.col = w.col AND d."row" = w."row" + 1 LEFT JOIN inlat u ON u.col = w.col AND u."row" = w."row" - 1),
+ samp AS (SELECT "row"::BIGINT * 1000000 + col * 10 + level AS sample, "row", col, label, -gc / sqrt(gc * gc + gr * gr) AS ne, gr / sqrt(gc * gc + gr * gr) AS nn, (ground + (level + 0.5) / 2 * heights)::DOUBLE AS z0 FROM slope, (VALUES (0), (1)) l(level) WHERE sqrt(gc * gc + gr * gr) > 1e-6 AND heights > 0),
+ face AS (SELECT s.*, u.sun, u.altitude, tan(radians(u.altitude)) AS ta, sin(radians(u.azimuth)) AS se, cos(radians(u.azimuth)) AS sn, (ne * sin(radians(u.azimuth)) + nn * cos(radians(u.azimuth))) * cos(radians(u.altitude)) AS aoi FROM samp s, (VALUES {", ".join(f"('{n}', {a}::DOUBLE, {z}::DOUBLE)" for n, a, z in SUNS)}) u(sun, altitude, azimuth) WHERE u.altitude > 0.5),
+ steps AS (SELECT f.*, n, round_even(f."row" - nn - n * sn, 0)::INT AS r2, round_even(f.col + ne + n * se, 0)::INT AS c2, z0 + (n + 1) * {CELL_M} * ta AS ray FROM face f, (SELECT max(surface)::DOUBLE AS top FROM cells), generate_series(1, 200) g(n) WHERE aoi > 0 AND n <= floor(least(2500, greatest(0, top - z0) / ta) / {CELL_M}) + 2),
+ dark AS (SELECT DISTINCT s.sample, s.sun FROM steps s JOIN cells t ON t."row" = s.r2 AND t.col = s.c2 WHERE t.surface > s.ray AND NOT (s.n < 2 AND t.label = s.label))"""
+
+
+@query(
+    sql(
+        """SELECT f.sample, f.sun, d.sample IS NULL AS lit, round(CASE WHEN d.sample IS NULL THEN 1367 * pow(0.7, pow(least(38.0, 1 / (sin(radians(altitude)) + 0.50572 * pow(altitude + 6.07995, -1.6364))), 0.678)) * aoi ELSE 0 END, 3) AS gain
+  FROM face f LEFT JOIN dark d ON d.sample = f.sample AND d.sun = f.sun WHERE f.aoi > 0""",
+        PTS, GRID, CELLS, _MARCH,
+    )
+)
 def facade_march(spark, sf):
     c, s = _samples(spark, sf)
     out = facade.march(s, c.select("row", "col", "surface", "label"), _suns(spark), CELL_M)
