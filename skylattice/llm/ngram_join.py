@@ -59,12 +59,12 @@ REGION = 0.4  # of the range of hashes
 GROUP_TOKENS = 100_000
 #: Tokens a bucket should hold, and the least number of buckets.
 BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 1024
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: A token is hot if more than one in so many sets has it, and at least this many sets.
 HOT_PARTS, LEAST_HOT = 1000, 4096
 LAST = 1 << 40  # stands for the number of sets of a hot token
 #: Cells of a matrix that is held at once when sets of groups are compared.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 #: Sets whose counts a task sends in one row, and the least number of such rows.
 SLICE_SETS, LEAST_SLICES = 100_000, 512
 
