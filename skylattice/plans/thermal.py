@@ -218,8 +218,7 @@ def gridding_stream(spark, sf):
     from ..sources.scratch import scratch
     from ..streaming.gridding import grid_stream
 
-    name = f"cells_{uuid.uuid4().hex}"
-    folder = scratch(spark, name)
-    points(spark, sf).drop("hours").write.parquet(f"{folder}/points")
+    folder = scratch(spark, f"stream-{uuid.uuid4().hex}")
+    points(spark, sf).drop("hours").repartition(4).write.parquet(f"{folder}/points")
     schema = spark.read.parquet(f"{folder}/points").schema
-    return grid_stream(spark.readStream.schema(schema).parquet(f"{folder}/points"), name, f"{folder}/state")
+    return grid_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/points"), folder)
