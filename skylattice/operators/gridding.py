@@ -80,4 +80,4 @@ def covered(points: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
 
 def presence_map(tiles: DataFrame, xs: list[int]) -> DataFrame:
     """Pivot of tiles by their key: one row a ty, one column a tx."""
-    return tiles.groupBy("ty").pivot("tx", xs).agg(F.count("*"))
+    return tiles.groupBy("ty").pivot("tx", xs).agg(F.count(F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reports, surface, thermal, walls
+from . import layers, reports, surface, thermal, walls
 
-QUERIES: dict = surface.QUERIES | thermal.QUERIES | walls.QUERIES | reports.QUERIES
-ORACLE: dict[str, str] = surface.ORACLE | thermal.ORACLE | walls.ORACLE | reports.ORACLE
+QUERIES: dict = surface.QUERIES | thermal.QUERIES | walls.QUERIES | reports.QUERIES | layers.QUERIES
+ORACLE: dict[str, str] = surface.ORACLE | thermal.ORACLE | walls.ORACLE | reports.ORACLE | layers.ORACLE

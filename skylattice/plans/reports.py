@@ -54,10 +54,10 @@ def felt_step_summary(spark, sf):
     return rounded(reports.step_summary(changes(spark, sf), HA, "hour"), 6, "felt", "colder_2_ha", "colder_5_ha", "biggest_drop")
 
 
-@query(sql("SELECT hour, round(median(felt - 9 - du), 6) AS median, round(quantile_cont(felt - 9 - du, 0.05), 6) AS p05, round(quantile_cont(felt - 9 - du, 0.95), 6) AS p95 FROM changes GROUP BY hour", PTS, CHANGES))
+@query(sql("SELECT hour, round(median(felt - 9 - du), 9) AS median, round(quantile_cont(felt - 9 - du, 0.05), 9) AS p05, round(quantile_cont(felt - 9 - du, 0.95), 9) AS p95 FROM changes GROUP BY hour", PTS, CHANGES))
 def wind_part_summary(spark, sf):
     c = changes(spark, sf).select("hour", (F.col("felt") - 9).alias("d_wind"), F.col("du").alias("d_uniform"))
-    return rounded(reports.wind_part_summary(c, "hour"), 6, "median", "p05", "p95")
+    return rounded(reports.wind_part_summary(c, "hour"), 9, "median", "p05", "p95")
 
 
 @query(sql('SELECT zone, "row", col, round(min(du), 6) AS worst FROM changes WHERE hour <> 3 GROUP BY ALL UNION ALL SELECT zone, "row", col, NULL FROM changes GROUP BY ALL HAVING bool_and(hour = 3)', PTS, CHANGES))

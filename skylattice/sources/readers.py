@@ -120,3 +120,44 @@ def synthetic_city(spark: SparkSession, rows: int, cols: int, towers: list[tuple
         z = F.when((F.abs(F.col("row") - r) <= half) & (F.abs(F.col("col") - c) <= half), F.greatest(z, F.lit(h))).otherwise(z)
     lattice = spark.range(rows * cols).select(F.expr(f"int(id div {cols})").alias("row"), F.expr(f"int(id % {cols})").alias("col"))
     return lattice.withColumn("heights", z.cast("float")).withColumn("surface", (ground + z).cast("float")).withColumn("ground", F.lit(ground).cast("float"))
+
+
+RUN = "scenario string, season string, theta_from_deg double, res_m double, box struct<nx: int, ny: int, nz: int, x0c: double, p0: array<double>, ex: array<double>, ey: array<double>>"
+
+
+def run_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, description) of the archived runs under ``folder``, by name: folders that hold a run.json and are no tests."""
+    found = spark.read.schema(RUN).option("multiLine", True).json(f"{folder}/*/run.json").withColumn("path", F.col("_metadata.file_path"))
+    name = F.regexp_extract("path", r"([^/]+)/run\.json$", 1)
+    return found.select(name.alias("name"), "scenario", "season", "theta_from_deg", "res_m", "box").where(~F.col("name").contains("_test")).orderBy("name")
+
+
+def usable_cells(cells: DataFrame) -> DataFrame:
+    """Cells of a run that may be read: under no roof, with a finite speed."""
+    speed = F.col("street_speed")
+    return cells.withColumn("ok", ~F.col("roof") & speed.isNotNull() & ~F.isnan(speed) & (F.abs(speed) < float("inf")))
+
+
+def parent_of(runs: DataFrame, scenario: str, season: str, direction: float, res_m: float, box: tuple[int, int, int]) -> DataFrame:
+    """The coarse run to nest in; the job fails where its box is not the one expected."""
+    one = runs.where((F.col("scenario") == scenario) & (F.col("season") == season) & (F.col("theta_from_deg") == direction) & (F.col("res_m") == res_m))
+    same = (F.col("box.nx") == box[0]) & (F.col("box.ny") == box[1]) & (F.col("box.nz") == box[2])
+    return one.withColumn("name", F.when(same, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("another box: "), "name"))))
+
+
+DAYS = "seasons map<string, struct<chosen: struct<date: string>, report_timestamps: array<string>>>, epw string"
+
+
+def day_config(spark: SparkSession, path: str) -> DataFrame:
+    """(season, day, times, weather file) of the chosen days."""
+    raw = spark.read.schema(DAYS).option("multiLine", True).json(path)
+    return raw.select(F.explode("seasons").alias("season", "x"), "epw").select("season", F.to_date("x.chosen.date").alias("day"), F.col("x.report_timestamps").alias("times"), "epw")
+
+
+def context_numbers(parts: dict[str, DataFrame]) -> DataFrame:
+    """(key, value, unit, scope, status, note) of small tables (key, value, unit, note) of several scopes; none may be published."""
+    out = None
+    for scope, df in parts.items():
+        one = df.select("key", F.col("value").cast("double").alias("value"), "unit", F.lit(scope).alias("scope"), F.lit("internal").alias("status"), "note")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -80,11 +80,32 @@ def line_files(lines: DataFrame) -> DataFrame:
     return runs.mapInPandas(pack, "run string, content binary")
 
 
+#: Columns of the solver's weather file; what is not measured here is -999.  Fixed values.
+MET = "%iy id it imin qn qh qe qs qf U RH Tair pres rain kdown snow ldown fcld wuh xsmd lai kdiff kdir wdir"
+MET_FROM = {"U": "ws", "RH": "rh", "Tair": "ta", "pres": "pressure_pa", "kdown": "ghi", "kdiff": "dhi", "kdir": "dni"}
+
+
+def met_lines(weather: DataFrame) -> DataFrame:
+    """(ts, value): rows of the solver's weather file for ``weather`` (ts, ws, rh, ta, pressure_pa, ghi, dhi, dni), pressure in kPa."""
+    clock = {"%iy": F.year("ts"), "id": F.dayofyear("ts"), "it": F.hour("ts"), "imin": F.minute("ts")}
+    short = lambda c: F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.6f", c.cast("double")), r"0+$", ""), r"\.$", ""))
+    cells = []
+    for name in MET.split():
+        if name in clock:
+            cells.append(clock[name].cast("string"))
+        elif name in MET_FROM:
+            c = F.col(MET_FROM[name])
+            cells.append(F.coalesce(short(c / 1000.0 if name == "pres" else c), F.lit("-999")))
+        else:
+            cells.append(F.lit("-999"))
+    return weather.select("ts", F.concat_ws(" ", *cells).alias("value"))
+
+
 def write_met(weather: DataFrame, path: str) -> None:
-    """Weather as fixed columns; -999 for what is missing, kPa."""
-    cell = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("-999"))
-    columns = [F.col(c).cast("string") for c in ("year", "month", "day", "hour")] + [cell(F.col(c)) for c in ("ws", "rh", "ta")] + [cell(F.col("pressure_pa") / 1000), cell(F.col("ghi")), cell(F.col("dni")), cell(F.col("dhi"))]
-    weather.orderBy("month", "day", "hour").select(F.concat_ws(" ", *columns).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """The weather file as one text: a header line, then a line an hour."""
+    rows = met_lines(weather)
+    head = rows.sparkSession.createDataFrame([(MET,)], "value string").select(F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"), "value")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions(F.col("ts").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
 
 
 def crop_features(features: DataFrame, keep: list[str]) -> DataFrame:
