@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.solar import clear_sky_dni, sun_vector
 from .focal import BOX, _around, gaussian
+from .small import small
 
 EDGE_SKIP_M, SELF_SKIP_M, MAX_MARCH_M = 4.0, 6.0, 2500.0
 
@@ -49,7 +50,7 @@ def march(samples: DataFrame, cells: DataFrame, suns: DataFrame, cell_m: float,
     keys = samples.columns
     sun = sun_vector(F.col("altitude"), F.pmod(F.col("azimuth") - bearing, F.lit(360.0)))
     up = suns.where("altitude > 0.5").withColumn("_to_sun", sun).withColumn("tan_alt", F.tan(F.radians("altitude")))
-    facing = samples.join(F.broadcast(up)).withColumn("cos_aoi", F.col("ne") * F.col("_to_sun.east") + F.col("nn") * F.col("_to_sun.north")).where("cos_aoi > 0")
+    facing = samples.join(small(up)).withColumn("cos_aoi", F.col("ne") * F.col("_to_sun.east") + F.col("nn") * F.col("_to_sun.north")).where("cos_aoi > 0")
     flat = F.hypot("_to_sun.east", "_to_sun.north")
     steps = F.floor(F.least(F.lit(reach_m), F.greatest(F.lit(0.0), F.lit(float(top)) - F.col("z0")) / F.col("tan_alt")) / cell_m).cast("int") + 2
     n = F.col("n")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .labels import propagate
+from .small import small
 
 MAX_STEPS = 4000
 
@@ -51,10 +52,10 @@ def shadows(cells: DataFrame, suns: DataFrame, cell_m: float, value: str = "surf
     far = F.lit(relief) / F.greatest(F.tan(F.radians("altitude")), F.lit(1e-6))
     steps = F.greatest(F.lit(1), F.least(F.ceil(far / cell_m) + 1, F.lit(MAX_STEPS))).cast("int")
     offsets = ray_offsets(up.withColumn("steps", steps)).withColumn("climb", (F.col("dist") * cell_m * F.tan(F.radians("altitude"))).cast("float"))
-    looks = asked.select("row", "col", F.col(value).cast("float").alias("z")).join(F.broadcast(offsets)).select(*keys, "row", "col", (F.col("z") + F.col("climb")).cast("float").alias("ray"), (F.col("row") + F.col("drow")).alias("r2"), (F.col("col") + F.col("dcol")).alias("c2"))
+    looks = asked.select("row", "col", F.col(value).cast("float").alias("z")).join(small(offsets)).select(*keys, "row", "col", (F.col("z") + F.col("climb")).cast("float").alias("ray"), (F.col("row") + F.col("drow")).alias("r2"), (F.col("col") + F.col("dcol")).alias("c2"))
     blockers = cells.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col(value).cast("float").alias("top"))
     dark = looks.join(blockers, ["r2", "c2"]).where("top > ray").select(*keys, "row", "col").distinct()
-    every = asked.select("row", "col").join(F.broadcast(suns))
+    every = asked.select("row", "col").join(small(suns))
     return every.join(dark.withColumn("dark", F.lit(True)), [*keys, "row", "col"], "left").select(*keys, "row", "col", ((F.col("altitude") > 0) & F.col("dark").isNull()).alias("lit"))
 
 
@@ -68,7 +69,7 @@ def sky_view(cells: DataFrame, spark: SparkSession, cell_m: float, reach_m: floa
     directions = spark.range(azimuths).select((F.col("id") * (360.0 / azimuths)).alias("azimuth"), F.lit(steps).alias("steps"))
     offsets = ray_offsets(directions)
     z = F.col(value).cast("double")
-    looks = cells.select("row", "col", z.alias("z")).join(F.broadcast(offsets)).select("azimuth", "row", "col", "z", "dist", (F.col("row") + F.col("drow")).alias("r2"), (F.col("col") + F.col("dcol")).alias("c2"))
+    looks = cells.select("row", "col", z.alias("z")).join(small(offsets)).select("azimuth", "row", "col", "z", "dist", (F.col("row") + F.col("drow")).alias("r2"), (F.col("col") + F.col("dcol")).alias("c2"))
     tops = cells.select(F.col("row").alias("r2"), F.col("col").alias("c2"), z.alias("top"))
     steep = looks.join(tops, ["r2", "c2"]).groupBy("row", "col", "azimuth").agg(F.greatest(F.lit(0.0), F.max((F.col("top") - F.col("z")) / (F.col("dist") * cell_m))).alias("t"))
     seen = steep.groupBy("row", "col").agg(F.sum(1 / (1 + F.col("t") * F.col("t"))).alias("s"), F.count("*").alias("k"))
@@ -154,10 +155,14 @@ def connected(cells: DataFrame, corners: bool = False, width: int = 1 << 20) ->
     return ids.join(named, "node", "left").select("row", "col", F.coalesce("component", "node").alias("component"))
 
 
-def numbered(components: DataFrame) -> DataFrame:
-    """Components numbered from 1 in scan order; one row a component is ranked."""
-    order = components.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")))
-    return components.join(order, "component").select("row", "col", "number")
+def numbered(components: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Components numbered from 1 in scan order: counted by lattice row, and ranked within each row."""
+    names = components.select("component").distinct().withColumn("_line", F.floor(F.col("component") / width))
+    lines = names.groupBy("_line").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = names.join(lines.select("_line", before.alias("_before")), "_line")
+    number = (F.col("_before") + F.row_number().over(Window.partitionBy("_line").orderBy("component"))).cast("int")
+    return components.join(order.select("component", number.alias("number")), "component").select("row", "col", "number")
 
 
 def nearest_fill(cells: DataFrame, value: str, radius: int) -> DataFrame:

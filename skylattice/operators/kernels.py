@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 Halo = tuple[int, int, int, int]
 #: Blocks are at least this many times as wide as their halo, and as wide as these bounds allow.
-WIDTHS, LEAST_SIZE, MOST_SIZE = 2, 64, 1024
+WIDTHS, LEAST_SIZE, MOST_SIZE = 2, 64, 512
 
 
 def block_size(halo: Halo) -> int:

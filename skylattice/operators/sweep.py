@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .focal import MAX_STEPS, moving_moments, ray_offsets
+from .small import small
 
 
 def newly_shaded(parts: DataFrame, cells: DataFrame, suns: DataFrame, cell_m: float) -> DataFrame:
@@ -24,7 +25,7 @@ def newly_shaded(parts: DataFrame, cells: DataFrame, suns: DataFrame, cell_m: fl
     steps = F.greatest(F.lit(1), F.least(F.ceil(F.lit(float(high - low)) / F.col("climb_m")) + 1, F.lit(MAX_STEPS))).cast("int")
     offsets = ray_offsets(up.withColumn("steps", steps)).withColumn("climb", (F.col("dist") * F.col("climb_m")).cast("float"))
     near = F.col("top_now") - F.lit(float(low)) > F.col("climb")
-    looks = parts.join(F.broadcast(offsets), near).select("component", *keys, "climb", "top_before", "top_now", (F.col("row") - F.col("drow")).alias("row"), (F.col("col") - F.col("dcol")).alias("col"))
+    looks = parts.join(small(offsets), near).select("component", *keys, "climb", "top_before", "top_now", (F.col("row") - F.col("drow")).alias("row"), (F.col("col") - F.col("dcol")).alias("col"))
     met = looks.join(cells.select("row", "col", F.col("surface").cast("float").alias("z")), ["row", "col"])
     ray = (F.col("z") + F.col("climb")).cast("float")
     shaded = met.groupBy("component", *keys, "row", "col").agg(F.bool_or(F.col("top_now") > ray).alias("now"), F.bool_or(F.col("top_before") > ray).alias("before"))

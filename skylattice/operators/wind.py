@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import circular_distance, percent_change
+from .small import small
 
 
 TREE_M = 2.0
@@ -17,7 +18,7 @@ def nearest_run(hours: DataFrame, runs: DataFrame) -> DataFrame:
     ``runs`` (run, run_direction) is a catalog of directions, a handful of rows.
     """
     names = hours.columns
-    gathered = F.broadcast(runs.agg(F.collect_list(F.struct("run", "run_direction")).alias("_runs")))
+    gathered = F.broadcast(small(runs).agg(F.collect_list(F.struct("run", "run_direction")).alias("_runs")))
     away = F.transform("_runs", lambda r: F.struct(circular_distance(r["run_direction"], F.col("direction")).alias("away"), r["run"].alias("run")))
     return hours.join(gathered).withColumn("_best", F.array_min(away)).select(*names, F.col("_best.run").alias("run"), F.col("_best.away").alias("away"))
 
