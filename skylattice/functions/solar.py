@@ -90,3 +90,9 @@ def frames(df: DataFrame, start: str, end: str, minutes: int = 30) -> DataFrame:
 def canonical_day(month: Column, day: Column) -> Column:
     """A month and day in the winter from 2026 to 2027."""
     return F.make_date(F.when(month == 1, 2027).otherwise(2026), month, day)
+
+
+def local_day(days: DataFrame, lat: float, lon: float, offset_h: float = -5.0) -> DataFrame:
+    """Sun positions at the whole hours of each local ``day`` (a date), while the sun is up: (day, hour, altitude, azimuth)."""
+    hours = days.select("day").withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return with_sun(hours, f"unix_date(day) * 86400.0D + (hour - ({offset_h})) * 3600.0D", lat, lon).where("altitude > 0").select("day", "hour", "altitude", "azimuth")

@@ -190,3 +190,46 @@ def hour_cells(hours: list[DataFrame]) -> DataFrame:
 def first_in(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("place", place).where(F.col("place") <= most)
+
+
+def banded_heat(changes: DataFrame, distance: Column, bands: dict[str, tuple[float, float]], thresholds: tuple[int, ...], cell_ha: float) -> DataFrame:
+    """Per band of distance, [from, to): area that reaches each threshold at any hour, area-hours, and the mean change.  Bands may overlap.
+
+    ``changes`` has row, col, hour, du.
+    """
+    named = F.filter(F.array(*[F.when((distance >= lo) & (distance < hi), F.lit(name)) for name, (lo, hi) in bands.items()]), lambda b: b.isNotNull())
+    cells = changes.withColumn("band", F.explode(named)).groupBy("band", "row", "col").agg(F.sum("du").alias("s"), F.count("du").alias("k"), F.min("du").alias("worst"), *[F.count_if(F.col("du") <= t).alias(f"h{-t}") for t in thresholds])
+    totals = [x for t in thresholds for x in ((F.count_if(F.col("worst") <= t) * cell_ha).alias(f"any_{-t}_ha"), (F.sum(f"h{-t}") * cell_ha).alias(f"hours_{-t}_ha"))]
+    return cells.groupBy("band").agg(F.count("*").alias("cells"), (F.sum("s") / F.sum("k")).alias("mean"), *totals)
+
+
+def in_own_boxes(cells: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
+    """``cells`` (row, col, x, y) with ``in_tiles``: whether some tile's own box (xmin, xmax, ymin, ymax) has the point, edges included.
+
+    Boxes are entered in all squares of ``size`` they touch; a cell meets those of its square by an equi-join.
+    """
+    key = lambda c: F.floor(c / size).cast("long")
+    span = lambda lo, hi: F.explode(F.sequence(key(F.col(lo)), key(F.col(hi))))
+    entered = tiles.select("xmin", "xmax", "ymin", "ymax", span("xmin", "xmax").alias("kx")).select("xmin", "xmax", "ymin", "ymax", "kx", span("ymin", "ymax").alias("ky"))
+    met = cells.select("row", "col", "x", "y", key(F.col("x")).alias("kx"), key(F.col("y")).alias("ky")).join(entered, ["kx", "ky"])
+    hit = met.where(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))).select("row", "col", F.lit(True).alias("in_tiles")).distinct()
+    return cells.join(hit, ["row", "col"], "left").withColumn("in_tiles", F.coalesce("in_tiles", F.lit(False)))
+
+
+def newest_reading(readings: DataFrame, *keys: str) -> DataFrame:
+    """Of each station the latest reading (ts, direction, speed); of equal times the larger speed."""
+    last = F.max_by(F.struct("ts", "direction", "speed"), F.struct("ts", "speed", "direction"))
+    return readings.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.ts", "_r.direction", "_r.speed")
+
+
+def live_wind(ratios: DataFrame, reading: DataFrame, runs: DataFrame, *keys: str) -> DataFrame:
+    """Wind of each cell now: the ``ratios`` (run, row, col, k) of the run whose direction is next to the newest reading's, times its speed."""
+    from .wind import nearest_run
+
+    chosen = nearest_run(newest_reading(reading, *keys), runs)
+    return chosen.join(ratios, "run").select(*keys, "ts", "run", "row", "col", (F.col("k") * F.col("speed")).alias("wind"))
+
+
+def near_days(days: DataFrame, target: Column, reach: int = 12) -> DataFrame:
+    """Candidates for a chosen day: those at most ``reach`` days from the target."""
+    return days.where(F.abs(F.datediff("day", target)) <= reach)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_change
+from ..functions.solar import local_day
 from ..operators import compare, reports, scenario, sweep, zonal
-from .stand_ins import BUILDINGS, CELL_M, CELLS, CHANGES, GRID, HALVES, LABELS, PTS, WEATHER, buildings, cells, changes, halves, points, read, sql
+from .stand_ins import BUILDINGS, CELL_M, CELLS, CHANGES, GRID, HALVES, LABELS, LAT, LON, PTS, WEATHER, buildings, cells, changes, halves, points, read, sql, sun_table
 from .stand_ins import weather as weather_rows
 from .surface import SUNS
 
@@ -226,3 +227,41 @@ def walls_of_grown_labels(spark, sf):
 
     c, grown = _grown(spark, sf)
     return reports.kept_walls(facade.wall_cells(c.withColumn("built", F.col("label") > 0)), grown).select("row", "col")
+
+
+_BANDS = {"south300": (0.0, 300.0), "south800": (0.0, 800.0), "rest": (800.0, 1e9)}
+
+
+@query(sql(f"""SELECT band, count(*) AS cells, round(sum(s) / sum(k), 6) AS mean, round(count(*) FILTER (worst <= -2) * {HA}::DOUBLE, 6) AS any_2_ha, round(sum(h2) * {HA}::DOUBLE, 6) AS hours_2_ha, round(count(*) FILTER (worst <= -5) * {HA}::DOUBLE, 6) AS any_5_ha, round(sum(h5) * {HA}::DOUBLE, 6) AS hours_5_ha FROM (
+  SELECT band, "row", col, sum(du) AS s, count(*) AS k, min(du) AS worst, count(*) FILTER (du <= -2) AS h2, count(*) FILTER (du <= -5) AS h5 FROM changes, (VALUES ('south300', 0, 300), ('south800', 0, 800), ('rest', 800, 1000000000)) b(band, lo, hi) WHERE col * 20 >= lo AND col * 20 < hi GROUP BY ALL) GROUP BY band""", PTS, CHANGES))
+def banded_heat(spark, sf):
+    out = reports.banded_heat(changes(spark, sf), F.col("col") * CELL_M, _BANDS, (-2, -5), HA)
+    return rounded(out, 6, "mean", "any_2_ha", "hours_2_ha", "any_5_ha", "hours_5_ha")
+
+
+@query(sql('SELECT c."row", c.col, EXISTS (SELECT 1 FROM supplier WHERE c.col * 20 BETWEEN s_suppkey % 41 * 50 AND s_suppkey % 41 * 50 + 90 + s_suppkey % 3 * 40 AND c."row" * 20 BETWEEN s_suppkey % 23 * 80 AND s_suppkey % 23 * 80 + 110) AS in_tiles FROM cells c', PTS, GRID, CELLS))
+def own_box_mask(spark, sf):
+    s = F.col("s_suppkey")
+    x, y = s % 41 * F.lit(50.0), s % 23 * F.lit(80.0)
+    t = read(spark, sf, "supplier").select(x.alias("xmin"), (x + 90 + s % 3 * 40).alias("xmax"), y.alias("ymin"), (y + 110).alias("ymax"))
+    c = cells(spark, sf).select("row", "col", (F.col("col") * CELL_M).alias("x"), (F.col("row") * CELL_M).alias("y"))
+    return reports.in_own_boxes(c, t, 100.0).select("row", "col", "in_tiles")
+
+
+@query(sql("""SELECT station, r.ts, run, p."row", p.col, round(p.before * speed, 6) AS wind FROM (SELECT * FROM (SELECT station, ts, speed, n_nationkey AS run, row_number() OVER (PARTITION BY station ORDER BY d.away, n_nationkey) AS k FROM (
+   SELECT event_type AS station, arg_max(ts, (ts, value / 100, user_id * 7 % 360)) AS ts, arg_max(value / 100, (ts, value / 100, user_id * 7 % 360)) AS speed, arg_max(user_id * 7 % 360, (ts, value / 100, user_id * 7 % 360))::DOUBLE AS dir FROM events GROUP BY event_type) r, nation,
+   LATERAL (SELECT abs((r.dir - n_nationkey * 14.4::DOUBLE + 180) - 360 * floor((r.dir - n_nationkey * 14.4::DOUBLE + 180) / 360) - 180) AS away) d) WHERE k = 1) r JOIN pairs p ON p."row" % 25 = r.run""", PTS, HALVES))
+def live_wind(spark, sf):
+    """Newest reading of each station, the run next to it, and that run's cells scaled."""
+    n = F.col("n_nationkey")
+    runs = read(spark, sf, "nation").select(n.alias("run"), (n * F.lit(14.4)).alias("run_direction"))
+    readings = read(spark, sf, "events").select(F.col("event_type").alias("station"), "ts", (F.col("user_id") * 7 % 360).cast("double").alias("direction"), (F.col("value") / 100).alias("speed"))
+    ratios = _pairs(spark, sf).select((F.col("row") % 25).cast(dict(read(spark, sf, "nation").dtypes)["n_nationkey"]).alias("run"), "row", "col", F.col("before").alias("k"))
+    return rounded(reports.live_wind(ratios, readings, runs, "station"), 6, "wind").select("station", "ts", "run", "row", "col", "wind")
+
+
+@query(f"""SELECT day::VARCHAR AS day, hour, round(altitude, 6) AS altitude, round(azimuth, 6) AS azimuth FROM {sun_table("(SELECT day, h::INT AS hour, epoch(day::TIMESTAMP) AS unix_s FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), generate_series(0, 23) g(h))", "unix_s + (hour + 5) * 3600.0")} WHERE altitude > 0""")
+def hourly_local_day(spark, sf):
+    days = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    out = local_day(days, LAT, LON)
+    return rounded(out.withColumn("day", F.col("day").cast("string")), 6, "altitude", "azimuth")
