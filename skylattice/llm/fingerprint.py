@@ -37,6 +37,7 @@ SAMPLES = 32
 SPACE = r"[\x20\x09-\x0D]+"
 LAST = -(2**63)  # stands for a null doc_id
 SLICE = (1 << 21) - 1
+SALTS = 64  # parts that rows without an id are dealt to
 
 
 def samples(term: Column, log_weight: Column, n: int = SAMPLES) -> list[Column]:
@@ -93,48 +94,44 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return ranged.withColumn("next_key", F.lag("key").over(by_range)).join(F.broadcast(ends), "range").select("key", F.coalesce("next_key", "below").alias("next_key"), "n")
 
 
-def _with_one(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """Join by key with ``one``, which has a key once.  Rows without an id, which may be very many, meet theirs by broadcast of that one row."""
-    nameless = F.col("key") == LAST
-    return rows.where(~nameless).join(one.where(~nameless), "key").unionByName(rows.where(nameless).join(F.broadcast(one.where(nameless)), "key"))
+def _salted(one: DataFrame) -> DataFrame:
+    """``one`` row a key, with the salts its key's rows may have: rows without an id, which may be very many, have ``SALTS``."""
+    return one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("key") == LAST, SALTS - 1).otherwise(0))))
 
 
-def edited_pairs(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(key, row, text, edited) of ``docs`` (doc_id, text), those with and those without an id, and the links (key, next_key, n)."""
+def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, salt, row, text, edited) of ``docs`` (doc_id, text), and the links (key, next_key, n)."""
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("salt", F.when(F.col("key") == LAST, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(0))
     sizes = stored(rows.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "fingerprint-ids")
     links = stored(next_ids(sizes.select("key", "n")), "fingerprint-links")
     wanted = links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     # The row number is asked for, too, so that this side's shuffle is the one of ``rows`` below.
     need = F.when(F.col("row") >= 0, F.col("need"))
-    heads = _with_one(rows, wanted).select(F.col("for_key").alias("key"), F.left("text", need).alias("head"), F.xxhash64("text").alias("mark"))
     if sizes.where("rows > 1").limit(1).count():
+        heads = rows.join(_salted(wanted), ["key", "salt"]).select(F.col("for_key").alias("key"), F.left("text", need).alias("head"), F.xxhash64("text").alias("mark"))
         heads = heads.groupBy("key").agg(F.min_by("head", "mark").alias("head"))
-    heads = heads.select("key", "head")
+    else:
+        heads = rows.join(_salted(wanted), ["key", "salt"]).select(F.col("for_key").alias("key"), F.left("text", need).alias("head"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("head", half))
-    nameless = F.col("key") == LAST
-    named = rows.where(~nameless).join(heads.where(~nameless), "key")
-    others = rows.where(nameless).join(F.broadcast(heads.where(nameless)), "key")  # one head
-    return [x.select("key", "row", "text", edited.alias("edited")) for x in (named, others)], links
+    return rows.join(_salted(heads), ["key", "salt"]).select("key", "salt", "row", "text", edited.alias("edited")), links
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    parts, links = edited_pairs(docs)
-    rows = None
-    for pairs in parts:
-        sides = pairs.select("key", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
-        prints = fingerprints(sides.select("key", "row", "x.side", "x.body"), ["key", "row", "side"], "body")
-        # Facts of the texts go with the fingerprints, so that the texts are shuffled for one job only.
-        facts = pairs.select("key", "row", F.lit(2).alias("side"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("value"), F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("mark"))
-        none = F.lit(None).cast("long")
-        both = prints.select("key", "row", "side", F.col("fingerprint").alias("value"), none.alias("n_chars"), none.alias("mark")).union(facts)
-        rows = both if rows is None else rows.union(both)
+    pairs, links = edited_pairs(docs)
+    name = ["key", "salt", "row"]
+    sides = pairs.select(*name, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
+    prints = fingerprints(sides.select(*name, "x.side", "x.body"), [*name, "side"], "body")
+    # Facts of the texts go with the fingerprints, so that the texts are shuffled for one job only.
+    facts = pairs.select(*name, F.lit(2).alias("side"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("value"), F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("mark"))
+    none = F.lit(None).cast("long")
+    rows = prints.select(*name, "side", F.col("fingerprint").alias("value"), none.alias("n_chars"), none.alias("mark")).union(facts)
     value = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
-    both = stored(rows.groupBy("key", "row").agg(value(0).alias("fingerprint"), value(1).alias("edited_fingerprint"), value(2).alias("edited_sha256"), F.max("n_chars").alias("n_chars"), F.max("mark").alias("mark")), "fingerprints")
+    both = stored(rows.groupBy(*name).agg(value(0).alias("fingerprint"), value(1).alias("edited_fingerprint"), value(2).alias("edited_sha256"), F.max("n_chars").alias("n_chars"), F.max("mark").alias("mark")), "fingerprints")
     of_next = both.groupBy("key").agg(F.min_by("fingerprint", "mark").alias("next_print")).join(links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key")), "key").select(F.col("for_key").alias("key"), "next_print")
-    return _with_one(both, of_next).select(
+    return both.join(_salted(of_next), ["key", "salt"]).select(
         F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
