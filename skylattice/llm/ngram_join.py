@@ -50,7 +50,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, if_small, join_skewed, stored, table
+from .common import discard, fresh, if_small, join_skewed, small_batches, stored, table
 from .components import components
 from .shingles import shingle_sets
 
@@ -499,14 +499,17 @@ def _linked(classes: DataFrame, texts: Texts, threshold: int) -> DataFrame:
     may = stored(region.join(classes.select("rid", "need", "row_key"), "rid").where("shared >= need").select("rid", "row_key"), "may-link")
     n_may = may.count()
     hot = max(LEAST_HOT, n_may // HOT_PARTS)
-    whole = stored(_sharing(_dealt(texts.of(may, n_may), buckets, threshold, make, whole=True), buckets, slices, hot), "sharing")
-    live = stored(whole.join(classes.select("rid", "n", "weight", "row_key"), "rid").where(F.col("shared") >= least).select("rid", "n", "weight", "row_key"), "live")
+    # The texts of the sets that are left are kept, so that all later steps read (and shuffle) no others.
+    some = stored(texts.of(may, n_may), "texts-left")
+    whole = stored(_sharing(_dealt(some, buckets, threshold, make, whole=True), buckets, slices, hot), "sharing")
+    live = stored(whole.join(classes.select("rid", "n", "weight"), "rid").where(F.col("shared") >= least).select("rid", "n", "weight"), "live")
     n_live = live.count()
     # Each is in more than one in HOT_PARTS of the sets, so there are at most HOT_PARTS times the tokens of a mean set.
     tokens = np.sort(whole.where("rid = -1").select("shared").toArrow().column("shared").to_numpy().view(np.uint64))
     discard(may, whole)
 
-    shared = _shared_tokens(_dealt(texts.of(live, n_live), buckets, threshold, by_token(buckets, slices, spark.sparkContext.broadcast(tokens)), whole=True), buckets)
+    texts_of_live = some.join(if_small(live.select("rid"), 16 * n_live), "rid", "left_semi")
+    shared = _shared_tokens(_dealt(texts_of_live, buckets, threshold, by_token(buckets, slices, spark.sparkContext.broadcast(tokens)), whole=True), buckets)
     of_set = Window.partitionBy("rid")
     placed = shared.select("token", "rid", F.row_number().over(of_set.orderBy("sets", "token")).alias("place"), F.count("*").over(of_set).alias("s"), F.min("token").over(of_set).alias("lead"))
     keys = stored(placed.join(if_small(live.select("rid", "n"), 24 * n_live), "rid").where((F.col("s") >= least) & (F.col("place") <= F.col("s") - least + 1)).select("token", "rid", "lead"), "keys")
@@ -519,12 +522,12 @@ def _linked(classes: DataFrame, texts: Texts, threshold: int) -> DataFrame:
     matrix = keys.select("token", "rid").join(if_small(members.select("rid", "gid"), 24 * n_live), "rid").groupBy("token").agg(F.sort_array(F.collect_set("gid")).alias("gids")).where("size(gids) > 1")
     lists = matrix.select("gids").distinct().select("gids", F.posexplode("gids").alias("at", "gida"))
     pairs = stored(lists.select("gida", F.explode(F.expr("slice(gids, at + 2, size(gids))")).alias("gidb")).distinct(), "group-pairs")
-    groups = stored(_packed(members, texts.of(live, n_live), 24 * n_live), "groups")
+    groups = stored(_packed(members, some, 24 * n_live), "groups")
     unions = stored(_unions(groups), "unions")
     union_bytes = unions.agg(F.coalesce(F.sum(F.octet_length("tokens") + 32), F.lit(0))).first()[0]
     opened = stored(_qualifying(pairs, unions, union_bytes, threshold), "opened-pairs")
     found = stored(_within(groups, threshold).union(_between(opened, groups, threshold)), "found")
-    discard(live, keys, leads, members, pairs, groups, unions, opened)
+    discard(some, live, keys, leads, members, pairs, groups, unions, opened)
     return found
 
 
@@ -533,6 +536,11 @@ def _judged(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Text
 
     component is the smallest doc_id of all rows that hang together, and keeper the key of its first row.
     """
+    with small_batches(docs.sparkSession):
+        return _described_and_known(docs, threshold)
+
+
+def _described_and_known(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Texts]:
     described = stored(_described(docs, threshold), "shingles")
     classes = _classes(described)
     texts = Texts(docs, described)
