@@ -9,7 +9,8 @@ landmark is linear in the features, landmarks and coefficients are multiplied
 once, and a batch of texts is scored by one product of matrices.
 
 The classifier is fitted on a bounded sample: of each label about
-``PER_LANGUAGE`` documents, chosen by a hash of the id, with whole texts.  With
+``PER_LANGUAGE`` documents, chosen by a hash of the id, with whole texts; landmarks
+are drawn from each label in proportion, ``FOR_EACH`` at least.  With
 many labels each has an equal part of ``SAMPLE`` documents, ``LEAST`` at least.
 Labels, sources and ids are no features.
 
@@ -85,12 +86,23 @@ def unpacked(bits: list[bytes]) -> np.ndarray:
     return x
 
 
+def chosen_landmarks(labels: list[str], most: int) -> list[int]:
+    """Places of the landmarks: of each label its share of ``most``, ``FOR_EACH`` at least, spread over its texts."""
+    places: dict[str, list[int]] = {}
+    for i, label in enumerate(labels):
+        places.setdefault(label, []).append(i)
+    out: list[int] = []
+    for mine in places.values():
+        n = min(len(mine), max(FOR_EACH, round(most * len(mine) / len(labels))))
+        out += [mine[i] for i in np.unique(np.linspace(0, len(mine) - 1, n).astype(int))]
+    return sorted(out)
+
+
 def fit(bits: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Kernel ridge regression over a Nystroem map; ``bits`` has the packed features of each text."""
     names = sorted(set(labels))
     landmarks = max(landmarks, FOR_EACH * len(names))
-    chosen = np.unique(np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int))
-    marks = unpacked([bits[i] for i in chosen])
+    marks = unpacked([bits[i] for i in chosen_landmarks(labels, landmarks)])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = values > 1e-6 * values.max()
     whiten = vectors[:, ok] / np.sqrt(values[ok])

@@ -536,6 +536,32 @@ def test_language(spark, docs, none, sf):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_scores_are_those_of_kernel_ridge_regression():
+    """With every text a landmark: kernel by sets of hashed n-grams, and (K + n ridge I)^-1 y in full."""
+    rnd = random.Random(17)
+    words = {"a": ["lorem", "ipsum", "dolor", "sit"], "b": ["pater", "noster", "qui", "es"], "c": ["unter", "den", "linden", "baum"]}
+    texts = [(" ".join(rnd.choices(words[k], k=9)) + f" {rnd.choice('xyz')}", k) for k in "abcab" * 4]
+    found = [language.features(t) for t, _ in texts]
+    sets = [set(np.flatnonzero(f).tolist()) for f in found]
+    k = np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    y = np.array([[float(label == name) for name in "abc"] for _, label in texts])
+    alpha = np.linalg.solve(k + language.RIDGE * len(texts) * np.eye(len(texts)), y)
+    model = language.fit([np.packbits(f).tobytes() for f in found], [label for _, label in texts], landmarks=1000)
+    new = "lorem noster sit es unter"
+    mine = language.features(new)
+    x = set(np.flatnonzero(mine).tolist())
+    want = np.array([len(x & z) / math.sqrt(len(x) * len(z)) for z in sets]) @ alpha
+    got = mine.astype(np.float32) @ model.weights / math.sqrt(mine.sum())
+    assert np.abs(got - want).max() < 2e-3
+    assert language.predict(model, [new])[0] == [model.labels[int(want.argmax())]]
+
+
+def test_landmarks_of_every_label():
+    labels = ["a"] * 1000 + ["b"] * 3 + ["c"]
+    chosen = [labels[i] for i in language.chosen_landmarks(labels, 100)]
+    assert 90 <= chosen.count("a") <= 101 and chosen.count("b") == 2 and chosen.count("c") == 1
+
+
 def test_every_label_is_learnt(spark):
     rnd = random.Random(21)
     words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(60)}
@@ -562,22 +588,61 @@ def test_documents_stay_where_nothing_is_labelled(docs):
 
 
 def test_pipeline(spark, tmp_path, docs):
+    """Every stage against brute force, on rows with null and repeated ids, repeats and columns that clash with the stages' own."""
     import corpus_pipeline
 
-    given = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"])
+    extra = {"rid": 1, "gid": 2, "row_key": 3, "mix_times": 4, "mix_copy": 5, "component_id": 6, "_row_key": 7, "_rank": 8}
+    given = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(v).alias(k) for k, v in extra.items()])
+    again = given.where("doc_id in (3, 10)").withColumn("doc_id", F.lit(3).cast("long"))
+    given = given.unionByName(again).unionByName(given.where("doc_id is null")).unionByName(given.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
     given.write.parquet(str(tmp_path / "documents.parquet"))
+    given = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "mixing", "sentence_pieces"]
     stage = dict(corpus_pipeline.STAGES)
-    one = stage["language"](spark, given, str(tmp_path))
-    assert one.columns == given.columns and {r["doc_id"] for r in one.collect()} == {3, 4, 5, 6, 7, 8, 9, 11}
+    pairs = lambda df: [(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()]
+
+    one = common.stored(stage["language"](spark, given, str(tmp_path)), "t")
+    assert one.columns == given.columns
+    assert Counter(pairs(one)) == Counter(x for x in pairs(given) if x[1] and any(c.isalpha() for c in x[1]))
+
     two = common.stored(stage["near_copies"](spark, one, str(tmp_path)), "t")
-    rows = [(r["doc_id"], r["text"]) for r in one.collect()]
-    assert two.columns == given.columns and {r["doc_id"] for r in two.collect()} == {i for i, (_, low, _) in brute_join(rows).items() if low == i}
+    assert two.columns == given.columns
+    rows = pairs(one)
+    sets = [sets_of(t) for _, t, _ in rows]
+    left, classes = set(range(len(rows))), []
+    while left:
+        reach, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            reach.add(i)
+            near = {k for k in left if 100 * len(sets[i] & sets[k]) >= 75 * len(sets[i] | sets[k])}
+            left -= near
+            todo += near
+        classes.append(reach)
+    kept = pairs(two)
+    assert len(kept) == len(classes)
+    first = lambda ids: min((i for i in ids if i is not None), default=None)
+    assert Counter(i for i, _, _ in kept) == Counter(first([rows[k][0] for k in c]) for c in classes)
+
     three = common.stored(stage["mixing"](spark, two, str(tmp_path)), "t")
-    assert three.columns == given.columns
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in three.collect())
-    assert got.where("not restored").count() == 0
+    assert three.columns == given.columns and three.select(*extra).distinct().collect() == [tuple(extra.values())]
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes, taken, most = Counter(), Counter(), Counter()
+    for _, t, s in kept:
+        sizes[s] += size(t)
+        most[s] = max(most[s], size(t))
+    for _, t, s in pairs(three):
+        taken[s] += size(t)
+    targets = brute_targets(dict(sizes), 1.5, 2.0, (5, 2, 1))
+    assert all(abs(taken[s] - targets[s]) <= most[s] / 2 + 1 for s in sizes)
+    times = Counter(pairs(three))
+    assert all(n <= 2 * Counter(kept)[x] for x, n in times.items())
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path(sentence_pieces.MODEL))
+    got = Counter((r["doc_id"], tuple(r["token_ids"]), r["restored"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == Counter((i, tuple(library.encode(t or "")), True) for i, t, _ in pairs(three))
 
 
 def test_sql_of_the_registered_queries(spark, sf):
