@@ -74,11 +74,17 @@ def discard(*tables: DataFrame) -> None:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """Send fewer rows at a time to Python while the body's jobs run: whole texts are long rows."""
+def lean(spark: SparkSession, rows: int = 512) -> str:
+    """Send fewer rows at a time to Python from here on: whole texts are long rows.  Gives the setting there was."""
     before = spark.conf.get(BATCH_ROWS)
     spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """As ``lean``, while the body's jobs run."""
+    before = lean(spark)
     try:
         yield
     finally:

@@ -146,7 +146,7 @@ def train(docs: DataFrame) -> Model | None:
     chosen = labelled.where(chance < F.element_at(share, F.col("lang")))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part.slice(low, BATCH) for part in batches for low in range(0, part.num_rows, BATCH)):
             found = [features(t) for t in batch.column("text").to_pylist()]
             keep = [i for i, f in enumerate(found) if f is not None]
             yield pa.RecordBatch.from_arrays([batch.column("rank").take(pa.array(keep, pa.int64())), batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([np.packbits(found[i]).tobytes() for i in keep], pa.binary())], ["rank", "lang", "bits"])
@@ -165,9 +165,13 @@ def with_language(docs: DataFrame, model: Model | None, lang: str = "lang_pred",
     text = docs.columns.index("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores = predict(shared.value, batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang, score])
+        for part in batches:
+            for batch in (part.slice(low, BATCH) for low in range(0, part.num_rows, BATCH)):
+                yield judged(batch)
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = predict(shared.value, batch.column(text).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(kernel, schema)
