@@ -8,7 +8,8 @@
 All but the last return the columns of their input, whatever other columns it has.  Rows
 without an id are rows like others; an empty table gives an empty result; what each
 stage does with nulls, empty and long texts, ties and repeats stands in its operator's
-module.  A stage's table goes once the next one is written.  A trained classifier, a
+module.  A stage's table goes once the next one is written.  Stages that send texts to Python
+set fewer rows at a time for the session (``lean``).  A trained classifier, a
 transitive closure and seeded sampling are beyond SQL: ``ORACLE_SQL`` is None.
 """
 
@@ -17,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import language, mixing, ngram_join, sentence_pieces
-from skylattice.llm.common import discard, stored
+from skylattice.llm.common import discard, lean, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return language.identified(docs)
 
 
@@ -33,6 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentence_pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return sentence_pieces.encode_documents(docs)
 
 
