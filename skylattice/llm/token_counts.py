@@ -49,7 +49,7 @@ CHUNK = re.compile("[^\\t-\\r \x85\xa0  -     　]+")
 #: Letters after a word's end within which another continuation could still change it.
 AHEAD = 3
 #: Bounds of what a worker remembers: chunks, and their length.
-MEMO, LONG = 1_000_000, 40
+MEMO, LONG = 500_000, 40
 #: Translations that add a number to each byte, up to the counts of ``LONG`` letters.
 SHIFTED = [bytes(min(255, x + n) for x in range(256)) for n in range(256)]
 
