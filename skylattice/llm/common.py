@@ -82,9 +82,9 @@ def lean(spark: SparkSession, rows: int = 512) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """As ``lean``, while the body's jobs run."""
-    before = lean(spark)
+    before = lean(spark, rows)
     try:
         yield
     finally:
