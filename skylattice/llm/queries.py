@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_text, language, mixing, ngram_join, ranked_search, sentence_pieces, token_counts, topk, url_filter, vector_codes, warc
+from . import fingerprint, html_text, language, mixing, ngram_join, personal_data, ranked_search, sentence_pieces, token_counts, topk, url_filter, vector_codes, warc
 
-_MODULES = (html_text, sentence_pieces, token_counts, ngram_join, language, url_filter, warc, mixing, fingerprint, topk, ranked_search, vector_codes)
+_MODULES = (html_text, sentence_pieces, token_counts, ngram_join, language, url_filter, warc, mixing, fingerprint, topk, ranked_search, personal_data, vector_codes)
 
 
 def queries() -> dict:

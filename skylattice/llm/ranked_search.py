@@ -41,8 +41,9 @@ K = 20
 SHARD_POSTINGS = 1_000_000
 #: Bytes of the texts of a block of items: what is sent to the driver and broadcast at once.
 BLOCK_BYTES = 4_000_000
-#: Nodes times terms opened at once.
+#: Nodes times terms opened at once, and nodes.
 OPENED = 4096
+NODES = 128
 NO_ID = 2**63 - 1  # stands for a null doc_id
 #: Bytes of a term stay, A-Z become small; all others part terms.
 _PARTS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -136,7 +137,7 @@ class Shard:
         low, high = self.starts[at][None, :], self.starts[at + 1][None, :]
         level, place = np.zeros(1, np.int64), np.zeros(1, np.int64)
         bound = self._bounds(level, low, high, weight)
-        wide = max(8, OPENED // len(at))
+        wide = max(8, min(NODES, OPENED // len(at)))
         scores, ids = held
         self.opened = 0
         while len(bound):
