@@ -40,19 +40,23 @@ SLICE = (1 << 21) - 1
 SALTS = 64  # parts that rows without an id are dealt to
 
 
-def samples(term: Column, log_weight: Column, n: int = SAMPLES) -> list[Column]:
-    """The packed (ln a, term, t) of each hash function; null where ``term`` is null."""
-    out = []
+def samples(term: Column, log_weights: list[Column], n: int = SAMPLES) -> list[list[Column]]:
+    """For each of ``log_weights`` the packed (ln a, term, t) of each hash function; null where the weight is null.
+
+    The draws depend on the term alone: all weights share them.
+    """
+    out: list[list[Column]] = [[] for _ in log_weights]
     for k in range(n):
         one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
         u = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND(SLICE) + 0.5) / float(SLICE + 1)
         r = -F.ln(u(one, 0) * u(one, 21))
         ln_c = F.ln(-F.ln(u(two, 0) * u(two, 21)))
         b = u(one, 42)
-        t = F.floor(log_weight / r + b)
-        ln_a = ln_c - r * (t - b + 1.0)
-        rank = F.greatest(F.lit(0).cast("long"), ((ln_a + 200.0) * float(1 << 31)).cast("long"))
-        out.append(F.when(term.isNotNull(), F.shiftleft(rank, 23).bitwiseOR(F.xxhash64(term, t).bitwiseAND((1 << 23) - 1))))
+        for mine, log_weight in zip(out, log_weights, strict=True):
+            t = F.floor(log_weight / r + b)
+            ln_a = ln_c - r * (t - b + 1.0)  # from -100 to 5
+            rank = ((ln_a + 200.0) * float(1 << 31)).cast("long")
+            mine.append(F.shiftleft(rank, 23).bitwiseOR(F.xxhash64(term, t).bitwiseAND((1 << 23) - 1)))
     return out
 
 
@@ -67,19 +71,49 @@ def likeness(a: Column, b: Column, n: int = SAMPLES) -> Column:
     return reduce(lambda x, y: x + y, same) / float(n)
 
 
+def _terms(texts: DataFrame, keys: list[str], text: str, *more: str) -> DataFrame:
+    """(``keys``, ``more``, term) of each word of ``text``; a text without words has one term, null."""
+    words = texts.select(*keys, *more, F.explode(F.split(text, SPACE)).alias("word"))
+    return words.select(*keys, *more, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
+
+
+def _log(count: Column) -> Column:
+    """The logarithm of a count; null where there is none."""
+    return F.ln(F.when((count > 0) & F.col("term").isNotNull(), count))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text: str, n: int = SAMPLES) -> DataFrame:
     """(``keys``, fingerprint) of each row of ``texts``; ``keys`` name a row.
 
     Where ``texts`` is already dealt out by some of ``keys``, nothing is shuffled.
     """
-    words = texts.select(*keys, F.explode(F.split(text, SPACE)).alias("word"))
-    terms = words.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("count"))
-    weighted = counts.select(*keys, "term", F.ln(F.col("count")).alias("weight"))
-    mins = [F.min(s).alias(f"s{k}") for k, s in enumerate(samples(F.col("term"), F.col("weight"), n))]
+    counts = _terms(texts, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("count"))
+    weighted = counts.select(*keys, "term", _log(F.col("count")).alias("weight"))
+    mins = [F.min(s).alias(f"s{k}") for k, s in enumerate(samples(F.col("term"), [F.col("weight")], n)[0])]
     return weighted.groupBy(*keys).agg(*mins).select(*keys, as_text([F.col(f"s{k}") for k in range(n)]).alias("fingerprint"))
 
 
+def edited_fingerprints(pairs: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
+    """(``keys``, fingerprint, edited_fingerprint) of each row of ``pairs`` (``keys``, text, edited, same).
+
+    The first ``same`` characters of both texts are alike, and a word ends with them: their
+    words are split and counted once, and a term of both texts is drawn for once.
+    """
+    after = lambda c: F.substring(c, F.col("same") + 1, F.length(c))
+    pieces = F.array(
+        F.struct(F.left("text", F.col("same")).alias("body"), F.lit(1).alias("old"), F.lit(1).alias("new")),
+        F.struct(after(F.col("text")).alias("body"), F.lit(1).alias("old"), F.lit(0).alias("new")),
+        F.struct(after(F.col("edited")).alias("body"), F.lit(0).alias("old"), F.lit(1).alias("new")),
+    )
+    sides = pairs.select(*keys, F.explode(pieces).alias("x")).select(*keys, "x.body", "x.old", "x.new")
+    counts = _terms(sides, keys, "body", "old", "new").groupBy(*keys, "term").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    weighted = counts.select(*keys, "term", _log(F.col("old")).alias("old"), _log(F.col("new")).alias("new"))
+    both = samples(F.col("term"), [F.col("old"), F.col("new")], n)
+    mins = [F.min(s).alias(f"{side}{k}") for side, found in zip("sz", both, strict=True) for k, s in enumerate(found)]
+    text = lambda side: as_text([F.col(f"{side}{k}") for k in range(n)])
+    return weighted.groupBy(*keys).agg(*mins).select(*keys, text("s").alias("fingerprint"), text("z").alias("edited_fingerprint"))
+
+
 def next_ids(ids: DataFrame) -> DataFrame:
     """(key, next_key, n) of distinct ``ids`` (key, n): the next smaller key; for the smallest the largest.
 
@@ -100,7 +134,7 @@ def _salted(one: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, salt, row, text, edited) of ``docs`` (doc_id, text), and the links (key, next_key, n)."""
+    """(key, salt, row, text, edited, same) of ``docs`` (doc_id, text), and the links (key, next_key, n)."""
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("salt", F.when(F.col("key") == LAST, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(0))
     sizes = stored(rows.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")), "fingerprint-ids")
@@ -116,20 +150,20 @@ def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("head", half))
-    return rows.join(_salted(heads), ["key", "salt"]).select("key", "salt", "row", "text", edited.alias("edited")), links
+    # What both have, up to its last space.
+    left = F.left("text", n - half)
+    same = F.length(left) - F.length(F.substring_index(left, " ", -1))
+    return rows.join(_salted(heads), ["key", "salt"]).select("key", "salt", "row", "text", edited.alias("edited"), same.alias("same")), links
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     pairs, links = edited_pairs(docs)
     name = ["key", "salt", "row"]
-    sides = pairs.select(*name, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x"))
-    prints = fingerprints(sides.select(*name, "x.side", "x.body"), [*name, "side"], "body")
+    prints = edited_fingerprints(pairs, name)
     # Facts of the texts go with the fingerprints, so that the texts are shuffled for one job only.
-    facts = pairs.select(*name, F.lit(2).alias("side"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("value"), F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("mark"))
-    none = F.lit(None).cast("long")
-    rows = prints.select(*name, "side", F.col("fingerprint").alias("value"), none.alias("n_chars"), none.alias("mark")).union(facts)
-    value = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
-    both = stored(rows.groupBy(*name).agg(value(0).alias("fingerprint"), value(1).alias("edited_fingerprint"), value(2).alias("edited_sha256"), F.max("n_chars").alias("n_chars"), F.max("mark").alias("mark")), "fingerprints")
+    facts = pairs.select(*name, F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("mark"))
+    values = ["fingerprint", "edited_fingerprint", "edited_sha256", "n_chars", "mark"]
+    both = stored(prints.unionByName(facts, allowMissingColumns=True).groupBy(*name).agg(*[F.max(v).alias(v) for v in values]), "fingerprints")
     of_next = both.groupBy("key").agg(F.min_by("fingerprint", "mark").alias("next_print")).join(links.select(F.col("next_key").alias("key"), F.col("key").alias("for_key")), "key").select(F.col("for_key").alias("key"), "next_print")
     return both.join(_salted(of_next), ["key", "salt"]).select(
         F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
