@@ -37,6 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .bpe import Program
 from .common import table
@@ -88,6 +89,25 @@ def starts_afresh(letter: str) -> bool:
     return not unicodedata.combining(first) and first not in seconds()
 
 
+@lru_cache(maxsize=2)
+def newer_letters(path: str, pattern: str) -> tuple[regex.Pattern, dict[str, str], regex.Pattern]:
+    """Letters and digits newer than Python's tables: what finds them, their small letters, and ``pattern`` with them.
+
+    Whether such a one is a letter, a digit or neither is for the library to say, whose tables are its own.
+    """
+    library = Tokenizer.from_file(path)
+    found = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"))
+    pieces = lambda text: len(library.pre_tokenizer.pre_tokenize_str(text))
+    no_letters = "".join(c for c in found if pieces(f"a{c}") > 1)
+    no_digits = "".join(c for c in found if pieces(f"!{c}") == 1)
+    exact = pattern
+    for name, but in (("L", no_letters), ("N", no_digits)):
+        if but:
+            exact = exact.replace(f"\\p{{{name}}}", rf"[\p{{{name}}}--[{but}]]")
+    small = {c: library.normalizer.normalize_str(c) for c in found}
+    return regex.compile(f"[{''.join(found)}]" if found else r"(?!)"), small, regex.compile(exact, regex.V1)
+
+
 class WordCounter:
     """Counts tokens of chunks (texts without white space), and of their prefixes."""
 
@@ -100,7 +120,9 @@ class WordCounter:
             raise ValueError(f"{path} has special strings with white space")
         self.program = Program([t for t in model["model"]["vocab"] if t not in specials], lambda a, b: ranks.get((a, b)), END)
         self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.pattern = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        self.newer, self.small, self.exact = newer_letters(path, pattern)
         self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.of_words: dict[str, int] = {}
@@ -109,10 +131,17 @@ class WordCounter:
     def normal(self, part: str) -> str:
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            if self.newer.search(part):
+                return "".join([self.small[c] if c in self.small else c.lower() for c in part])
         return part.lower()
 
+    def splitter(self, text: str) -> regex.Pattern:
+        """The pattern that cuts ``text``, which is normal, into words."""
+        return self.exact if not text.isascii() and self.newer.search(text) else self.pattern
+
     def words(self, part: str) -> list[str]:
-        return self.pattern.findall(self.normal(part))
+        text = self.normal(part)
+        return self.splitter(text).findall(text)
 
     def spelled(self, word: str) -> str:
         return "".join([self.letters[b] for b in word.encode("utf-8", "surrogatepass")])
@@ -147,9 +176,9 @@ class WordCounter:
         found = self.of_prefixes.get(word)
         if found is None:
             if len(word) <= AHEAD:  # a cut contraction is other words
-                found = [sum(map(self.of_word, self.pattern.findall(word[:k]))) for k in range(1, len(word) + 1)]
+                found = [sum(map(self.of_word, self.splitter(word).findall(word[:k]))) for k in range(1, len(word) + 1)]
             elif word.isascii():
-                found = self.program.counts(word)
+                found = self.program.counts(self.spelled(word))  # a letter for each, control characters included
             else:
                 spelled = [self.spelled(c) for c in word]
                 counts = self.program.counts("".join(spelled))
@@ -161,10 +190,11 @@ class WordCounter:
 
     def plain_prefixes(self, text: str) -> Sequence[int]:
         """Tokens of text[:1], text[:2], ... of a normal text without special strings."""
-        words = self.pattern.findall(text)
+        pattern = self.splitter(text)
+        words = pattern.findall(text)
         if len(text) > LONG or len("".join(words)) < len(text):
             out, spent = array("i"), 0
-            for m in self.pattern.finditer(text):
+            for m in pattern.finditer(text):
                 out.extend([spent] * (m.start() - len(out)))
                 out.extend([spent + n for n in self.word_prefixes(m[0])])
                 spent = out[-1]
@@ -222,13 +252,13 @@ class WordCounter:
                 ends.append((b, size))
             text = "".join(pieces)
         counts, spent, over = [0], 0, len(text) + 1
-        for m in self.pattern.finditer(text):
+        for m in self.splitter(text).finditer(text):
             if m.start() >= over:
                 break
             counts += [spent] * (m.start() + 1 - len(counts))
             word = m[0]
             if len(word) <= AHEAD:  # a cut contraction is other words
-                counts += [spent + sum(map(self.of_word, self.pattern.findall(word[:k]))) for k in range(1, len(word) + 1)]
+                counts += [spent + sum(map(self.of_word, self.splitter(word).findall(word[:k]))) for k in range(1, len(word) + 1)]
                 spent = counts[-1]
             else:
                 spelled = [self.spelled(c) for c in word]
