@@ -137,13 +137,17 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> Model | None:
     """The model of ``docs`` (doc_id, text, lang), learnt from labelled rows that are not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    rank = F.xxhash64("doc_id", "text", F.lit(SEED))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min(rank).alias("first")).orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
+    chance = F.pmod(rank, F.lit(1_000_003)) / 1_000_003.0
     each = max(LEAST, min(PER_LANGUAGE, SAMPLE // len(counts)))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    chosen = labelled.where(chance < F.element_at(share, F.col("lang")))
+    first = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], r["first"])])
+    # Rows that are alike are drawn together and count once; a label's first row is always drawn.
+    drawn = labelled.where((chance < F.element_at(share, F.col("lang"))) | (rank == F.element_at(first, F.col("lang"))))
+    chosen = drawn.groupBy("lang", rank.alias("rank")).agg(F.first("text").alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part.slice(low, BATCH) for part in batches for low in range(0, part.num_rows, BATCH)):
@@ -151,8 +155,8 @@ def train(docs: DataFrame) -> Model | None:
             keep = [i for i, f in enumerate(found) if f is not None]
             yield pa.RecordBatch.from_arrays([batch.column("rank").take(pa.array(keep, pa.int64())), batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([np.packbits(found[i]).tobytes() for i in keep], pa.binary())], ["rank", "lang", "bits"])
 
-    rows = chosen.select(F.xxhash64("doc_id", "text").alias("rank"), "lang", "text").mapInArrow(kernel, "rank long, lang string, bits binary")
-    # Twice what is expected: only a sample of rows that repeat an id comes near it.
+    rows = chosen.select("rank", "lang", "text").mapInArrow(kernel, "rank long, lang string, bits binary")
+    # Twice what is expected, which a sample does not come near.
     got = sorted(rows.limit(2 * max(SAMPLE, each * len(counts))).collect())
     if not got:
         return None
