@@ -12,14 +12,16 @@ become 1).  A node's *sum* is that of its children's densities.  The node of the
 greatest sum holds the article; the least density on its path from the body is
 the threshold.  Then, from the body down, every node that reaches the threshold
 gives the node of the greatest sum at or under it, and what these nodes hold is
-the article, but for blocks under the threshold that are mostly links.
+the article, but for blocks under the threshold that are mostly links and stand in
+no ``article``.
 
 Tags and names enter as weights of the characters.  What can never hold an
 article's text (scripts, styles, forms, menus, headers and footers of the page,
 sidebars) weighs nothing.  What is called like an advert, a notice, reader
 comments and the like weighs ``NAMED``, so that it falls under any threshold a
-page's other text sets, yet is found where a page has nothing else.  The sum of an
-``article`` is no less than that of any node in it.
+page's other text sets, yet is found where a page has nothing else.  Inside an
+``article`` names that its parts have as well (a discussion, an alert, related work)
+do not count.  The sum of an ``article`` is no less than that of any node in it.
 
 Text is decoded, white space in a block becomes one space, blocks are joined by
 an empty line in page order.
@@ -78,6 +80,8 @@ NOT_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adbox|adslot|adverts?|advertisements?|advertising|banner|breadcrumbs?|byline-share|captcha|comments?|commentlist|consent|contentinfo|cookies?|cookiebar|complementary|disqus|discussion|footer|gdpr|hidden|login|masthead|menu|menubar|modal|nav|navbar|navigation|navigations|newsletter|notices?|overlay|pagination|pager|paywall|popup|promos?|promoted|promotions?|related|replies|reply|respond|responses|search|share|sharing|sidebar|sidebars|signup|site-header|page-header|skip|social|sponsors?|sponsored|subscribe|subscription|taglist|toolbar|widgets?|alert|alertdialog|warning-box)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Of these the ones that parts of an article are called, too: inside an ``article`` they mean nothing.
+ALSO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:alert|banner|discussion|menu|notices?|overlay|promotions?|related|replies|reply|respond|responses|search|skip|social|warning-box|widgets?)(?=$|[\s_-]|\d)", re.I)
 KEPT_BY_NAME = frozenset("body html main".split())
 ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry|entry-content|main|main-content|post|post-content|post-body|story|story-body|articletext)(?:$|[\s_-])", re.I)
 #: Weight of the characters in what is named like no part of an article.
@@ -86,10 +90,10 @@ SCOPES = ("td", "th", "table")
 
 
 class Node:
-    __slots__ = ("name", "children", "weight", "raw", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "children", "weight", "inside", "raw", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, name: str, weight: float):
-        self.name, self.weight = name, weight
+    def __init__(self, name: str, weight: float, inside: bool = False):
+        self.name, self.weight, self.inside = name, weight, inside  # inside an ``article``
         self.children: list = []  # nodes and texts, in page order
         self.raw = self.tags = self.link_tags = 0
         self.chars = self.link_chars = 0.0  # weighted
@@ -102,9 +106,9 @@ def camel(text: str) -> str:
     return re.sub(r"\b(?:has|with|no|without)[-_]\w+(?:-\w+)*", "", re.sub(r"([a-z])([A-Z])", r"\1-\2", text))
 
 
-def weight_of(name: str, marks: str, in_article: bool) -> float:
+def weight_of(name: str, marks: str, in_article: bool, in_main: bool) -> float:
     """What the characters of an element count, by its tag and names."""
-    if name in NEVER or name == "header" and not in_article:
+    if name in NEVER or name == "header" and not in_main:
         return 0.0
     if name in KEPT_BY_NAME or not marks:
         return 1.0
@@ -119,7 +123,7 @@ def weight_of(name: str, marks: str, in_article: bool) -> float:
         elif key != "aria-hidden":
             words = camel(value)
             article = article or ARTICLE_NAME.search(words) is not None
-            named = named or NOT_ARTICLE.search(words) is not None
+            named = named or NOT_ARTICLE.search(ALSO_ARTICLE.sub(" ", words) if in_article and key != "role" else words) is not None
     return NAMED if named and not article else 1.0
 
 
@@ -180,8 +184,9 @@ def parse(page: str) -> Node:
             if places:
                 open_.close(min(places))
         up = open_.stack[-1]
-        weight = min(up.weight, weight_of(name, m[3], bool(open_.where.get("article") or open_.where.get("main"))))
-        node = Node(name, weight)
+        inside = bool(open_.where.get("article"))
+        weight = min(up.weight, weight_of(name, m[3], inside, inside or bool(open_.where.get("main"))))
+        node = Node(name, weight, inside)
         up.children.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCK and name not in RAW and name not in ("a", "b", "i", "em", "strong", "span", "td", "th"):
             continue
@@ -310,7 +315,7 @@ def under(node: Node, within: Node, floor: float) -> bool:
         return True
     if node.density >= floor:
         return False
-    linked = node.name in ("ul", "ol", "div", "section", "table", "dl", "p") and node.link_tags > 1 and node.link_chars > 0.5 * node.chars
+    linked = not node.inside and node.name in ("ul", "ol", "div", "section", "table", "dl", "p") and node.link_tags > 1 and node.link_chars > 0.5 * node.chars
     return linked or node.weight < within.weight and node.raw > 0
 
 
