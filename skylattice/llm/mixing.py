@@ -17,8 +17,8 @@ by ranges of buckets, and only the bucket in which the pass ends is put in order
 Defined cases: a null text has size 0.  A null source is a source of its own,
 ranked last.  A source of size 0 has target 0.  A null doc_id is an id like
 others: the order goes by id and text.  Rows of one id and text are counted
-together and share alike what is taken of them, down to whole words.  Other columns
-are not read, or kept as they are by ``repeated``, whatever their names.  Empty
+together and share alike what is taken of them; where that does not go up in whole
+words, some of them give one more.  Other columns are not read, or kept as they are by ``repeated``, whatever their names.  Empty
 tables give an empty result.
 """
 
@@ -84,7 +84,7 @@ def _starts(cells: DataFrame) -> DataFrame:
 
 def _taken(docs: DataFrame, text: str, share: float, max_epochs: float, weights: tuple[float, ...], seed: int) -> DataFrame:
     """As ``mix``, with the source as src and the row's place in the order as rank."""
-    sized = stored(docs.select("doc_id", F.col("source").alias("src"), n_words(F.col(text)).alias("size"), rank_of(text, seed).alias("rank")), "mix-sizes")
+    sized = stored(docs.select("doc_id", F.col("source").alias("src"), n_words(F.col(text)).alias("size"), rank_of(text, seed).alias("rank"), F.spark_partition_id().alias("lot")), "mix-sizes")
     buckets = max(16, sized.count() // BUCKET_ROWS)
     named = F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit("")).alias("name")  # null-safe key
     sized = sized.select("*", named, F.pmod("rank", F.lit(buckets)).alias("bucket"))
@@ -102,28 +102,56 @@ def _taken(docs: DataFrame, text: str, share: float, max_epochs: float, weights:
     left = F.col("part") - F.col("start")
     at_end = (left > 0) & (left < F.col("words"))
     plain = placed.where(~at_end).withColumn("extra", F.when(left > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    # Of the few buckets in which a pass ends: rows that are alike are one class.
-    ends = placed.where(at_end)
-    alike = ends.groupBy("name", "rank", "size").agg(F.count("*").alias("rows"), F.first(left).alias("left"))
-    within = Window.partitionBy("name").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = _shared(placed.where(at_end).withColumn("left", left))
+    columns = ["doc_id", "src", "rank", "size", "lot", "source_size", "target", "whole", "extra"]
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long")
+    return plain.select(*columns).unionByName(ended.select(*columns)).select("doc_id", "src", "rank", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _shared(ends: DataFrame) -> DataFrame:
+    """Rows of the few buckets in which a pass ends, with ``extra``, the words of that pass that each gives.
+
+    Rows that are alike share what their class gives, the first of them a word more each
+    where it does not go up.  Only their numbers are moved, by class and lot, the part of
+    the table they were read from; rows are made from them again.
+    """
+    of_class = ["name", "src", "doc_id", "rank", "size"]
+    lots = ends.groupBy(*of_class, "lot").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("left", "source_size", "target", "whole")])
+    alike, ordered = Window.partitionBy(*of_class), Window.partitionBy("name").orderBy("rank", "size", "doc_id", "lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = F.col("rows") * F.col("size")
-    each = F.floor(F.least(words, F.greatest(F.lit(0), F.col("left") - F.sum(words).over(within) + words)) / F.col("rows")).cast("long")
-    ended = ends.join(alike.select("name", "rank", "size", each.alias("extra")), ["name", "rank", "size"])
-    return plain.unionByName(ended).select("doc_id", "src", "rank", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    lots = lots.withColumn("before", F.sum(words).over(ordered) - words)
+    lots = lots.withColumn("start", F.min("before").over(alike)).withColumn("all", F.sum("rows").over(alike))
+    lots = lots.withColumn("ahead", F.sum("rows").over(alike.orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows"))
+    gives = F.least(F.col("all") * F.col("size"), F.greatest(F.lit(0), F.col("left") - F.col("start")))
+    lots = lots.withColumn("each", F.floor(gives / F.col("all")).cast("long")).withColumn("more", gives - F.col("each") * F.col("all"))
+    first = F.least(F.col("rows"), F.greatest(F.lit(0), F.col("more") - F.col("ahead")))
+    kinds = F.array(F.struct(first.alias("n"), (F.col("each") + 1).alias("extra")), F.struct((F.col("rows") - first).alias("n"), F.col("each").alias("extra")))
+    made = lots.withColumn("kind", F.explode(kinds)).where("kind.n > 0")
+    return made.withColumn("extra", F.col("kind.extra")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("kind.n"))))
 
 
 def repeated(docs: DataFrame, text: str = "text", share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; a part of half or more counts as one.  Rows without words stay as they are."""
     taken = _taken(docs, text, share, max_epochs, weights, seed)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(1)).cast("int")
-    rank, n, rows, copy = (fresh(f"_{x}", docs.columns) for x in ("rank", "times", "rows", "copy"))
+    rank, n, rows, more, lot, at, copy = (fresh(f"_{x}", docs.columns) for x in ("rank", "times", "rows", "more", "lot", "at", "copy"))
     source = fresh("_source", docs.columns)
     key = F.xxhash64("rank", F.coalesce("src", F.lit("")))
-    of_row = stored(taken.groupBy(key.alias(rank)).agg(F.max(times).alias(n), F.count("*").alias(rows)), "mix-times")
+    counted = taken.groupBy(key.alias(rank), times.alias(n)).agg(F.count("*").alias(rows))
+    # Of rows that are alike the first ``more`` repeat once more than the others.
+    of_row = stored(counted.groupBy(rank).agg(F.min(n).alias(n), F.sum(rows).alias(rows), (F.sum(F.col(n) * F.col(rows)) - F.min(n) * F.sum(rows)).alias(more)), "mix-times")
     total = of_row.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
     keyed = docs.withColumn(source, rank_of(text, seed)).withColumn(rank, F.xxhash64(F.col(source), F.coalesce("source", F.lit("")))).drop(source)
-    met = join_skewed(keyed, of_row.where(F.col(n) > 0), rank, rows, total)
-    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = join_skewed(keyed, of_row.where((F.col(n) > 0) | (F.col(more) > 0)), rank, rows, total)
+    mixed = stored(met.where(F.col(more) > 0).withColumn(lot, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "mix-uneven")
+    lots = mixed.groupBy(rank, lot).agg(F.count("*").alias("here"))
+    ahead = F.sum("here").over(Window.partitionBy(rank).orderBy(lot).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("here")
+    lots = lots.select(F.col(rank), F.col(lot), ahead.alias(copy))
+    numbered = mixed.withColumn(at, F.row_number().over(Window.partitionBy(rank, lot).orderBy(at))).join(lots, [rank, lot])
+    uneven = numbered.withColumn(n, F.col(n) + (F.col(at) + F.col(copy) <= F.col(more)).cast("int")).where(F.col(n) > 0)
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    all_rows = met.where(F.col(more) == 0).select(*given, n).union(uneven.select(*given, n))
+    return all_rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*given)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
