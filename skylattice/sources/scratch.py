@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +18,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         if root is None:
             root = scratch.own = tempfile.mkdtemp(prefix="skylattice-")
     return f"{root.rstrip('/')}/{name}"
+
+
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new folder of shared storage, which goes when the driver ends."""
+    path = scratch(spark, f"{label}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
