@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, layers, reports, surface, thermal, walls
+from . import files, layers, places, reports, surface, thermal, walls
 
-QUERIES: dict = surface.QUERIES | thermal.QUERIES | walls.QUERIES | reports.QUERIES | layers.QUERIES | files.QUERIES
-ORACLE: dict[str, str] = surface.ORACLE | thermal.ORACLE | walls.ORACLE | reports.ORACLE | layers.ORACLE | files.ORACLE
+QUERIES: dict = surface.QUERIES | thermal.QUERIES | walls.QUERIES | reports.QUERIES | layers.QUERIES | files.QUERIES | places.QUERIES
+ORACLE: dict[str, str] = surface.ORACLE | thermal.ORACLE | walls.ORACLE | reports.ORACLE | layers.ORACLE | files.ORACLE | places.ORACLE
