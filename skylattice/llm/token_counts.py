@@ -90,8 +90,8 @@ def starts_afresh(letter: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def newer_letters(path: str, pattern: str) -> tuple[regex.Pattern, dict[str, str], regex.Pattern]:
-    """Letters and digits newer than Python's tables: what finds them, their small letters, and ``pattern`` with them.
+def newer_letters(path: str, pattern: str) -> tuple[re.Pattern, dict[str, str], regex.Pattern]:
+    """Letters and digits newer than Python's tables: what may find them, their small letters, and ``pattern`` with them.
 
     Whether such a one is a letter, a digit or neither is for the library to say, whose tables are its own.
     """
@@ -105,7 +105,7 @@ def newer_letters(path: str, pattern: str) -> tuple[regex.Pattern, dict[str, str
         if but:
             exact = exact.replace(f"\\p{{{name}}}", rf"[\p{{{name}}}--[{but}]]")
     small = {c: library.normalizer.normalize_str(c) for c in found}
-    return regex.compile(f"[{''.join(found)}]" if found else r"(?!)"), small, regex.compile(exact, regex.V1)
+    return re.compile(f"[{min(found)}-\U0010ffff]" if found else r"(?!)"), small, regex.compile(exact, regex.V1)
 
 
 class WordCounter:
@@ -131,13 +131,16 @@ class WordCounter:
     def normal(self, part: str) -> str:
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            if self.newer.search(part):
+            if self.has_newer(part):
                 return "".join([self.small[c] if c in self.small else c.lower() for c in part])
         return part.lower()
 
+    def has_newer(self, text: str) -> bool:
+        return self.newer.search(text) is not None and not self.small.keys().isdisjoint(text)
+
     def splitter(self, text: str) -> regex.Pattern:
         """The pattern that cuts ``text``, which is normal, into words."""
-        return self.exact if not text.isascii() and self.newer.search(text) else self.pattern
+        return self.exact if not text.isascii() and self.has_newer(text) else self.pattern
 
     def words(self, part: str) -> list[str]:
         text = self.normal(part)
