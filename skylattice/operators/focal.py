@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .labels import propagate
 from .small import small
 
@@ -144,15 +145,24 @@ def buildings_without_classes(cells: DataFrame, rows: int, cols: int, least_cell
     return shut.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("kept", F.lit(False)).alias("building"))
 
 
-def connected(cells: DataFrame, corners: bool = False, width: int = 1 << 20) -> DataFrame:
-    """(row, col, component) of connected ``cells``; a component is named by its first cell in scan order."""
+def connected(cells: DataFrame, corners: bool = False, width: int = 1 << 20, size: int = 256) -> DataFrame:
+    """(row, col, component) of connected ``cells``; a component is named by its first cell in scan order.
+
+    Cells are labelled inside blocks first; only labels that touch across the blocks' edges are linked and joined.
+    """
+    from .kernels import labelled_blocks
+
+    inside = stored(labelled_blocks(cells, corners, width, size), "blocks")
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if corners else [])]
-    node = lambda r, c: r.cast("long") * width + c
-    ids = cells.select("row", "col", node(F.col("row"), F.col("col")).alias("node"))
-    reach = ids.select(F.col("node").alias("a"), F.explode(F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a, b in steps])).alias("to"))
-    links = reach.select("a", node(F.col("to.row"), F.col("to.col")).alias("b")).join(ids.select(F.col("node").alias("b")), "b").select("a", "b")
-    named = propagate(links)
-    return ids.join(named, "node", "left").select("row", "col", F.coalesce("component", "node").alias("component"))
+    r, c = F.pmod("row", F.lit(size)), F.pmod("col", F.lit(size))
+    edge = inside.where((r == 0) | (r == size - 1) | (c == 0) | (c == size - 1))
+    block = lambda v: F.floor(v / size)
+    to = F.explode(F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a, b in steps]))
+    reach = edge.select(F.col("label").alias("a"), "row", "col", to.alias("to")).where((block(F.col("row")) != block(F.col("to.row"))) | (block(F.col("col")) != block(F.col("to.col"))))
+    met = edge.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("label").alias("b"))
+    links = reach.join(met, (F.col("to.row") == F.col("_r")) & (F.col("to.col") == F.col("_c"))).select("a", "b").distinct()
+    named = propagate(links).withColumnRenamed("node", "label")
+    return inside.join(named, "label", "left").select("row", "col", F.coalesce("component", "label").alias("component"))
 
 
 def numbered(components: DataFrame, width: int = 1 << 20) -> DataFrame:

@@ -149,6 +149,41 @@ def squared_distance(valid: np.ndarray, reach: int) -> np.ndarray:
     return best
 
 
+def local_labels(mask: np.ndarray, corners: bool) -> np.ndarray:
+    """Of each cell where ``mask`` the least place, in scan order, that it is connected to inside the array."""
+    high, wide = mask.shape
+    none = mask.size
+    labels = np.full((high + 2, wide + 2), none)
+    own = labels[1:-1, 1:-1]
+    own[mask] = np.flatnonzero(mask)
+    steps = [(0, 1), (1, 0), (0, -1), (-1, 0), *([(1, 1), (1, -1), (-1, 1), (-1, -1)] if corners else [])]
+    while True:
+        low = own.copy()
+        for r, c in steps:
+            np.minimum(low, labels[1 + r : 1 + r + high, 1 + c : 1 + c + wide], out=low)
+        found = np.append(low.ravel(), none)
+        found = found[low[mask]]  # a label's own label
+        if (found == own[mask]).all():
+            return own
+        own[mask] = found
+
+
+def labelled_blocks(cells: DataFrame, corners: bool, width: int, size: int = 256) -> DataFrame:
+    """(row, col, label) of ``cells``: the least node, row * ``width`` + col, that each is connected to inside its block."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        r, c = part["row"].to_numpy(), part["col"].to_numpy()
+        r0, c0 = r.min(), c.min()
+        mask = np.zeros((r.max() - r0 + 1, c.max() - c0 + 1), bool)
+        mask[r - r0, c - c0] = True
+        first = local_labels(mask, corners)[r - r0, c - c0]
+        return pd.DataFrame({"row": r, "col": c, "label": (first // mask.shape[1] + r0).astype(np.int64) * width + first % mask.shape[1] + c0})
+
+    block = lambda c: F.floor(F.col(c) / size)
+    keyed = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    return keyed.groupBy(block("row").alias("_r"), block("col").alias("_c")).applyInPandas(work, "row int, col int, label long")
+
+
 def distance_blocked(cells: DataFrame, valid: str, reach: int, size: int | None = None) -> DataFrame:
     """(row, col, distance) in cells to the nearest cell where ``valid``, null beyond ``reach``."""
 

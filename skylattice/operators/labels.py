@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share; without one (a local session) keep the plan's result in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from ..sources.scratch import dropped, kept
 
 
 def propagate(links: DataFrame) -> DataFrame:
@@ -16,15 +13,19 @@ def propagate(links: DataFrame) -> DataFrame:
 
     Every round a node takes the smallest label among its neighbours and then its
     label's label, until nothing changes; paths shrink by half a round or better.
+    Each round's labels are written to shared storage, and those before them go.
     """
-    both = _kept(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct())
+    both, _ = kept(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    total = None
+    total = before = None
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = _kept(low.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+        labels, path = kept(low.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "labels")
+        if before is not None:
+            dropped(labels.sparkSession, before)
+        before = path
         found = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if found == total:
             return labels

@@ -62,6 +62,7 @@ def tile_occupancy(points: DataFrame, tiles: DataFrame, block: float) -> DataFra
     """Of each tile: the share of its blocks with a return, and of those in its corners (an eighth of its height wide).
 
     ``points`` has name, x, y; ``tiles`` name, xmin, xmax, ymin, ymax.  Blocks are counted once before they travel.
+    A tile without a return has shares of 0, one without an area none.
     """
     size = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / block).cast("int")
     sized = tiles.select("name", "xmin", "ymax", size("xmin", "xmax").alias("nx"), size("ymin", "ymax").alias("ny"))
@@ -69,8 +70,11 @@ def tile_occupancy(points: DataFrame, tiles: DataFrame, block: float) -> DataFra
     hit = points.join(sized, "name").select("name", "nx", "ny", place(F.col("x") - F.col("xmin"), "nx").alias("c"), place(F.col("ymax") - F.col("y"), "ny").alias("r")).distinct()
     k = F.greatest(F.lit(1), F.floor(F.col("ny") / 8))
     top, bottom, left, right = F.col("r") < k, F.col("r") >= F.col("ny") - k, F.col("c") < k, F.col("c") >= F.col("nx") - k
-    corner = lambda *t: (F.count_if(t[0] & t[1]) / F.first(k * k)).alias(t[2])
-    return hit.groupBy("name").agg((F.count("*") / F.first(F.col("nx") * F.col("ny"))).alias("fill"), corner(top, left, "top_left"), corner(top, right, "top_right"), corner(bottom, left, "bottom_left"), corner(bottom, right, "bottom_right"))
+    corners = {"top_left": top & left, "top_right": top & right, "bottom_left": bottom & left, "bottom_right": bottom & right}
+    counted = hit.groupBy("name").agg(F.count("*").alias("fill"), *[F.count_if(m).alias(n) for n, m in corners.items()])
+    share = lambda n, of: (F.coalesce(n, F.lit(0)) / F.nullif(of, F.lit(0))).alias(n)
+    all_, corner = F.col("nx") * F.col("ny"), F.least(k, F.col("ny")) * F.least(k, F.col("nx"))
+    return sized.join(counted, "name", "left").select("name", share("fill", all_), *[share(n, corner) for n in corners])
 
 
 def missing_tiles(cells: DataFrame, name: Column, covered: Column, most: int = 12) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import percent_change
 from ..functions.solar import local_day
 from ..operators import compare, reports, scenario, sweep, zonal
+from ..sources.scratch import stored
 from .stand_ins import BUILDINGS, CELL_M, CELLS, CHANGES, GRID, HALVES, LABELS, LAT, LON, PTS, WEATHER, buildings, cells, changes, halves, points, read, sql, sun_table
 from .stand_ins import weather as weather_rows
 from .surface import SUNS
@@ -67,24 +68,26 @@ def worst_value_of_day(spark, sf):
     return rounded(reports.worst_of_day(c, "v", "zone"), 6, "worst")
 
 
-_TILED = 'tiled AS (SELECT \'t\' || floor(hours / 48)::BIGINT || \'_\' || ("row" // 40) AS name, floor((hours - floor(hours / 48) * 48) / 1.5)::INT AS c, floor((("row" // 40 + 1) * 40 - "row") / 1.5::DOUBLE)::INT AS r FROM pts)'
+_TILED = """tiles AS (SELECT DISTINCT 't' || (s_suppkey % 60) || '_' || (s_suppkey // 20) AS name, (s_suppkey % 60) * 48.0::DOUBLE AS xmin, (s_suppkey // 20) * 40.0::DOUBLE AS ymin FROM supplier),
+ hit AS (SELECT DISTINCT t.name, least(31, floor((hours - xmin) / 1.5)::INT) AS c, least(26, floor((ymin + 40 - "row") / 1.5::DOUBLE)::INT) AS r FROM pts JOIN tiles t ON t.name = 't' || floor(hours / 48)::BIGINT || '_' || ("row" // 40))"""
 
 
 @query(
     sql(
-        """SELECT name, round(count(*) / 864.0::DOUBLE, 6) AS fill, round(count(*) FILTER (r < 3 AND c < 3) / 9.0::DOUBLE, 6) AS top_left, round(count(*) FILTER (r < 3 AND c >= 29) / 9.0::DOUBLE, 6) AS top_right, round(count(*) FILTER (r >= 24 AND c < 3) / 9.0::DOUBLE, 6) AS bottom_left,
-  round(count(*) FILTER (r >= 24 AND c >= 29) / 9.0::DOUBLE, 6) AS bottom_right FROM (SELECT DISTINCT name, least(31, c) AS c, least(26, r) AS r FROM tiled) GROUP BY name""",
+        """SELECT name, round(count(c) / 864.0::DOUBLE, 6) AS fill, round(count(*) FILTER (r < 3 AND c < 3) / 9.0::DOUBLE, 6) AS top_left, round(count(*) FILTER (r < 3 AND c >= 29) / 9.0::DOUBLE, 6) AS top_right, round(count(*) FILTER (r >= 24 AND c < 3) / 9.0::DOUBLE, 6) AS bottom_left,
+  round(count(*) FILTER (r >= 24 AND c >= 29) / 9.0::DOUBLE, 6) AS bottom_right FROM tiles LEFT JOIN hit USING (name) GROUP BY name""",
         PTS, _TILED,
     )
 )
 def tile_occupancy(spark, sf):
-    """Tiles of 48 hours by 40 rows in blocks of 1.5: 32 columns and 27 rows of them, corners of three."""
+    """Catalogued tiles, one a supplier, of 48 hours by 40 rows in blocks of 1.5: 32 columns and 27 rows of them, corners of three."""
     p = points(spark, sf)
-    i, j = F.floor(F.col("hours") / 48), F.floor(F.col("row") / 40)
-    name = F.concat(F.lit("t"), i, F.lit("_"), j)
-    p = p.select(name.alias("name"), (i * 48.0).alias("xmin"), (j * 40.0).alias("ymin"), F.col("hours").alias("x"), F.col("row").cast("double").alias("y"))
-    tiles = p.select("name", "xmin", (F.col("xmin") + 48.0).alias("xmax"), "ymin", (F.col("ymin") + 40.0).alias("ymax")).distinct()
-    out = reports.tile_occupancy(p.select("name", "x", "y"), tiles, 1.5)
+    name = lambda i, j: F.concat(F.lit("t"), i, F.lit("_"), j).alias("name")
+    k = F.col("s_suppkey")
+    i, j = k % 60, F.floor(k / 20)
+    tiles = read(spark, sf, "supplier").select(name(i, j), (i * 48.0).alias("xmin"), (i * 48.0 + 48).alias("xmax"), (j * 40.0).alias("ymin"), (j * 40.0 + 40).alias("ymax")).distinct()
+    named = p.select(name(F.floor(F.col("hours") / 48), F.floor(F.col("row") / 40)), F.col("hours").alias("x"), F.col("row").cast("double").alias("y"))
+    out = reports.tile_occupancy(named, tiles, 1.5)
     return rounded(out, 6, "fill", "top_left", "top_right", "bottom_left", "bottom_right")
 
 
@@ -151,12 +154,20 @@ def grown_buildings_report(spark, sf):
 
 
 _SWEEP = f"""suns(hour, altitude, azimuth) AS (VALUES {", ".join(f"({k}, {a}::DOUBLE, {z}::DOUBLE)" for k, (_, a, z) in enumerate(SUNS))}),
- parts AS (SELECT label AS component, "row", col, surface::FLOAT AS was, (ground + height_m)::FLOAT AS top FROM cells JOIN grown USING (label) WHERE ground + height_m > surface + 3),
- reach AS (SELECT (SELECT max(top) FROM parts)::DOUBLE - (SELECT min(surface) FROM cells)::DOUBLE AS far),
+ raised AS (SELECT "row", col, "row"::BIGINT * 1048576 + col AS id, surface::FLOAT AS was, (ground + height_m)::FLOAT AS top, height_m FROM cells JOIN grown USING (label) WHERE ground + height_m > surface + 3),
+ spread AS (SELECT "row", col, id, id AS name FROM raised UNION SELECT p."row", p.col, p.id, s.name FROM spread s JOIN raised p ON p."row" BETWEEN s."row" - 1 AND s."row" + 1 AND p.col BETWEEN s.col - 1 AND s.col + 1 WHERE s.name < p.id),
+ every AS (SELECT id, min(name) AS component FROM spread GROUP BY id),
+ boxes AS (SELECT component, max(top - was) AS rise, max(height_m) AS high, (min("row") + max("row") + 1) / 2.0::DOUBLE AS r, (min(col) + max(col) + 1) / 2.0::DOUBLE AS c FROM raised JOIN every USING (id) GROUP BY component),
+ parts AS (SELECT component, "row", col, was, top FROM raised JOIN every USING (id) JOIN boxes USING (component)
+   WHERE rise >= 3 AND high / tan(radians((SELECT min(altitude) FROM suns WHERE altitude > 0))) >= {CELL_M} * sqrt(pow(greatest(0, -r, r - 40), 2) + pow(greatest(0, 20 - c, c - 90), 2))),
+ reach AS (SELECT greatest((SELECT max(top) FROM parts), (SELECT max(surface) FROM cells))::DOUBLE - (SELECT min(surface) FROM cells)::DOUBLE AS far),
  offs AS (SELECT hour, drow, dcol, (sqrt(drow * drow + dcol * dcol) * tan(radians(altitude)) * {CELL_M})::FLOAT AS climb FROM (
    SELECT DISTINCT hour, altitude, round_even(-step * cos(radians(azimuth)), 0)::INT AS drow, round_even(step * sin(radians(azimuth)), 0)::INT AS dcol FROM suns, reach, generate_series(1, 400) g(step)
    WHERE altitude > 0 AND step <= greatest(1, ceil(far / (tan(radians(altitude)) * {CELL_M})) + 1)) WHERE drow <> 0 OR dcol <> 0),
- shaded AS (SELECT p.component, o.hour, c."row", c.col FROM parts p, offs o, cells c WHERE c."row" = p."row" - o.drow AND c.col = p.col - o.dcol GROUP BY ALL HAVING bool_or(p.top > (c.surface + o.climb)::FLOAT) AND NOT bool_or(p.was > (c.surface + o.climb)::FLOAT))"""
+ base AS (SELECT DISTINCT o.hour, c."row", c.col FROM cells c, offs o, cells b WHERE b."row" = c."row" + o.drow AND b.col = c.col + o.dcol AND b.surface > (c.surface + o.climb)::FLOAT),
+ shaded AS (SELECT DISTINCT p.component, o.hour, c."row", c.col FROM parts p, offs o, cells c LEFT JOIN parts m ON m."row" = c."row" AND m.col = c.col
+   WHERE c."row" = p."row" - o.drow AND c.col = p.col - o.dcol AND p.top > ((CASE WHEN m.component = p.component THEN m.top ELSE c.surface END) + o.climb)::FLOAT
+   AND NOT EXISTS (SELECT 1 FROM base WHERE base.hour = o.hour AND base."row" = c."row" AND base.col = c.col))"""
 
 
 @query(
@@ -165,18 +176,42 @@ _SWEEP = f"""suns(hour, altitude, azimuth) AS (VALUES {", ".join(f"({k}, {a}::DO
   SELECT component, count(*) FILTER (c2 > 0) AS any_2, sum(c2) AS h2, count(*) FILTER (c5 > 0) AS any_5, sum(c5) AS h5 FROM (
    SELECT s.component, s."row", s.col, count(*) FILTER (du <= -2) AS c2, count(*) FILTER (du <= -5) AS c5 FROM shaded s JOIN changes d ON d."row" = s."row" AND d.col = s.col AND d.hour = s.hour GROUP BY ALL) GROUP BY component) a ON a.component = k.component""",
         PTS, GRID, CELLS, LABELS, BUILDINGS, CHANGES, _GROWN, _SWEEP,
-    )
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
 )
 def attribution_by_own_sweep(spark, sf):
-    """Each grown building's own shadow, before and now, against the hourly changes."""
-    c, grown = _grown(spark, sf)
+    """What each connected change shades that lay in no shade before, against the hourly changes; those too low for the reported window are left out."""
+    c = stored(cells(spark, sf), "cells")
+    grown = scenario.grown_labels(buildings(spark, sf), zonal.label_statistics(c, "heights", "nodata"))
     top = F.col("ground").cast("double") + F.col("height_m")
-    parts = c.join(grown, "label").where(top > F.col("surface") + 3).select(F.col("label").alias("component"), "row", "col", F.col("surface").cast("float").alias("top_before"), top.cast("float").alias("top_now"))
+    raised = c.join(grown, "label").where(top > F.col("surface") + 3).select("row", "col", F.col("surface").cast("float").alias("top_before"), top.cast("float").alias("top_now"), "height_m")
+    parts = sweep.changed_components(raised)
+    parts = stored(sweep.worth_a_sweep(parts, min(a for _, a, _ in SUNS if a > 0), (0, 40, 20, 90), CELL_M), "parts")
     suns = spark.createDataFrame([(k, a, z) for k, (_, a, z) in enumerate(SUNS)], "hour int, altitude double, azimuth double")
     newly = sweep.newly_shaded(parts, c, suns, CELL_M).select("component", "hour", "row", "col")
     return compare.attribution(parts.select("component"), changes(spark, sf).select("row", "col", "hour", "du"), newly)
 
 
+_VOIDS = """lat AS MATERIALIZED (SELECT r::INT AS "row", q::INT AS col, NOT (r // 9 % 2 = 1 AND q // 12 % 3 = 1) AND (c."row" IS NOT NULL OR (r * 7 + q * 3) % 2 = 0) AS valid, (r // 20 + q // 30) % 3 <> 0 AS tiled
+   FROM (SELECT unnest(range((SELECT max("row") + 1 FROM cells))) AS r) a, range(120) b(q) LEFT JOIN cells c ON c."row" = r AND c.col = q),
+ voids AS (SELECT *, NOT EXISTS (SELECT 1 FROM lat n WHERE n.valid AND n."row" BETWEEN l."row" - 1 AND l."row" + 1 AND n.col BETWEEN l.col - 1 AND l.col + 1) AS void FROM lat l),
+ coarse AS MATERIALIZED (SELECT "row" // 5 AS r, col // 5 AS c, bool_or(valid) AS shut FROM lat GROUP BY ALL),
+ out_ AS (SELECT r, c FROM coarse WHERE NOT shut AND (r = 0 OR c = 0 OR r = (SELECT max(r) FROM coarse) OR c = (SELECT max(c) FROM coarse))
+   UNION SELECT n.r, n.c FROM out_ o JOIN coarse n ON abs(n.r - o.r) + abs(n.c - o.c) = 1 WHERE NOT n.shut)"""
+
+
+@query(sql('SELECT "row", col, void AND tiled AND o.r IS NULL AS water, void AND NOT (tiled AND o.r IS NULL) AS nodata FROM voids LEFT JOIN out_ o ON o.r = "row" // 5 AND o.c = col // 5', PTS, GRID, CELLS, _VOIDS).replace("WITH ", "WITH RECURSIVE ", 1))
+def voids_split(spark, sf):
+    """Cells farther than 6 m from a return, at 4 m a cell: water inside tiles where returns enclose them, else no data."""
+    c = cells(spark, sf).select("row", "col", F.lit(True).alias("has"))
+    rows = (c.agg(F.max("row")).first()[0] or 0) + 1
+    r, q = F.col("row"), F.col("col")
+    lattice = spark.range(rows * 120).select(F.expr("int(id div 120)").alias("row"), F.expr("int(id % 120)").alias("col")).join(c, ["row", "col"], "left")
+    gap = (F.floor(r / 9) % 2 == 1) & (F.floor(q / 12) % 3 == 1)
+    valid = ~gap & (F.coalesce("has", F.lit(False)) | ((r * 7 + q * 3) % 2 == 0))
+    tiled = (F.floor(r / 20) + F.floor(q / 30)) % 3 != 0
+    return sweep.voids(lattice.select("row", "col", valid.alias("valid"), tiled.alias("tiled")), rows, 120, 4.0, "tiled")
+
+
 _GROUND = """lat AS (SELECT r::INT AS "row", q::INT AS col, ((r * 37 + q * 53 + r * q) % 97)::DOUBLE AS surface FROM generate_series(0, 59) a(r), (SELECT DISTINCT n_nationkey AS q FROM nation)),
  coarse AS (SELECT "row" // 5 AS r, col // 5 AS c, min(surface) AS least FROM lat GROUP BY ALL),
  smooth AS (SELECT a.r, a.c, avg(b.least) AS g FROM coarse a, generate_series(-1, 1) x(dr), generate_series(-1, 1) y(dc), coarse b WHERE b.r = least(11, greatest(0, a.r + dr)) AND b.c = least(4, greatest(0, a.c + dc)) GROUP BY ALL),

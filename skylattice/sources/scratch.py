@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,3 +26,21 @@ def own_folder(spark: SparkSession, label: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df``, written once and read back, and its folder."""
+    path = own_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written once and read back: later branches read it instead of computing it, and a lost executor costs no more than a part of it."""
+    return kept(df, label)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """A folder that nothing reads any more goes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,7 @@
 """Operators without a query of their own, and edges of those that have one."""
 
 import json
+import random
 import struct
 import zlib
 
@@ -144,3 +145,23 @@ def test_entry_without_the_text_operators(spark, sf):
     root = Path(__file__).resolve().parent.parent
     code = "import sys\nclass Gone:\n    def find_spec(self, name, *a):\n        if name in ('corpus_pipeline', 'skylattice.llm'):\n            raise ModuleNotFoundError(name=name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert len(e.queries()) > 40 and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+@pytest.mark.parametrize("corners", [False, True])
+@pytest.mark.parametrize("size", [3, 7, 64])
+def test_components_do_not_depend_on_blocks(spark, corners, size):
+    rnd = random.Random(9)
+    mask = {(r - 4, c) for r in range(24) for c in range(30) if rnd.random() < 0.55} | {(r - 4, 33) for r in range(24)}
+    want, steps = {}, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or a * b == 0)]
+    for start in sorted(mask):
+        if start in want:
+            continue
+        todo = [start]
+        while todo:
+            p = todo.pop()
+            if p in mask and p not in want:
+                want[p] = start[0] * (1 << 20) + start[1]
+                todo += [(p[0] + a, p[1] + b) for a, b in steps]
+    got = focal.connected(spark.createDataFrame(sorted(mask), "row int, col int"), corners, size=size).collect()
+    assert {(r["row"], r["col"]): r["component"] for r in got} == want
+    assert focal.connected(spark.createDataFrame([], "row int, col int"), corners).collect() == []

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import random
 
 import pytest
@@ -104,3 +105,55 @@ def test_jobs_of_one_part(spark):
 def test_first_in_each(spark):
     df = spark.createDataFrame([("x", 3), ("x", 1), ("y", 2)], "k string, v int")
     assert sorted((r["k"], r["v"]) for r in reports.first_in(df, ["k"], [F.col("v")], 1).collect()) == [("x", 1), ("y", 2)]
+
+
+def test_only_shade_that_was_none_before_is_credited(spark):
+    """A low house in a tower's shade grows: nothing behind it was ever in the sun, but beside the tower's shade a lone house's is new."""
+    surface = {(r, c): 0.0 for r in range(30) for c in range(12)}
+    surface |= {(5, c): 100.0 for c in range(4)} | {(4, 1): 10.0}
+    before = [(r, c, z) for (r, c), z in surface.items()]
+    cells = spark.createDataFrame(before, "row int, col int, surface double")
+    changed = spark.createDataFrame([(4, 1, 10.0, 60.0, 60.0), (20, 8, 0.0, 40.0, 40.0), (21, 9, 0.0, 40.0, 40.0), (28, 2, 0.0, 2.0, 2.0)], "row int, col int, top_before double, top_now double, height_m double")
+    suns = spark.createDataFrame([(1, 44.0, 180.0), (2, -5.0, 180.0), (3, 30.0, 200.0)], "hour int, altitude double, azimuth double")
+    parts = sweep.changed_components(changed)
+    assert parts.select("component").distinct().count() == 3  # corners touch
+    got = {(r["component"], r["hour"], r["row"], r["col"]) for r in sweep.newly_shaded(parts, cells, suns, 10.0).collect()}
+    brute = set()
+
+    def shade(z, hour):
+        altitude, azimuth = {1: (44.0, 180.0), 3: (30.0, 200.0)}[hour]
+        dark = set()
+        for (r, c), low in z.items():
+            for n in range(1, 60):
+                a, b = r + round(-n * math.cos(math.radians(azimuth))), c + round(n * math.sin(math.radians(azimuth)))
+                far = math.hypot(a - r, b - c) * 10.0
+                if (a, b) != (r, c) and (a, b) in z and z[a, b] > low + far * math.tan(math.radians(altitude)):
+                    dark.add((r, c))
+        return dark
+
+    for component, places in {4 << 20 | 1: [(4, 1)], 20 << 20 | 8: [(20, 8), (21, 9)], 28 << 20 | 2: [(28, 2)]}.items():
+        now = surface | {p: t for p, t in {(4, 1): 60.0, (20, 8): 40.0, (21, 9): 40.0, (28, 2): 2.0}.items() if p in places}
+        for hour in (1, 3):
+            brute |= {(component, hour, r, c) for r, c in shade(now, hour) - shade(surface, hour)}
+    assert got == brute and any(k == 20 << 20 | 8 for k, *_ in got)
+    assert not any(h == 1 and k == 4 << 20 | 1 and r < 4 for k, h, r, _ in got)
+    kept = lambda window: {r["component"] >> 20 for r in sweep.worth_a_sweep(parts, 30.0, window, 10.0).collect()}
+    assert kept((0, 30, 0, 12)) == {4, 20} and kept((0, 8, 0, 12)) == {4} and kept((15, 30, 0, 12)) == {20}
+
+
+@pytest.mark.parametrize("cell", [1.0, 2.0, 4.0, 5.0, 7.0])
+def test_voids_at_any_cell_size(spark, cell):
+    """A void is farther than 6 m from a return, whatever the cells measure."""
+    n = 40
+    valid = {(r, c): not (12 <= r < 26 and 10 <= c < 29) for r in range(n) for c in range(n)}
+    rows = [(r, c, v, True) for (r, c), v in valid.items()]
+    got = {(r["row"], r["col"]) for r in sweep.voids(spark.createDataFrame(rows, "row int, col int, valid boolean, tiled boolean"), n, n, cell, "tiled").where("water or nodata").collect()}
+    returns = [p for p, v in valid.items() if v]
+    assert got == {p for p in valid if min(math.hypot(p[0] - a, p[1] - b) for a, b in returns) * cell > 6.0}
+
+
+def test_a_tile_without_a_return_is_listed(spark):
+    tiles = spark.createDataFrame([("a", 0.0, 10.0, 0.0, 10.0), ("b", 10.0, 20.0, 0.0, 10.0), ("c", 5.0, 5.0, 0.0, 1.0)], "name string, xmin double, xmax double, ymin double, ymax double")
+    points = spark.createDataFrame([("a", 0.5, 9.5), ("a", 9.5, 0.5), ("a", 0.4, 9.9)], "name string, x double, y double")
+    got = {r["name"]: tuple(r)[1:] for r in reports.tile_occupancy(points, tiles, 1.0).collect()}
+    assert got == {"a": (0.02, 1.0, 0.0, 0.0, 1.0), "b": (0.0,) * 5, "c": (None,) * 5}
