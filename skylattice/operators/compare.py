@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_percentiles
+
 
 def paired(before: DataFrame, after: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Both runs of the cells that both have: one equi-join on the cell."""
@@ -37,7 +39,7 @@ def worst_hour(changes: DataFrame, threshold: float, zone: str) -> DataFrame:
 
 def moved_percentiles(changes: DataFrame, zone: str, least: float = 0.1) -> DataFrame:
     moved = changes.where(F.abs("du") >= least)
-    return moved.groupBy(zone).agg(*[F.percentile("du", p / 100).alias(f"p{p:02d}") for p in (1, 5, 50, 95, 99)], F.count("*").alias("moved"))
+    return with_percentiles(moved.groupBy(zone).agg(F.count("*").alias("moved")), moved, {f"p{p:02d}": ("du", p / 100) for p in (1, 5, 50, 95, 99)}, zone)
 
 
 def numbers_table(wide: DataFrame, scope: str, keys: list[str], internal: list[str], validated: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 NOISE, GROUND, BUILDING = (7, 18), 2, 6
 
 
@@ -36,26 +38,8 @@ def class_histogram(points: DataFrame, top: int = 8) -> DataFrame:
 
 
 def exact_percentiles(cells: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
-    """One row: percentiles with linear interpolation, exactly.
-
-    Values are counted by whole number first; only the whole numbers that hold a
-    wanted rank are counted value by value.  One task sees whole numbers, never cells.
-    """
-    v = F.col(value).cast("double")
-    known = cells.where(F.col(value).isNotNull()).select(v.alias("v"), F.floor(v).alias("k"))
-    coarse = known.groupBy("k").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = coarse.select("k", (upto - F.col("n")).alias("start"), upto.alias("end"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in wanted.items()])
-    asked = placed.withColumn("w", F.explode(ranks)).withColumn("at", F.col("w.q") * (F.col("all") - 1))
-    asked = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
-    need = asked.select("k", "start", "w.name", "at", "rank")  # two rows a percentile at most
-    fine = known.join(F.broadcast(need.select("k").distinct()), "k", "left_semi").groupBy("k", "v").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fine = fine.select("k", "v", (run - F.col("n")).alias("low"), run.alias("high"))
-    met = fine.join(F.broadcast(need), "k").where((F.col("rank") - F.col("start") >= F.col("low")) & (F.col("rank") - F.col("start") < F.col("high")))
-    part = F.when(F.col("rank") == F.floor("at"), F.col("rank") + 1 - F.col("at")).otherwise(F.col("at") - F.floor("at"))
-    return met.agg(*[F.sum(F.when(F.col("name") == name, F.col("v") * part)).alias(name) for name in wanted])
+    """One row: percentiles with linear interpolation, exactly."""
+    return percentiles(cells, {name: (value, q) for name, q in wanted.items()})
 
 
 def outlier_ceiling(cells: DataFrame, value: str = "surface") -> DataFrame:

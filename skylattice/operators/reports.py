@@ -6,40 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_of
+from .ranks import with_percentiles
 
 
 def ring_statistics(cells: DataFrame, distance: Column, open_: Column, *keys: str, near: float = 20.0, far: float = 80.0) -> DataFrame:
     """Median and 90th percentile of ``before`` and ``after`` over open ground from ``near`` to ``far`` metres, both included."""
     ring = cells.where(open_ & distance.between(near, far))
-    middle = lambda c: F.median(F.col(c))
-    return ring.groupBy(*keys).agg(
-        F.count("*").alias("cells"),
-        *[f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("median", middle), ("p90", lambda c: F.percentile(c, 0.9)))],
-        (100.0 * (F.try_divide(middle("after"), middle("before")) - 1.0)).alias("change_pct"),
-    )
+    wanted = {f"{n}_{c}": (c, q) for c in ("before", "after") for n, q in (("median", 0.5), ("p90", 0.9))}
+    out = with_percentiles(ring.groupBy(*keys).agg(F.count("*").alias("cells")), ring, wanted, *keys)
+    return out.withColumn("change_pct", 100.0 * (F.try_divide("median_after", "median_before") - 1.0))
 
 
 def street_wind_statistics(cells: DataFrame, cell_ha: float, *keys: str, by: float = 30.0) -> DataFrame:
     """Of ``percent`` changes and ratios ``after``: medians, 90th percentile, areas windier and calmer by ``by`` per cent."""
     p = F.col("percent")
-    return cells.groupBy(*keys).agg(
-        F.median("after").alias("median_ratio"),
-        F.percentile("after", 0.9).alias("p90_ratio"),
-        F.median(p).alias("median_pct"),
-        (F.count_if(p >= by) * cell_ha).alias("windier_ha"),
-        (F.count_if(p <= -by) * cell_ha).alias("calmer_ha"),
-    )
+    areas = cells.groupBy(*keys).agg((F.count_if(p >= by) * cell_ha).alias("windier_ha"), (F.count_if(p <= -by) * cell_ha).alias("calmer_ha"))
+    return with_percentiles(areas, cells, {"median_ratio": ("after", 0.5), "p90_ratio": ("after", 0.9), "median_pct": ("percent", 0.5)}, *keys)
 
 
 def step_summary(cells: DataFrame, cell_ha: float, *keys: str) -> DataFrame:
     """One step of a day: median felt temperature, areas colder by 2 and 5 degrees, the biggest drop.  ``cells`` has felt and du."""
     du = F.col("du")
-    return cells.groupBy(*keys).agg(
-        F.median("felt").alias("felt"),
+    areas = cells.groupBy(*keys).agg(
         (F.count_if(du <= -2) * cell_ha).alias("colder_2_ha"),
         (F.count_if(du <= -5) * cell_ha).alias("colder_5_ha"),
         (-F.min(du)).alias("biggest_drop"),
     )
+    return with_percentiles(areas, cells, {"felt": ("felt", 0.5)}, *keys)
 
 
 def wind_part(cells: DataFrame) -> DataFrame:
@@ -49,7 +42,8 @@ def wind_part(cells: DataFrame) -> DataFrame:
 
 def wind_part_summary(cells: DataFrame, *keys: str) -> DataFrame:
     part = wind_part(cells)
-    return part.groupBy(*keys).agg(F.median("wind_part").alias("median"), *[F.percentile("wind_part", p / 100).alias(f"p{p:02d}") for p in (5, 95)])
+    wanted = {"median": ("wind_part", 0.5)} | {f"p{p:02d}": ("wind_part", p / 100) for p in (5, 95)}
+    return with_percentiles(part.groupBy(*keys).agg(F.count("*").alias("_n")), part, wanted, *keys).drop("_n")
 
 
 def worst_of_day(hours: DataFrame, value: str, *keys: str) -> DataFrame:

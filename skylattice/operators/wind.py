@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import circular_distance, percent_change
+from .ranks import with_percentiles
 from .small import small
 
 
@@ -61,8 +62,9 @@ def benchmark_scores(pairs: DataFrame, *keys: str, near: Column | None = None, h
 def convergence(samples: DataFrame, *keys: str) -> DataFrame:
     """Difference of the means of two halves of a run against its speed; ``samples`` has keys, row, col, half, speed."""
     cells = samples.groupBy(*keys, "row", "col").agg(F.avg(F.when(F.col("half") == 1, F.col("speed"))).alias("a"), F.avg(F.when(F.col("half") == 2, F.col("speed"))).alias("b"), F.avg("speed").alias("all"))
-    both = cells.where("a is not null and b is not null")
-    return both.groupBy(*keys).agg(F.try_divide(F.median(F.abs(F.col("a") - F.col("b"))), F.median("all")).alias("median_change"), F.percentile(F.abs(F.col("a") - F.col("b")), 0.9).alias("p90_change"))
+    both = cells.where("a is not null and b is not null").select(*keys, F.abs(F.col("a") - F.col("b")).alias("_off"), "all")
+    out = with_percentiles(both.groupBy(*keys).agg(F.count("*").alias("_n")), both, {"_off": ("_off", 0.5), "_all": ("all", 0.5), "p90_change": ("_off", 0.9)}, *keys)
+    return out.select(*keys, F.try_divide("_off", "_all").alias("median_change"), "p90_change")
 
 
 def voxel_columns(cells: DataFrame, factor: int, dz: float, nz: int) -> DataFrame:
@@ -85,7 +87,8 @@ def street_reference(cells: DataFrame, value: str, every: int = 3) -> DataFrame:
     lawn = cells.where(F.col("lawn"))
     rows = lawn.groupBy("row").count().withColumn("start", F.sum("count").over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.coalesce("start", F.lit(0)) + F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
-    return lawn.join(rows.select("row", "start"), "row").withColumn("place", place).where(F.col("place") % every == 0).agg(F.median(value).alias("reference"), F.count("*").alias("n"))
+    third = lawn.join(rows.select("row", "start"), "row").withColumn("place", place).where(F.col("place") % every == 0).select(value)
+    return with_percentiles(third.agg(F.count("*").alias("n")), third, {"reference": (value, 0.5)})
 
 
 def turned_box(x: Column, y: Column, from_degrees: float, x0: float, y0: float, res: float) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_percentiles
+
 
 def floor_quantile(cells: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
     """(keys, quantile): the sorted value at index floor(q (n - 1)), without interpolation.
@@ -28,7 +30,9 @@ def label_statistics(cells: DataFrame, value: str, mask: str, q: float = 0.99, l
 
 def masked_statistics(cells: DataFrame, value: str, valid: Column) -> DataFrame:
     v = F.when(valid, F.col(value))
-    return cells.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.median(v).alias("middle"))
+    seen = cells.select(v.alias("_value"))
+    whole = seen.agg(F.min("_value").alias("least"), F.max("_value").alias("most"), F.avg("_value").alias("mean"))
+    return with_percentiles(whole, seen, {"middle": ("_value", 0.5)})
 
 
 def share(test: Column) -> Column:

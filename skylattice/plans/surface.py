@@ -10,6 +10,7 @@ from ..functions.scalars import bin_of
 from ..functions.solar import clear_sky_dni, frames, haurwitz, sun_vector, with_sun
 from ..operators import focal, gridding, kernels, scenario, zonal
 from ..operators.grid import Grid, north_up_index
+from ..operators.ranks import with_percentiles
 from .stand_ins import BUILDINGS, CELL_M, CELLS, COLS, GRID, LABELS, LAT, LON, PTS, TILES, buildings, cells, points, read, sql, sun_table, tiles
 
 QUERIES: dict = {}
@@ -75,7 +76,8 @@ _CASE = " ".join(f"WHEN heights >= {a} AND heights {'<=' if b == BINS[-1] else '
 def bin_legend_fixed_breaks(spark, sf):
     c = cells(spark, sf).where("not nodata").withColumn("bin", bin_of(F.col("heights"), BINS))
     h = F.col("heights").cast("double")
-    return c.groupBy("bin").agg(F.count("*").alias("cells"), F.min("heights").alias("least"), F.max("heights").alias("most"), F.round(F.avg(h), 4).alias("mean"), F.round(F.median(h), 4).alias("middle"))
+    legend = c.groupBy("bin").agg(F.count("*").alias("cells"), F.min("heights").alias("least"), F.max("heights").alias("most"), F.round(F.avg(h), 4).alias("mean"))
+    return with_percentiles(legend, c, {"middle": ("heights", 0.5)}, "bin").withColumn("middle", F.round("middle", 4))
 
 
 @query(sql("SELECT label, n, round(median, 4) AS median, quantile, round(fraction, 6) AS fraction FROM labels_", PTS, GRID, CELLS, LABELS))
