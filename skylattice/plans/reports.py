@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_change
 from ..functions.solar import local_day
-from ..operators import compare, reports, scenario, sweep, zonal
+from ..operators import compare, nearest, reports, scenario, sweep, zonal
 from ..sources.scratch import stored
 from .stand_ins import BUILDINGS, CELL_M, CELLS, CHANGES, GRID, HALVES, LABELS, LAT, LON, PTS, WEATHER, buildings, cells, changes, halves, points, read, sql, sun_table
 from .stand_ins import weather as weather_rows
@@ -212,6 +212,29 @@ def voids_split(spark, sf):
     return sweep.voids(lattice.select("row", "col", valid.alias("valid"), tiled.alias("tiled")), rows, 120, 4.0, "tiled")
 
 
+_GAPS = 'gaps AS (SELECT "row", col, CASE WHEN NOT nodata AND NOT ("row" BETWEEN 10 AND 40 AND col BETWEEN 15 AND 95) THEN heights::DOUBLE END AS v FROM cells)'
+_SCAN = "row_number() OVER (PARTITION BY a.\"row\", a.col ORDER BY (a.\"row\" - b.\"row\") * (a.\"row\" - b.\"row\") + (a.col - b.col) * (a.col - b.col), b.\"row\", b.col) AS k"
+
+
+@query(sql(f"""SELECT "row", col, v, round(distance, 9) AS distance FROM (SELECT "row", col, v, 0.0::DOUBLE AS distance FROM gaps WHERE v IS NOT NULL UNION ALL
+  SELECT "row", col, v, distance FROM (SELECT a."row", a.col, b.v, sqrt((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col)) AS distance, {_SCAN} FROM gaps a, gaps b WHERE a.v IS NULL AND b.v IS NOT NULL) WHERE k = 1)""", PTS, GRID, CELLS, _GAPS))
+def nearest_value_anywhere(spark, sf):
+    """Cells without a value take the nearest one's; a gap is wider than any block."""
+    hole = F.col("row").between(10, 40) & F.col("col").between(15, 95)
+    c = stored(cells(spark, sf).select("row", "col", F.when(~F.col("nodata") & ~hole, F.col("heights").cast("double")).alias("v")), "gaps")
+    return rounded(nearest.filled(c, "v", size=16), 9, "distance")
+
+
+@query(sql(f"""SELECT id, "row", col, open_row, open_col FROM (SELECT a.id, a."row", a.col, b."row" AS open_row, b.col AS open_col, {_SCAN.replace('a."row", a.col ORDER', 'a.id ORDER')}
+  FROM (SELECT c_custkey AS id, (c_custkey * 7 % 61)::INT AS "row", (c_custkey * 13 % 119)::INT AS col FROM customer) a, (SELECT * FROM cells WHERE label = 0 AND NOT water AND park) b) WHERE k = 1""", PTS, GRID, CELLS))
+def probes_to_open_ground(spark, sf):
+    """Probes, one a customer, that stand in a building or in water go to the nearest open cell of the park."""
+    k = F.col("c_custkey")
+    probes = read(spark, sf, "customer").select(k.alias("id"), (k * 7 % 61).cast("int").alias("row"), (k * 13 % 119).cast("int").alias("col"))
+    ground = stored(cells(spark, sf).withColumn("open", (F.col("label") == 0) & ~F.col("water") & F.col("park")).select("row", "col", "open"), "open")
+    return nearest.moved_to_open(probes, ground, "open").select("id", "row", "col", "open_row", "open_col")
+
+
 _GROUND = """lat AS (SELECT r::INT AS "row", q::INT AS col, ((r * 37 + q * 53 + r * q) % 97)::DOUBLE AS surface FROM generate_series(0, 59) a(r), (SELECT DISTINCT n_nationkey AS q FROM nation)),
  coarse AS (SELECT "row" // 5 AS r, col // 5 AS c, min(surface) AS least FROM lat GROUP BY ALL),
  smooth AS (SELECT a.r, a.c, avg(b.least) AS g FROM coarse a, generate_series(-1, 1) x(dr), generate_series(-1, 1) y(dc), coarse b WHERE b.r = least(11, greatest(0, a.r + dr)) AND b.c = least(4, greatest(0, a.c + dc)) GROUP BY ALL),
