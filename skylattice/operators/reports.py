@@ -193,11 +193,13 @@ def first_in(df: DataFrame, keys: list[str], order: list[Column], most: int) ->
 def banded_heat(changes: DataFrame, distance: Column, bands: dict[str, tuple[float, float]], thresholds: tuple[int, ...], cell_ha: float) -> DataFrame:
     """Per band of distance, [from, to): area that reaches each threshold at any hour, area-hours, and the mean change.  Bands may overlap.
 
-    ``changes`` has row, col, hour, du.
+    ``changes`` has row, col, hour, du, and may say in ``colder`` which hours moved to a colder category: their area-hours come, too.
     """
+    colder = "colder" in changes.columns
     named = F.filter(F.array(*[F.when((distance >= lo) & (distance < hi), F.lit(name)) for name, (lo, hi) in bands.items()]), lambda b: b.isNotNull())
-    cells = changes.withColumn("band", F.explode(named)).groupBy("band", "row", "col").agg(F.sum("du").alias("s"), F.count("du").alias("k"), F.min("du").alias("worst"), *[F.count_if(F.col("du") <= t).alias(f"h{-t}") for t in thresholds])
+    cells = changes.withColumn("band", F.explode(named)).groupBy("band", "row", "col").agg(F.sum("du").alias("s"), F.count("du").alias("k"), F.min("du").alias("worst"), *[F.count_if(F.col("du") <= t).alias(f"h{-t}") for t in thresholds], *([F.count_if("colder").alias("hc")] if colder else []))
     totals = [x for t in thresholds for x in ((F.count_if(F.col("worst") <= t) * cell_ha).alias(f"any_{-t}_ha"), (F.sum(f"h{-t}") * cell_ha).alias(f"hours_{-t}_ha"))]
+    totals += [(F.sum("hc") * cell_ha).alias("hours_colder_ha")] if colder else []
     return cells.groupBy("band").agg(F.count("*").alias("cells"), (F.sum("s") / F.sum("k")).alias("mean"), *totals)
 
 

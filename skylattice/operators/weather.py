@@ -42,12 +42,26 @@ def crossings(days: DataFrame, lat: float, lon: float, offset_h: float = -5.0, m
     return turned.groupBy("day").agg(F.min(F.when(up, F.col("minute"))).alias("sunrise"), F.max(F.when(down, F.col("minute"))).alias("sunset"))
 
 
-def clearest_day(measured: DataFrame, lat: float, lon: float, offset_h: float = -5.0) -> DataFrame:
-    """Ranked days of ``measured`` (day, unix_s, hour 1-24, ghi): ratio of measured to clear-sky energy, rounded before ranking."""
+def clearness(measured: DataFrame, lat: float, lon: float, offset_h: float = -5.0) -> DataFrame:
+    """(day, measured, clear, ratio) of ``measured`` (day, unix_s, hour 1-24, ghi): measured and clear-sky energy, and their ratio to four digits."""
     sun = with_sun(measured, f"unix_s + (hour - 0.5) * 3600 - ({offset_h}) * 3600", lat, lon).withColumn("clear", haurwitz(F.col("altitude")))
     daily = sun.where("clear > 0").groupBy("day").agg(F.sum(F.coalesce("ghi", F.lit(0.0))).alias("measured"), F.sum("clear").alias("clear"))
-    ratio = F.bround(F.try_divide("measured", "clear"), 4)
-    return daily.withColumn("ratio", ratio).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ratio"), "day")))
+    return daily.withColumn("ratio", F.bround(F.try_divide("measured", "clear"), 4))
+
+
+def clearest_day(measured: DataFrame, lat: float, lon: float, offset_h: float = -5.0) -> DataFrame:
+    """Ranked days of ``measured``, the clearest first; a day is one row, so the ranking is small."""
+    return clearness(measured, lat, lon, offset_h).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ratio"), "day")))
+
+
+def chosen_days(measured: DataFrame, targets: DataFrame, lat: float, lon: float, offset_h: float = -5.0, reach: int = 12, top: int = 6) -> DataFrame:
+    """(target, day, offset, ratio, rank): of the days at most ``reach`` from each ``target`` the ``top`` clearest; the first is the chosen one.
+
+    Equal ratios go to the earlier day.  Days without weather are no candidates.
+    """
+    near = targets.select("target", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")).withColumn("day", F.expr("date_add(target, offset)"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("ratio"), "offset"))
+    return near.join(clearness(measured, lat, lon, offset_h).select("day", "ratio"), "day").withColumn("rank", place).where(F.col("rank") <= top)
 
 
 def solver_records(weather: DataFrame) -> DataFrame:

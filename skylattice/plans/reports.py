@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percent_change
+from ..functions.scalars import percent_change, stress_category
 from ..functions.solar import local_day
 from ..operators import compare, nearest, reports, scenario, sweep, zonal
 from ..sources.scratch import stored
@@ -287,14 +287,17 @@ def walls_of_grown_labels(spark, sf):
     return reports.kept_walls(facade.wall_cells(c.withColumn("built", F.col("label") > 0)), grown).select("row", "col")
 
 
+_CATEGORY = "(" + " + ".join("({v} >= " + f"{e})::INT" for e in (-40, -27, -13, 0, 9, 26, 32, 38, 46)) + ")"
 _BANDS = {"south300": (0.0, 300.0), "south800": (0.0, 800.0), "rest": (800.0, 1e9)}
 
 
-@query(sql(f"""SELECT band, count(*) AS cells, round(sum(s) / sum(k), 6) AS mean, round(count(*) FILTER (worst <= -2) * {HA}::DOUBLE, 6) AS any_2_ha, round(sum(h2) * {HA}::DOUBLE, 6) AS hours_2_ha, round(count(*) FILTER (worst <= -5) * {HA}::DOUBLE, 6) AS any_5_ha, round(sum(h5) * {HA}::DOUBLE, 6) AS hours_5_ha FROM (
-  SELECT band, "row", col, sum(du) AS s, count(*) AS k, min(du) AS worst, count(*) FILTER (du <= -2) AS h2, count(*) FILTER (du <= -5) AS h5 FROM changes, (VALUES ('south300', 0, 300), ('south800', 0, 800), ('rest', 800, 1000000000)) b(band, lo, hi) WHERE col * 20 >= lo AND col * 20 < hi GROUP BY ALL) GROUP BY band""", PTS, CHANGES))
+@query(sql(f"""SELECT band, count(*) AS cells, round(sum(s) / sum(k), 6) AS mean, round(count(*) FILTER (worst <= -2) * {HA}::DOUBLE, 6) AS any_2_ha, round(sum(h2) * {HA}::DOUBLE, 6) AS hours_2_ha, round(count(*) FILTER (worst <= -5) * {HA}::DOUBLE, 6) AS any_5_ha, round(sum(h5) * {HA}::DOUBLE, 6) AS hours_5_ha, round(sum(hc) * {HA}::DOUBLE, 6) AS hours_colder_ha FROM (
+  SELECT band, "row", col, sum(du) AS s, count(*) AS k, min(du) AS worst, count(*) FILTER (du <= -2) AS h2, count(*) FILTER (du <= -5) AS h5, count(*) FILTER ({_CATEGORY.format(v='felt')} < {_CATEGORY.format(v='(felt - du)')}) AS hc FROM changes, (VALUES ('south300', 0, 300), ('south800', 0, 800), ('rest', 800, 1000000000)) b(band, lo, hi) WHERE col * 20 >= lo AND col * 20 < hi GROUP BY ALL) GROUP BY band""", PTS, CHANGES))
 def banded_heat(spark, sf):
-    out = reports.banded_heat(changes(spark, sf), F.col("col") * CELL_M, _BANDS, (-2, -5), HA)
-    return rounded(out, 6, "mean", "any_2_ha", "hours_2_ha", "any_5_ha", "hours_5_ha")
+    ch = changes(spark, sf)
+    ch = ch.withColumn("colder", stress_category(F.col("felt")) < stress_category(F.col("felt") - F.col("du")))
+    out = reports.banded_heat(ch, F.col("col") * CELL_M, _BANDS, (-2, -5), HA)
+    return rounded(out, 6, "mean", "any_2_ha", "hours_2_ha", "any_5_ha", "hours_5_ha", "hours_colder_ha")
 
 
 @query(sql('SELECT c."row", c.col, EXISTS (SELECT 1 FROM supplier WHERE c.col * 20 BETWEEN s_suppkey % 41 * 50 AND s_suppkey % 41 * 50 + 90 + s_suppkey % 3 * 40 AND c."row" * 20 BETWEEN s_suppkey % 23 * 80 AND s_suppkey % 23 * 80 + 110) AS in_tiles FROM cells c', PTS, GRID, CELLS))

@@ -16,7 +16,6 @@ from .stand_ins import BUILDINGS, CELL_M, CELLS, COLS, GRID, LABELS, LAT, LON, P
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 HA = CELL_M * CELL_M / 10_000
-SUN_DAYS = {"dec": (531, 893), "mar": (456, 989), "may": (387, 1038), "jun": (357, 1081)}
 BINS = [0.0, 10.0, 50.0, 100.0, 200.0, 400.0]
 TURNED = Grid(100.0, 5000.0, 2.0, 1500, 800, unit_m=0.3048, bearing=28.9)
 
@@ -155,17 +154,16 @@ def clear_sky_irradiance(spark, sf):
     return s.select("o_orderdate", F.round(clear_sky_dni(a), 4).alias("dni"), F.round(haurwitz(a), 4).alias("ghi"), F.round(v["east"], 6).alias("east"), F.round(v["up"], 6).alias("up"))
 
 
-def _frames(spark):
-    days = spark.createDataFrame([(k, s, e, {"dec": 1797811200, "mar": 1774051200, "may": 1778025600, "jun": 1782000000}[k]) for k, (s, e) in SUN_DAYS.items()], "day string, start int, end int, unix_s long")
-    return with_sun(frames(days, "start", "end"), "unix_s + minute * 60 + 18000.0", LAT, LON).select("day", "minute", "altitude", "azimuth").where("altitude > 0")
+_FRAMES_SQL = """(SELECT o_orderdate, unnest(generate_series((ceil((340 + k % 190) / 30.0) * 30)::INT, (900 + k % 180)::INT, 30))::INT AS minute, unix_s FROM (SELECT DISTINCT o_orderdate, dayofyear(o_orderdate) AS k, epoch_us(o_orderdate) / 1000000.0 AS unix_s FROM orders))"""
 
 
-_FRAMES_SQL = "(SELECT day, (unnest(generate_series((ceil(s / 30.0) * 30)::INT, e, 30)))::INT AS minute, unix_s FROM (VALUES ('dec', 531, 893, 1797811200), ('mar', 456, 989, 1774051200), ('may', 387, 1038, 1778025600), ('jun', 357, 1081, 1782000000)) t(day, s, e, unix_s))"
-
-
-@query(sun_sql(_FRAMES_SQL, "unix_s + minute * 60 + 18000.0", "day, minute, round(altitude, 6) AS altitude, round(azimuth, 6) AS azimuth", "WHERE altitude > 0"))
+@query(sun_sql(_FRAMES_SQL, "unix_s + minute * 60 + 18000.0", "o_orderdate, minute, round(altitude, 4) AS altitude, round(azimuth, 4) AS azimuth", "WHERE altitude > 0"))
 def sun_frames(spark, sf):
-    return _frames(spark).select("day", "minute", F.round("altitude", 6).alias("altitude"), F.round("azimuth", 6).alias("azimuth"))
+    """Half-hour frames of each order's date, from and to a minute that follows from the day of the year."""
+    k = F.dayofyear("o_orderdate")
+    days = _dated(spark, sf).select("o_orderdate", (F.col("unix_s") - 61200.0).alias("unix_s"), (340 + k % 190).alias("start"), (900 + k % 180).alias("end"))
+    up = with_sun(frames(days, "start", "end"), "unix_s + minute * 60 + 18000.0", LAT, LON).where("altitude > 0")
+    return up.select("o_orderdate", "minute", F.round("altitude", 4).alias("altitude"), F.round("azimuth", 4).alias("azimuth"))
 
 
 @query(

@@ -42,9 +42,21 @@ _CLEAR = f"clear AS (SELECT *, CASE WHEN sin(radians(altitude)) > 0 THEN 1098 *
 
 @query(sql("SELECT day::VARCHAR AS day, ratio, row_number() OVER (ORDER BY ratio DESC, day)::INT AS rank, round(m, 6) AS measured, round(c, 6) AS clear FROM (SELECT day, sum(coalesce(ghi, 0)) AS m, sum(cs) AS c, round_even(sum(coalesce(ghi, 0)) / sum(cs), 4) AS ratio FROM clear WHERE cs > 0 GROUP BY day)", PTS, WEATHER, _CLEAR))
 def clearest_day(spark, sf):
+    """All days by their clearness."""
     return weather.clearest_day(weather_rows(spark, sf), LAT, LON).select(F.col("day").cast("string").alias("day"), "ratio", "rank", F.round("measured", 6).alias("measured"), F.round("clear", 6).alias("clear"))
 
 
+@query(sql("""SELECT target::VARCHAR AS target, day::VARCHAR AS day, place AS "offset", ratio, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ratio DESC, place) AS rank FROM (
+  SELECT t.day AS target, d.day, (d.day - t.day)::INT AS place, d.ratio FROM (SELECT DISTINCT day FROM weather WHERE dayofyear(day) % 9 = 0) t JOIN ratios d ON abs(d.day - t.day) <= 12)) WHERE rank <= 6""",
+  PTS, WEATHER, _CLEAR, "ratios AS (SELECT day, round_even(sum(coalesce(ghi, 0)) / sum(cs), 4) AS ratio FROM clear WHERE cs > 0 GROUP BY day)"))
+def chosen_days(spark, sf):
+    """The six clearest of the 25 days around every ninth day of the year; rank 1 is the chosen one."""
+    w = weather_rows(spark, sf)
+    targets = w.select(F.col("day").alias("target")).where("dayofyear(target) % 9 = 0").distinct()
+    out = weather.chosen_days(w, targets, LAT, LON)
+    return out.select(F.col("target").cast("string").alias("target"), F.col("day").cast("string").alias("day"), "offset", "ratio", "rank")
+
+
 @query(
     sql(
         """SELECT s.day::VARCHAR AS day, s.ts, w.hour AS hour, round(w.ghi, 4) AS ghi, greatest(round(w.ws, 4), 0.5::DOUBLE) AS ws FROM (
