@@ -106,16 +106,22 @@ def fit_guard(features: DataFrame, selected: bool, most_degrees: float = 0.1) ->
 
 
 def named_near(points: DataFrame, names: DataFrame, dx: float = 5e-4, dy: float = 4e-4) -> DataFrame:
-    """``points`` (id, x, y) with the first of ``names`` (name, nx, ny, place) less than dx and dy away, null without one.
+    """A row (id, name) for each of ``points`` (id, x, y): the first of ``names`` (name, nx, ny, place) less than dx and dy away, null without one.
 
-    Both are cut into squares of dx by dy; a point meets the names of the nine squares around it by an equi-join.
+    Points at one place have one answer, and of names at one place only the first
+    can be it, so places meet places.  Both are cut into squares of dx by dy; a
+    place meets the names of the nine squares around it by an equi-join.  Names
+    of equal ``place`` go by name; without a place a name is never the first.
     """
     key = lambda c, d: F.floor(c / d).cast("long")
     around = lambda c, d: F.explode(F.sequence(key(c, d) - 1, key(c, d) + 1))
-    spread = points.select("id", "x", "y", around(F.col("x"), dx).alias("kx")).select("id", "x", "y", "kx", around(F.col("y"), dy).alias("ky"))
-    met = spread.join(names.select("name", "nx", "ny", "place", key(F.col("nx"), dx).alias("kx"), key(F.col("ny"), dy).alias("ky")), ["kx", "ky"])
+    places = points.select("x", "y").distinct()
+    firsts = names.where("place is not null").groupBy("nx", "ny").agg(F.min(F.struct("place", "name")).alias("first"))
+    spread = places.select("x", "y", around(F.col("x"), dx).alias("kx")).select("x", "y", "kx", around(F.col("y"), dy).alias("ky"))
+    met = spread.join(firsts.select("nx", "ny", "first", key(F.col("nx"), dx).alias("kx"), key(F.col("ny"), dy).alias("ky")), ["kx", "ky"])
     close = met.where((F.abs(F.col("x") - F.col("nx")) < dx) & (F.abs(F.col("y") - F.col("ny")) < dy))
-    return points.select("id").join(close.groupBy("id").agg(F.min_by("name", "place").alias("name")), "id", "left")
+    found = close.groupBy("x", "y").agg(F.min("first").alias("first"))
+    return points.select("id", "x", "y").join(found, ["x", "y"], "left").select("id", F.col("first.name").alias("name"))
 
 
 def report_steps(days: DataFrame, times: list[str]) -> DataFrame:

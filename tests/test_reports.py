@@ -157,3 +157,29 @@ def test_a_tile_without_a_return_is_listed(spark):
     points = spark.createDataFrame([("a", 0.5, 9.5), ("a", 9.5, 0.5), ("a", 0.4, 9.9)], "name string, x double, y double")
     got = {r["name"]: tuple(r)[1:] for r in reports.tile_occupancy(points, tiles, 1.0).collect()}
     assert got == {"a": (0.02, 1.0, 0.0, 0.0, 1.0), "b": (0.0,) * 5, "c": (None,) * 5}
+
+
+def most_rows(df) -> int:
+    """The most rows that a node of the plan put out, once ``df`` has been collected."""
+    def of(node) -> int:
+        inner = [getattr(node, f)() for kind, f in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if kind in node.getClass().getSimpleName()]
+        metric = node.metrics().get("numOutputRows")
+        below = node.children()
+        return max([metric.get().value() if metric.isDefined() else 0, *map(of, inner), *[of(below.apply(i)) for i in range(below.size())]])
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_copies_of_points_and_names_do_not_multiply(spark):
+    rnd = random.Random(7)
+    spots = [(rnd.randrange(40) * 1e-4, rnd.randrange(40) * 1e-4) for _ in range(6)]
+    points = [(i, *spots[i % 6]) for i in range(300)] + [(300, None, 1e-3), (301, 9.0, 9.0)]
+    names = [(f"n{i}", *spots[i % 3], (i * 37) % 300) for i in range(300)] + [("nowhere", None, None, -1), ("no place", *spots[0], None)]
+    df = reports.named_near(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(names, "name string, nx double, ny double, place long"))
+    got = {r["id"]: r["name"] for r in df.collect()}
+    want = {}
+    for i, x, y in points:
+        met = [(p, n) for n, nx, ny, p in names if None not in (x, y, nx, ny, p) and abs(x - nx) < 5e-4 and abs(y - ny) < 4e-4]
+        want[i] = min(met)[1] if met else None
+    assert got == want and len(set(want.values())) > 2
+    assert most_rows(df) <= 302
