@@ -20,8 +20,10 @@ MAX_STEPS = 4000
 
 
 def ray_steps(relief: float, cell: float, altitude: float, reach: float | None = None) -> int:
+    """Steps of a ray until it has climbed ``relief`` or gone as far as ``reach``; all there may be where the relief is no finite number."""
     far = relief / max(math.tan(math.radians(altitude)), 1e-6)
-    return max(1, min(math.ceil((min(far, reach) if reach is not None else far) / cell) + 1, MAX_STEPS))
+    far = min(far if math.isfinite(far) else math.inf, math.inf if reach is None else reach, MAX_STEPS * cell)
+    return max(1, min(math.ceil(far / cell) + 1, MAX_STEPS))
 
 
 def ray_offsets(suns: DataFrame) -> DataFrame:

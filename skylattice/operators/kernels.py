@@ -12,13 +12,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .small import small
 
 
 Halo = tuple[int, int, int, int]
 #: Blocks are at least this many times as wide as their halo, and as wide as these bounds allow.
 WIDTHS, LEAST_SIZE, MOST_SIZE = 2, 64, 512
+ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "float": pa.float32(), "double": pa.float64()}
 
 
 def block_size(halo: Halo) -> int:
@@ -27,32 +32,57 @@ def block_size(halo: Halo) -> int:
     return min(MOST_SIZE, max(LEAST_SIZE, 1 << max(0, (wide - 1).bit_length())))
 
 
-def blocks(cells: DataFrame, value: str, size: int | None, halo: int | Halo, kernel: Callable[[np.ndarray, int, int, int], np.ndarray], out: str = "value", kind: str = "float") -> DataFrame:
+def blocks(cells: DataFrame, value: str, size: int | None, halo: int | Halo, kernel: Callable[..., np.ndarray], out: str = "value", kind: str = "float", rays: bool = False) -> DataFrame:
     """(row, col, ``out``): ``kernel(array, r, c, size)`` of each block with its halo; NaN where there is no cell.
 
     ``halo`` is how far a kernel looks to smaller and larger rows and columns;
     cells travel to a neighbour block only if it looks at them.  (r, c) is where the
-    block's own cells begin in the array.  Without ``size`` the halo sets it.
+    block's own cells begin in the array.  Without ``size`` the halo sets it.  A
+    kernel of ``rays`` asks what stands around a cell: cells without a row or column
+    come back as cells with nothing around them, and a fifth argument says where
+    values are no numbers (None if they all are), which is not where none are.
     """
     up, down, left, right = (halo,) * 4 if isinstance(halo, int) else halo
     size = size or block_size((up, down, left, right))
     own = cells.select("row", "col", F.col(value).cast("float").alias("z"))
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
     # The blocks that hold a cell or look at it.
-    span = lambda c, before, after: F.explode(F.sequence(F.floor((F.col(c) - before) / size).cast("int"), F.floor((F.col(c) + after) / size).cast("int")))
-    sent = own.withColumn("brow", span("row", down, up)).withColumn("bcol", span("col", right, left))
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(part["brow"].iloc[0]) * size - up, int(part["bcol"].iloc[0]) * size - left
+    span = lambda c, before, after: F.sequence(F.floor((F.col(c) - before) / size).cast("int"), F.floor((F.col(c) + after) / size).cast("int"))
+    brow, bcol = F.when(placed, span("row", down, up)), F.when(placed, span("col", right, left))
+    if rays:
+        sent = own.withColumn("brow", F.explode_outer(brow)).withColumn("bcol", F.explode(F.when(placed, bcol).otherwise(F.array(F.pmod(F.hash("row", "col"), F.lit(64))))))
+    else:
+        sent = own.withColumn("brow", F.explode(brow)).withColumn("bcol", F.explode(bcol))
+
+    item = ARROW[kind.removeprefix("array<").removesuffix(">")]
+
+    def answer(row, col, got: np.ndarray) -> pa.Table:
+        found = pa.array(got.ravel(), item)
+        if kind.startswith("array"):
+            found = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * got.shape[1], pa.int32()), found)
+        return pa.table({"row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), out: found})
+
+    def work(part: pa.Table) -> pa.Table:
+        z = np.full((size + up + down, size + left + right), np.nan, np.float32)
+        extra = (None,) if rays else ()
+        if part["brow"][0].as_py() is None:
+            one = kernel(z[: 1 + up + down, : 1 + left + right], up, left, 1, *extra)[0, 0]
+            return answer(part["row"].to_pylist(), part["col"].to_pylist(), np.array([one] * part.num_rows))
+        r0, c0 = part["brow"][0].as_py() * size - up, part["bcol"][0].as_py() * size - left
         rows, cols = part["row"].to_numpy() - r0, part["col"].to_numpy() - c0
         mine = (rows >= up) & (rows < up + size) & (cols >= left) & (cols < left + size)
         if not mine.any():
-            return pd.DataFrame({"row": [], "col": [], out: []})
-        z = np.full((size + up + down, size + left + right), np.nan, np.float32)
-        z[rows, cols] = part["z"].to_numpy()
-        got = kernel(z, up, left, size)
-        return pd.DataFrame({"row": rows[mine] + r0, "col": cols[mine] + c0, out: got[rows[mine] - up, cols[mine] - left]})
+            return pa.table({"row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), out: pa.array([], pa.list_(item) if kind.startswith("array") else item)})
+        z[rows, cols] = values = part["z"].to_numpy()
+        strange = np.isnan(values) & part["z"].is_valid().to_numpy()
+        if rays and strange.any():
+            nans = np.zeros(z.shape, bool)
+            nans[rows, cols] = strange
+            extra = (nans,)
+        got = kernel(z, up, left, size, *extra)
+        return answer(rows[mine] + r0, cols[mine] + c0, got[rows[mine] - up, cols[mine] - left])
 
-    return sent.groupBy("brow", "bcol").applyInPandas(work, f"row int, col int, {out} {kind}")
+    return sent.groupBy("brow", "bcol").applyInArrow(work, f"row int, col int, {out} {kind}")
 
 
 def offsets(azimuth: float, steps: int) -> list[tuple[int, int, float]]:
@@ -69,12 +99,16 @@ def halo_of(rays: list[tuple[int, int, float]]) -> Halo:
     return max(0, -min(rows)), max(0, max(rows)), max(0, -min(cols)), max(0, max(cols))
 
 
-def lit_block(z: np.ndarray, up: int, left: int, size: int, rays: list[tuple[int, int, float]], cell: float, tan: float) -> np.ndarray:
+def lit_block(z: np.ndarray, up: int, left: int, size: int, rays: list[tuple[int, int, float]], cell: float, tan: float, nans: np.ndarray | None = None) -> np.ndarray:
+    """Which cells no other stands above along the ray; what is no number stands above all numbers, as in SQL."""
     own = z[up : up + size, left : left + size]
     dark = np.zeros(own.shape, bool)
     for r, c, d in rays:
         ahead = z[up + r : up + r + size, left + c : left + c + size]
-        dark |= ahead > own + np.float32(d * cell * tan)
+        ray = own + np.float32(d * cell * tan)
+        dark |= ahead > ray
+        if nans is not None:
+            dark |= nans[up + r : up + r + size, left + c : left + c + size] & (ray == ray)
     return ~dark
 
 
@@ -88,7 +122,7 @@ def shadows_blocked(cells: DataFrame, altitude: float, azimuth: float, cell_m: f
         relief = relief_of(cells, value)
     rays = offsets(azimuth, ray_steps(relief, cell_m, altitude))
     tan = math.tan(math.radians(altitude))
-    return blocks(cells, value, size, halo_of(rays), lambda z, r, c, n: lit_block(z, r, c, n, rays, cell_m, tan), "lit", "boolean")
+    return blocks(cells, value, size, halo_of(rays), lambda z, r, c, n, nans: lit_block(z, r, c, n, rays, cell_m, tan, nans), "lit", "boolean", rays=True)
 
 
 def relief_of(cells: DataFrame, value: str = "surface") -> float:
@@ -96,21 +130,44 @@ def relief_of(cells: DataFrame, value: str = "surface") -> float:
     return float((ends["most"] or 0) - (ends["least"] or 0))
 
 
-def sun_counts(cells: DataFrame, suns: list[tuple[float, float]], cell_m: float, value: str = "surface", size: int | None = None) -> DataFrame:
-    """(row, col, lit_steps): how many of ``suns`` (altitude, azimuth) reach each cell.  One shuffle for all of them."""
+def _looks(cells: DataFrame, suns: list[tuple[float, float]], cell_m: float, value: str) -> tuple[list, Halo]:
+    """Rays and slope of each of ``suns`` (altitude, azimuth) over the relief of ``cells``, None for those that are not up, and their common halo."""
     from .focal import ray_steps
 
     relief = relief_of(cells, value)
-    looks = [(offsets(azimuth, ray_steps(relief, cell_m, altitude)), math.tan(math.radians(altitude))) for altitude, azimuth in suns if altitude > 0]
-    halo = halo_of([ray for rays, _ in looks for ray in rays])
+    looks = [(offsets(azimuth, ray_steps(relief, cell_m, altitude)), math.tan(math.radians(altitude))) if altitude is not None and altitude > 0 else None for altitude, azimuth in suns]
+    return looks, halo_of([ray for look in looks if look for ray in look[0]])
+
+
+def sun_counts(cells: DataFrame, suns: list[tuple[float, float]], cell_m: float, value: str = "surface", size: int | None = None) -> DataFrame:
+    """(row, col, lit_steps): how many of ``suns`` (altitude, azimuth) reach each cell.  One shuffle for all of them."""
+    looks, halo = _looks(cells, suns, cell_m, value)
 
-    def kernel(z: np.ndarray, r: int, c: int, n: int) -> np.ndarray:
+    def kernel(z: np.ndarray, r: int, c: int, n: int, nans: np.ndarray | None) -> np.ndarray:
         total = np.zeros((n, n), np.int32)
-        for rays, tan in looks:
-            total += lit_block(z, r, c, n, rays, cell_m, tan)
+        for rays, tan in filter(None, looks):
+            total += lit_block(z, r, c, n, rays, cell_m, tan, nans)
         return total
 
-    return blocks(cells, value, size, halo, kernel, "lit_steps", "int")
+    return blocks(cells, value, size, halo, kernel, "lit_steps", "int", rays=True)
+
+
+def shadows(cells: DataFrame, suns: DataFrame, cell_m: float, value: str = "surface", size: int | None = None) -> DataFrame:
+    """(sun keys, row, col, lit) of ``cells`` for ``suns`` (altitude, azimuth, ...): the block form of ``focal.shadows``.
+
+    One shuffle for all suns, which are a handful of rows.
+    """
+    some = small(suns).collect()
+    if not some:
+        return suns.join(cells.select("row", "col", F.lit(None).cast("boolean").alias("lit")))
+    looks, halo = _looks(cells, [(x["altitude"], x["azimuth"]) for x in some], cell_m, value)
+
+    def kernel(z: np.ndarray, r: int, c: int, n: int, nans: np.ndarray | None) -> np.ndarray:
+        return np.stack([lit_block(z, r, c, n, look[0], cell_m, look[1], nans) if look else np.ones((n, n), bool) for look in looks], axis=-1)
+
+    reached = blocks(cells, value, size, halo, kernel, "reached", "array<boolean>", rays=True).select("row", "col", F.posexplode("reached").alias("_sun", "_lit"))
+    numbered = suns.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(some)], T.StructType([T.StructField("_sun", T.IntegerType()), *suns.schema]))
+    return reached.join(F.broadcast(numbered), "_sun").select(*suns.columns, "row", "col", ((F.col("altitude") > 0) & F.col("_lit")).alias("lit"))
 
 
 def sky_view_blocked(cells: DataFrame, cell_m: float, reach_m: float, azimuths: int = 16, value: str = "surface", size: int | None = None) -> DataFrame:
@@ -118,18 +175,23 @@ def sky_view_blocked(cells: DataFrame, cell_m: float, reach_m: float, azimuths:
     steps = max(1, math.ceil(reach_m / cell_m))
     rays = [offsets(k * 360.0 / azimuths, steps) for k in range(azimuths)]
 
-    def kernel(z: np.ndarray, up: int, left: int, size: int) -> np.ndarray:
-        own = z[up : up + size, left : left + size].astype(np.float64)
+    def kernel(z: np.ndarray, up: int, left: int, size: int, nans: np.ndarray | None) -> np.ndarray:
+        view = lambda of, r=0, c=0: of[up + r : up + r + size, left + c : left + c + size]
+        own = view(z).astype(np.float64)
+        known = None if nans is None else ~np.isnan(z) | nans
         total = np.zeros(own.shape)
         for direction in rays:
             steep = np.zeros(own.shape)
             for r, c, d in direction:
-                ahead = z[up + r : up + r + size, left + c : left + c + size]
-                steep = np.fmax(steep, (ahead - own) / (d * cell_m))
+                rise = (view(z, r, c) - own) / (d * cell_m)
+                if known is None:
+                    steep = np.fmax(steep, rise)
+                else:  # what is no number makes the horizon none, as in SQL
+                    steep = np.where(view(known, r, c) & view(known), np.maximum(steep, rise), steep)
             total += 1 / (1 + steep * steep)
         return total / len(rays)
 
-    return blocks(cells, value, size, halo_of([ray for d in rays for ray in d]), kernel, "svf", "double")
+    return blocks(cells, value, size, halo_of([ray for d in rays for ray in d]), kernel, "svf", "double", rays=True)
 
 
 def squared_distance(valid: np.ndarray, reach: int) -> np.ndarray:

@@ -216,7 +216,7 @@ _VIEW = f"""offs AS (SELECT DISTINCT k, drow, dcol, sqrt(drow * drow + dcol * dc
 
 @query(sql('SELECT c."row", c.col, round((coalesce(s, 0) + 16 - coalesce(k, 0)) / 16, 5) AS svf FROM cells c LEFT JOIN seen e ON c."row" = e."row" AND c.col = e.col', PTS, GRID, CELLS, _VIEW))
 def sky_view_factor(spark, sf):
-    v = focal.sky_view(cells(spark, sf), spark, CELL_M, 100.0)
+    v = kernels.sky_view_blocked(cells(spark, sf), CELL_M, 100.0)
     return v.select("row", "col", F.round("svf", 5).alias("svf"))
 
 

@@ -4,11 +4,13 @@ import math
 import random
 
 import pytest
+from measures import most_rows
 from pyspark.sql import functions as F
 
 from skylattice.functions.solar import with_sun
 from skylattice.operators import facade, focal, kernels
 from skylattice.operators.grid import Grid, around, square
+from skylattice.plans import catalogue
 from skylattice.sources.readers import synthetic_city
 
 
@@ -174,3 +176,33 @@ def test_declination_peak_and_azimuth(spark, lat, day, declination, within):
     assert abs(peak["altitude"] - (90 - abs(lat - peak["declination"]))) <= 0.35
     if abs(lat - declination) > 5:
         assert abs((peak["azimuth"] - (180 if lat > declination else 0) + 180) % 360 - 180) <= 1
+
+
+ODD = [float("nan"), float("inf"), float("-inf"), None]
+
+
+def odd_cells(spark):
+    """A lattice with values that are no numbers, values that are missing, and cells without a row or column."""
+    rnd = random.Random(11)
+    rows = [(r, c, rnd.choice(ODD) if rnd.random() < 0.02 else rnd.uniform(0, 90)) for r in range(30) for c in range(40) if rnd.random() < 0.9]
+    rows += [(None, 3, 5.0), (4, None, float("nan")), (None, None, None)]
+    return spark.createDataFrame(rows, "row int, col int, surface float")
+
+
+def same(a, b) -> bool:
+    return a == b or a != a and b != b or None not in (a, b) and abs(a - b) < 1e-9
+
+
+def test_sky_view_of_odd_cells(spark):
+    cells = odd_cells(spark)
+    join = {(r["row"], r["col"]): r["svf"] for r in focal.sky_view(cells, spark, 2.0, 10.0).collect()}
+    for size in (9, None):
+        got = {(r["row"], r["col"]): r["svf"] for r in kernels.sky_view_blocked(cells, 2.0, 10.0, size=size).collect()}
+        assert got.keys() == join.keys() and all(same(got[k], v) for k, v in join.items())
+    assert any(v != v for v in join.values()) and join[None, 3] == 1.0
+
+
+def test_sky_view_query_sends_a_cell_to_few_blocks(spark, sf):
+    df = catalogue.QUERIES["sky_view_factor"](spark, sf)
+    found = df.collect()
+    assert most_rows(df) <= 5 * len(found)

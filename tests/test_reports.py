@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from measures import most_rows
 from pyspark.sql import functions as F
 
 from skylattice.operators import reports, scenario, sweep
@@ -159,17 +160,6 @@ def test_a_tile_without_a_return_is_listed(spark):
     assert got == {"a": (0.02, 1.0, 0.0, 0.0, 1.0), "b": (0.0,) * 5, "c": (None,) * 5}
 
 
-def most_rows(df) -> int:
-    """The most rows that a node of the plan put out, once ``df`` has been collected."""
-    def of(node) -> int:
-        inner = [getattr(node, f)() for kind, f in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if kind in node.getClass().getSimpleName()]
-        metric = node.metrics().get("numOutputRows")
-        below = node.children()
-        return max([metric.get().value() if metric.isDefined() else 0, *map(of, inner), *[of(below.apply(i)) for i in range(below.size())]])
-
-    return of(df._jdf.queryExecution().executedPlan())
-
-
 def test_copies_of_points_and_names_do_not_multiply(spark):
     rnd = random.Random(7)
     spots = [(rnd.randrange(40) * 1e-4, rnd.randrange(40) * 1e-4) for _ in range(6)]
