@@ -195,7 +195,7 @@ _SHADE = f"""suns(sun, altitude, azimuth) AS (VALUES {", ".join(f"('{n}', {a}::D
 
 @query(sql('SELECT sun, "row", col, lit FROM shade', PTS, GRID, CELLS, _SHADE))
 def shadow_sweep_join(spark, sf):
-    return focal.shadows(cells(spark, sf), _suns(spark), CELL_M).select("sun", "row", "col", "lit")
+    return kernels.shadows(cells(spark, sf), _suns(spark), CELL_M).select("sun", "row", "col", "lit")
 
 
 @query(sql('SELECT sun, "row", col, lit FROM shade WHERE sun = \'noon\'', PTS, GRID, CELLS, _SHADE))

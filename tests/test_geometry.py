@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from measures import most_rows
 from pyspark.sql import functions as F
@@ -206,3 +207,29 @@ def test_sky_view_query_sends_a_cell_to_few_blocks(spark, sf):
     df = catalogue.QUERIES["sky_view_factor"](spark, sf)
     found = df.collect()
     assert most_rows(df) <= 5 * len(found)
+
+
+def test_shadows_of_several_suns_in_blocks(spark):
+    cells = odd_cells(spark).withColumn("surface", F.when(F.abs("surface") < 100, F.col("surface")))
+    suns = spark.createDataFrame([("a", 40.0, 115.0), ("b", 55.0, 245.0), ("night", -4.0, 310.0), ("unknown", None, 10.0)], "sun string, altitude double, azimuth double")
+    join = {tuple(r) for r in focal.shadows(cells, suns, 2.0).collect()}
+    for size in (9, None):
+        df = kernels.shadows(cells, suns, 2.0, size=size)
+        assert df.columns == ["sun", "altitude", "azimuth", "row", "col", "lit"]
+        assert {tuple(r) for r in df.collect()} == join
+    assert kernels.shadows(cells, suns.limit(0), 2.0).count() == 0
+
+
+def test_what_is_no_number_stands_above_all_numbers():
+    z = np.array([[5.0, np.nan, np.inf, np.nan]], np.float32)
+    nans = np.array([[False, True, False, False]])
+    lit = kernels.lit_block(np.pad(z, 4, constant_values=np.nan), 4, 4, 4, [(0, 1, 1.0)], 1.0, 1.0, np.pad(nans, 4))
+    assert lit[0].tolist() == [False, True, True, True]
+    assert focal.ray_steps(float("nan"), 2.0, 40.0) == focal.ray_steps(float("inf"), 2.0, 40.0) == focal.MAX_STEPS
+    assert focal.ray_steps(float("inf"), 2.0, 40.0, reach=10.0) == 6
+
+
+def test_shadow_query_sends_a_cell_to_few_blocks(spark, sf):
+    df = catalogue.QUERIES["shadow_sweep_join"](spark, sf)
+    found = df.collect()
+    assert most_rows(df) <= 2 * len(found)
