@@ -263,30 +263,59 @@ SPEEDS = np.array([(0, 0), (1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (-1, 1), (-
 WEIGHTS = np.array([4 / 9] + [1 / 9] * 4 + [1 / 36] * 4)
 
 
-def flow(solid: np.ndarray, inlet: np.ndarray, steps: int, relaxation: float = 0.8, average_from: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean velocities of lattice-Boltzmann flow through a section: wind enters left, leaves right, walls bounce back."""
+def _equilibrium(rho: np.ndarray, u: np.ndarray, v: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the nine speeds for a density and velocities, into ``out`` if given."""
+    along = np.empty((9, *u.shape))
+    along[0] = 0
+    along[1], along[2], along[5] = u, v, u + v
+    np.subtract(v, u, out=along[6])
+    for k, back in ((3, 1), (4, 2), (7, 5), (8, 6)):
+        np.negative(along[back], out=along[k])
+    out = np.multiply(along, 3, out=out)
+    out += 1
+    along *= along
+    along *= 4.5
+    out += along
+    out -= 1.5 * (u * u + v * v)
+    out *= WEIGHTS[:, None, None] * rho
+    return out
+
+
+def _sources(solid: np.ndarray) -> np.ndarray:
+    """Where each cell's nine parts come from in a step: the cell against the wind, off walls the other way; the last column and row repeat the one before."""
     opposite = [0, 3, 4, 1, 2, 7, 8, 5, 6]
+    at = np.arange(9 * solid.size).reshape(9, *solid.shape)
+    at = np.stack([np.roll(at[k], (SPEEDS[k, 1], SPEEDS[k, 0]), axis=(0, 1)) for k in range(9)])
+    at = np.where(solid, at[opposite], at)
+    at[:, :, -1] = at[:, :, -2]
+    at[:, -1, :] = at[:, -2, :]
+    return at
 
-    def equilibrium(rho: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        along = np.tensordot(SPEEDS[:, 0], u, 0) + np.tensordot(SPEEDS[:, 1], v, 0)
-        return WEIGHTS[:, None, None] * rho * (1 + 3 * along + 4.5 * along**2 - 1.5 * (u * u + v * v))
 
+def flow(solid: np.ndarray, inlet: np.ndarray, steps: int, relaxation: float = 0.8, average_from: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Mean velocities of lattice-Boltzmann flow through a section: wind enters left, leaves right, walls bounce back."""
     u = np.repeat(inlet[:, None], solid.shape[1], axis=1) * ~solid
     v = np.zeros_like(u)
-    f = equilibrium(np.ones_like(u), u, v)
+    f = _equilibrium(np.ones_like(u), u, v)
+    entering = _equilibrium(np.ones((len(inlet), 1)), inlet[:, None], np.zeros((len(inlet), 1)))[:, :, 0]
+    entering[:, -1] = entering[:, -2]
+    sources, moved, rho = _sources(solid), np.empty_like(f), np.empty_like(u)
+    along, across = (np.ascontiguousarray(SPEEDS[:, k], float).reshape(1, 9) for k in (0, 1))
     mean = [np.zeros_like(u), np.zeros_like(u)]
     counted = 0
     for step in range(steps):
-        f = np.stack([np.roll(f[k], (SPEEDS[k, 1], SPEEDS[k, 0]), axis=(0, 1)) for k in range(9)])
-        bounced = f[opposite]
-        f = np.where(solid, bounced, f)
-        f[:, :, 0] = equilibrium(np.ones((len(inlet), 1)), inlet[:, None], np.zeros((len(inlet), 1)))[:, :, 0]
-        f[:, :, -1] = f[:, :, -2]
-        f[:, -1, :] = f[:, -2, :]
-        rho = f.sum(axis=0)
-        u, v = (np.tensordot(SPEEDS[:, k], f, (0, 0)) / rho for k in (0, 1))
-        u, v = np.where(solid, 0, u), np.where(solid, 0, v)
-        f = np.where(solid, f, f + (equilibrium(rho, u, v) - f) / relaxation)
+        np.take(f.reshape(-1), sources, out=moved, mode="clip")  # within bounds; the mode that needs no buffer
+        moved[:, :, 0] = entering
+        np.add.reduce(moved, axis=0, out=rho)
+        u, v = (np.dot(speeds, moved.reshape(9, -1)).reshape(solid.shape) for speeds in (along, across))
+        for w in (u, v):
+            w /= rho
+            w[solid] = 0
+        _equilibrium(rho, u, v, out=f)
+        f -= moved
+        f /= relaxation
+        f += moved
+        np.copyto(f, moved, where=solid)
         if step >= steps * average_from:
             mean[0] += u
             mean[1] += v
@@ -297,7 +326,9 @@ def flow(solid: np.ndarray, inlet: np.ndarray, steps: int, relaxation: float = 0
 def flow_runs(runs: DataFrame, steps: int = 200) -> DataFrame:
     """Mean flow over each run's skyline: ``runs`` (run, k, height) gives the height of column k in cells.
 
-    One task a run; a run's section is bounded by its lattice, never by the table.
+    A run's section is bounded by its lattice, never by the table.  Runs are few
+    bytes and long work, so they are dealt to a fixed number of tasks: by their size
+    alone they would be put into one.
     """
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
@@ -314,4 +345,6 @@ def flow_runs(runs: DataFrame, steps: int = 200) -> DataFrame:
         speed = u[first_open, np.arange(10, nx - 10)]
         return pd.DataFrame({"run": part["run"].to_numpy(), "k": part["k"].to_numpy(), "speed": np.round(speed, 9)})
 
-    return runs.select("run", "k", "height").groupBy("run").applyInPandas(work, "run long, k int, speed double")
+    spark = runs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return runs.select("run", "k", "height").repartition(tasks, "run").groupBy("run").applyInPandas(work, "run long, k int, speed double")
