@@ -197,20 +197,25 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.of_parts: dict[str, bytes] = {}
         self.plain = [p.replace(MARK, " ") for p in self.pieces.pieces]
+        self.raw = [bytes([i - self.pieces.bytes_from]) if odd else p.encode() for i, (p, odd) in enumerate(zip(self.plain, self.pieces.is_byte.tolist(), strict=True))]
+        self.sure = True  # every part of the text being encoded has been decoded, byte by byte
 
     def word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
             found = b"".join(map(self.part, self.pieces.parts(word)))
-            if len(word) <= LONG:
+            if self.sure and len(word) <= LONG:
                 remember(self.memo, word, found)
         return found
 
     def part(self, part: str) -> bytes:
         found = self.of_parts.get(part)
         if found is None:
-            found = array("i", self.stream.word(part)).tobytes()
-            if len(part) <= LONG:
+            ids = self.stream.word(part)
+            found = array("i", ids).tobytes()
+            if b"".join([self.raw[i] for i in ids]) != part.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+                self.sure = False
+            elif len(part) <= LONG:
                 remember(self.of_parts, part, found)
         return found
 
@@ -224,10 +229,12 @@ class Codec:
     def encode(self, text: str) -> tuple[bytes, int]:
         """The ids as the bytes of 32-bit integers, and a bound of the letters the window held: ``LONG`` or, if wider, its width."""
         self.stream.reset()
+        self.sure = True
         out, held = [], MARK if text else ""
         for at in range(0, len(text), PART):
             part = text[at : at + PART].replace(" ", MARK)
             if not held:  # the window is inside a word
+                self.sure = False
                 end = re.match(f"{MARK}*[^{MARK}]*" if self.stream.text.endswith(MARK) else f"[^{MARK}]*", part).end()
                 out.append(array("i", self.stream.feed(part[:end])).tobytes())
                 if end == len(part):
@@ -238,6 +245,7 @@ class Codec:
             held = words.pop()  # its end is not known yet
             out.append(self.words(words))
             if len(held) > LONG:
+                self.sure = False
                 out.append(array("i", self.stream.feed(held)).tobytes())
                 held = ""
         if held:
@@ -246,6 +254,10 @@ class Codec:
             out.append(array("i", self.stream.flush()).tobytes())
         return b"".join(out), max(LONG, self.stream.widest) if text else 0
 
+    def restores(self, text: str, found: bytes) -> bool:
+        """Whether the ids that ``text`` was just encoded to give it back: its parts were decoded when they were first passed, else it is decoded whole."""
+        return self.sure or self.decode(np.frombuffer(found, np.int32)) == text.replace(MARK, " ")
+
     def decode(self, ids: np.ndarray) -> str:
         if not len(ids):
             return ""
@@ -281,7 +293,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     found, widest = c.encode(text)
                     ids.append(found)
                     window.append(widest)
-                    restored.append(c.decode(np.frombuffer(found, np.int32)) == text.replace(MARK, " "))
+                    restored.append(c.restores(text, found))
                 sizes = np.array([len(x) // 4 for x in ids], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))

@@ -251,6 +251,19 @@ def test_a_long_chunk_is_cut_in_one_pass(kind):
     assert mine.count(text[:fit]) <= 2048 and all(mine.count(text[: fit + k]) > 2048 for k in range(1, 40))
 
 
+def test_parts_are_decoded_once(monkeypatch):
+    codec = sentence_pieces.Codec(token_counts.vocabulary_path(sentence_pieces.MODEL))
+    texts = ["", "plain words, plain words", "odd \u2581 mark \U0001f980\u00e9\ufffd\u4e00 <0x41>", "x" * 90 + " end", "a  b\n\tc" * 30]
+    whole = [codec.decode(np.frombuffer(codec.encode(t)[0], np.int32)) == t.replace(sentence_pieces.MARK, " ") for t in texts]
+    asked, decode = [], codec.decode
+    monkeypatch.setattr(codec, "decode", lambda ids: asked.append(len(ids)) or decode(ids))
+    assert [codec.restores(t, codec.encode(t)[0]) for t in texts] == whole == [True] * len(texts)
+    assert len(asked) <= 1  # only what went through the window piece by piece
+    codec.raw[codec.pieces.pieces.index("\u2581new")] = b"?"  # an id that does not give its letters back
+    found, _ = codec.encode("a new one")
+    assert not codec.sure and codec.restores("a new one", found) and "\u2581new" not in codec.memo
+
+
 def test_sentence_pieces(docs, none):
     import sentencepiece
 
